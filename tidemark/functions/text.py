@@ -139,7 +139,7 @@ def filter_patterns(
     plain = F.lit(None).cast("string") if text is None else col(text)
     if dialect == "role":
         return F.coalesce(items, F.when(plain.isNotNull(), F.array(plain)), every)
-    split = F.filter(F.transform(F.split(plain, ","), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(plain, ","), lambda x: F.trim(x)), lambda x: x != "")
     known = F.coalesce(items, split, F.array().cast("array<string>"))
     if kind is not None:
         known = F.when(F.coalesce(col(kind), F.lit("")) == "tag_glob_csv", known).otherwise(every)

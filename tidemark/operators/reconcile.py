@@ -288,7 +288,7 @@ def mirror_filters(configs: DataFrame) -> DataFrame:
 
 
 def sync_actions(responses: DataFrame) -> DataFrame:
-    """Answers of the cancel and start calls as action rows."""
+    """Answers of the cancel and start calls as action rows; ``arrival`` tells repeated calls apart."""
     status = F.coalesce("status", F.lit(0).cast("bigint"))
     ok = F.lit(False)
     for action, codes in fv.ACTION_OK_CODES.items():
@@ -299,6 +299,7 @@ def sync_actions(responses: DataFrame) -> DataFrame:
         status.alias("http_status"),
         ok.alias("ok"),
         F.coalesce("detail", "error_message", "msg", F.lit("")).alias("message"),
+        "arrival",
     )
 
 

@@ -38,7 +38,7 @@ def normalize_rules(rules: DataFrame) -> DataFrame:
     none, every = F.array().cast(EMPTY), F.array(F.lit("*"))
 
     def clean(name: str, default: Column) -> Column:
-        return F.filter(F.transform(F.coalesce(name, default), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.coalesce(name, default), lambda x: F.trim(x)), lambda x: x != "")
 
     return rules.withColumns(
         {
