@@ -71,11 +71,15 @@ def main() -> None:
         start = time.time()
         try:
             frame = catalog.QUERIES[name](spark, folder)
-            found = difference(frame, con, catalog.ORACLES[name]) if name in catalog.ORACLES else f"no oracle, {frame.count()} rows"
+            if name in catalog.ORACLES:
+                found = difference(frame, con, catalog.ORACLES[name])
+                rows = con.execute(f"SELECT count(*) FROM ({catalog.ORACLES[name]})").fetchall()[0][0]
+            else:
+                found, rows = "no oracle", frame.count()
         except Exception as e:  # noqa: BLE001
-            found = f"{type(e).__name__}: {str(e)[:600]}"
+            found, rows = f"{type(e).__name__}: {str(e)[:600]}", "?"
         bad += bool(found) and not str(found).startswith("no oracle")
-        print(f"{name:32s} {time.time() - start:6.2f}s {found or 'equal'}", flush=True)
+        print(f"{name:32s} {time.time() - start:6.2f}s {rows} rows {found or 'equal'}", flush=True)
     print(f"{len(chosen)} queries, {bad} differ")
 
 

@@ -97,11 +97,12 @@ def distinct_members(rows: DataFrame, kinds: dict[str, Column | str]) -> DataFra
     A kind is a text column or an array of texts.
     """
     types = dict(rows.select(*[tx.col(c).alias(k) for k, c in kinds.items()]).dtypes)
-    pairs = []
-    for kind, value in kinds.items():
+
+    def pairs(kind: str, value: Column | str) -> Column:
         items = tx.col(value) if types[kind].startswith("array") else F.array(tx.col(value))
-        pairs.append(F.transform(items, lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("member"))))
-    found = rows.select(F.inline(F.concat(*pairs)))
+        return F.transform(items, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("member")))
+
+    found = rows.select(F.inline(F.concat(*[pairs(kind, value) for kind, value in kinds.items()])))
     return found.where(F.coalesce("member", F.lit("")) != "").distinct()
 
 
