@@ -31,9 +31,19 @@ def yes_no(text: Column | str) -> Column:
 
 
 def safe_int(text: Column | str) -> Column:
-    """Whole part of a number given as text; anything unreadable is 0."""
-    value = col(text).cast("string")
-    return F.coalesce(value.try_cast("bigint"), value.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Whole part of a number given as text; anything unreadable is 0.
+
+    The shape is tested first: a failed cast costs an exception per row.
+    """
+    value = F.trim(col(text).cast("string"))
+    return (
+        F.when(F.rlike(value, F.lit(r"\A[+-]?[0-9]{1,18}\z")), value.cast("bigint"))
+        .when(
+            F.rlike(value, F.lit(r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z")),
+            F.coalesce(value.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint")),
+        )
+        .otherwise(F.lit(0).cast("bigint"))
+    )
 
 
 def human_bytes(size: Column | str) -> Column:

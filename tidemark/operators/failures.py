@@ -36,15 +36,14 @@ def _alternatives(text: Column, alternatives: Sequence[Sequence[str]]) -> Column
 
 
 def category_of(text: Column, ruleset: str, task: Column | None = None) -> Column:
-    """First category whose words occur in the lower-cased text."""
-    lowered = F.lower(text)
+    """First category whose words occur in the (lower-case) text."""
     categories = RULESETS[ruleset]
     chain = None
     for i, (name, alternatives) in enumerate(categories):
-        hit = _alternatives(lowered, alternatives)
+        hit = _alternatives(text, alternatives)
         if ruleset == "registry" and i == 0 and task is not None:
             task_words, text_words = fv.REGISTRY_WAIT_TASK
-            hit = hit | (F.contains(F.lower(task), F.lit(task_words)) & F.contains(lowered, F.lit(text_words)))
+            hit = hit | (F.contains(task, F.lit(task_words)) & F.contains(text, F.lit(text_words)))
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
     return chain.otherwise(fv.UNCLASSIFIED)
 
@@ -52,7 +51,7 @@ def category_of(text: Column, ruleset: str, task: Column | None = None) -> Colum
 def classify_failure(df: DataFrame, ruleset: str, text: str = "text", task: str | None = None) -> DataFrame:
     """Adds ``category``; the text is read whole, and lower-cased once."""
     lowered = df.withColumn("_lowered", F.lower(F.coalesce(text, F.lit(""))))
-    at = None if task is None else F.coalesce(task, F.lit(""))
+    at = None if task is None else F.lower(F.coalesce(task, F.lit("")))
     return lowered.withColumn("category", category_of(F.col("_lowered"), ruleset, at)).drop("_lowered")
 
 

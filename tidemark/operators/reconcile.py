@@ -59,7 +59,8 @@ def _by_status(status: Column, which: int) -> Column:
 
 def _sides(source: DataFrame, target: DataFrame, dialect: str) -> DataFrame:
     """Every (repository, tag) with its digests and on which side it was seen."""
-    keys = ["repository", "tag"]
+    # The tag comes first: sorts then decide most comparisons on their first bytes.
+    keys = ["tag", "repository"]
     src = source.select(*keys, F.coalesce("digest", F.lit("")).alias("source_digest"), F.lit(True).alias("in_source"))
     tgt = target.select(*keys, F.coalesce("digest", F.lit("")).alias("target_digest"), F.lit(True).alias("in_target"))
     if dialect == "role":
@@ -89,59 +90,46 @@ def reconcile(
     """
     cfg = _prepared(configs, dialect)
     if dialect == "script" and "arrival" in target.columns:
-        target = dedup_last(target, ["repository", "tag"], ["arrival", "digest"])
+        target = dedup_last(target, ["tag", "repository"], ["arrival", "digest"])
     pairs = _sides(source, target, dialect)
     rows = spread_join(pairs, cfg, ["repository"], ["tag"])
-    in_filter = F.coalesce(F.rlike("tag", F.col("_regex")), F.lit(False))
-    status = tag_status(
-        F.col("in_source"), F.col("in_target"), in_filter, F.col("source_digest"), F.col("target_digest")
-    )
-    rows = rows.withColumn("status", status)
+    rows = rows.withColumn("in_filter", F.coalesce(F.rlike("tag", F.col("_regex")), F.lit(False)))
+    seen = [F.col(c) for c in ("in_source", "in_target", "in_filter", "source_digest", "target_digest")]
+    rows = rows.withColumn("status", tag_status(*seen))
     rows = rows.withColumns({"severity": _by_status(F.col("status"), 0), "message": _by_status(F.col("status"), 1)})
-    result = rows.select(*ROW_COLUMNS)
+    result = rows.select(*ROW_COLUMNS).unionByName(_config_notes(cfg, source, dialect))
+    return result if errors is None or dialect == "script" else result.unionByName(_error_rows(errors))
 
-    listed = source.select("repository").distinct()
-    empty = cfg.join(listed, "repository", "left_anti")
-    result = result.unionByName(
-        _note(empty, "SOURCE_REPOSITORY_EMPTY_OR_INACCESSIBLE", "warning", F.lit(fv.SOURCE_EMPTY_MESSAGE))
-    )
-    if dialect == "script":
-        return result
-    unknown = F.concat(
-        F.lit(fv.MIRROR_CONFIG_ERROR_MESSAGE), F.col("http_status").cast("string"), F.lit(". "), F.col("api_error")
-    )
-    result = result.unionByName(_note(cfg.where(~F.col("mirror_found")), "MIRROR_CONFIG_ERROR", "critical", unknown))
-    disabled = cfg.where(F.col("mirror_found") & ~F.col("mirror_enabled"))
-    result = result.unionByName(_note(disabled, "MIRROR_DISABLED", "critical", F.lit(fv.MIRROR_DISABLED_MESSAGE)))
-    return result if errors is None else result.unionByName(_error_rows(errors))
 
+def _config_notes(cfg: DataFrame, source: DataFrame, dialect: str) -> DataFrame:
+    """Rows about repositories as a whole: no source tags, no configuration, or a mirror switched off."""
+    listed = source.select("repository").distinct().withColumn("_listed", F.lit(True))
 
-def _note(configs: DataFrame, status: str, severity: str, message: Column) -> DataFrame:
-    empty = F.lit("")
-    return configs.select(
-        "repository",
-        empty.alias("tag"),
-        F.lit(status).alias("status"),
-        F.lit(severity).alias("severity"),
-        "mirror_status",
-        "mirror_enabled",
-        "filter",
-        empty.alias("source_digest"),
-        empty.alias("target_digest"),
-        message.alias("message"),
-    )
+    def note(condition: Column, status: str, severity: str, message: Column) -> Column:
+        parts = F.struct(F.lit(status).alias("status"), F.lit(severity).alias("severity"), message.alias("message"))
+        return F.when(condition, parts)
+
+    notes = [
+        note(F.col("_listed").isNull(), "SOURCE_REPOSITORY_EMPTY_OR_INACCESSIBLE", "warning", F.lit(fv.SOURCE_EMPTY_MESSAGE))
+    ]
+    if dialect == "role":
+        unknown = F.concat(
+            F.lit(fv.MIRROR_CONFIG_ERROR_MESSAGE), F.col("http_status").cast("string"), F.lit(". "), F.col("api_error")
+        )
+        off = F.col("mirror_found") & ~F.col("mirror_enabled")
+        notes.append(note(~F.col("mirror_found"), "MIRROR_CONFIG_ERROR", "critical", unknown))
+        notes.append(note(off, "MIRROR_DISABLED", "critical", F.lit(fv.MIRROR_DISABLED_MESSAGE)))
+    found = cfg.join(listed, "repository", "left").select("*", F.inline(F.array_compact(F.array(*notes))))
+    blank = {c: F.lit("") for c in ("tag", "source_digest", "target_digest")}
+    return found.withColumns(blank).select(*ROW_COLUMNS)
 
 
 def _error_rows(errors: DataFrame) -> DataFrame:
     message = F.concat("side", F.lit(" HTTP "), F.col("http_status").cast("string"), F.lit(": "), "message")
-    blank = errors.select(
-        "repository",
-        F.lit("").alias("mirror_status"),
-        F.lit(None).cast("boolean").alias("mirror_enabled"),
-        F.lit("").alias("filter"),
-        message.alias("_message"),
-    )
-    return _note(blank, "TAG_COLLECTION_ERROR", "critical", F.col("_message"))
+    blank = {c: F.lit("") for c in ("tag", "mirror_status", "filter", "source_digest", "target_digest")}
+    fixed = {"status": F.lit("TAG_COLLECTION_ERROR"), "severity": F.lit("critical")}
+    rows = errors.withColumns({"message": message, "mirror_enabled": F.lit(None).cast("boolean"), **blank, **fixed})
+    return rows.select(*ROW_COLUMNS)
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

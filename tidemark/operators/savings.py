@@ -99,8 +99,11 @@ def distinct_members(rows: DataFrame, kinds: dict[str, Column | str]) -> DataFra
     types = dict(rows.select(*[tx.col(c).alias(k) for k, c in kinds.items()]).dtypes)
 
     def pairs(kind: str, value: Column | str) -> Column:
-        items = tx.col(value) if types[kind].startswith("array") else F.array(tx.col(value))
-        return F.transform(items, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("member")))
+        def pair(member: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), member.alias("member"))
+
+        many = types[kind].startswith("array")
+        return F.transform(tx.col(value), lambda m: pair(m)) if many else F.array(pair(tx.col(value)))
 
     found = rows.select(F.inline(F.concat(*[pairs(kind, value) for kind, value in kinds.items()])))
     return found.where(F.coalesce("member", F.lit("")) != "").distinct()
@@ -150,22 +153,27 @@ def consolidate_month(raw: DataFrame, month: str) -> tuple[DataFrame, DataFrame]
 
 
 def consolidate_year(consolidated: DataFrame, raw: DataFrame, year: str) -> tuple[DataFrame, DataFrame]:
-    """Head record and executions of a year. ``missing_months`` lists months without a consolidated record."""
-    executions = annual_records(consolidated, raw, year)
-
-    def listed(months: DataFrame) -> Column:
-        return months.agg(F.array_join(F.array_sort(F.collect_list("month")), ",")).scalar()
+    """Head record and executions of a year. ``missing_months`` lists months without a consolidated record.
 
-    head = period_totals(executions).withColumns(
-        {
-            "schema_version": F.lit(1),
-            "period_type": F.lit("year"),
-            "year": F.lit(year),
-            "missing_months": listed(missing_months(consolidated, year)),
-            "months_without_any_data": listed(months_without_any_data(consolidated, raw, year)),
-        }
-    )
-    return head.where(F.col("execution_count") > 0), executions
+    The head is put together from at most twelve month totals per side, so each side is read once.
+    """
+    held = month_totals(assert_period(consolidated, year))
+    spare = month_totals(raw.where(F.substring("month", 1, 4) == year))
+    names = [*TOTALS, "execution_count"]
+    months = calendar(raw.sparkSession, year)
+    months = months.join(held.select("month", F.struct(*names).alias("_held")), "month", "left")
+    months = months.join(spare.select("month", F.struct(*names).alias("_spare")), "month", "left")
+    chosen = months.withColumn("_used", F.coalesce("_held", "_spare"))
+
+    def listed(condition: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col("month")))), ",")
+
+    head = chosen.agg(
+        *[total(F.col(f"_used.{c}")).alias(c) for c in names],
+        listed(F.col("_held").isNull()).alias("missing_months"),
+        listed(F.col("_used").isNull()).alias("months_without_any_data"),
+    ).withColumns({"schema_version": F.lit(1), "period_type": F.lit("year"), "year": F.lit(year)})
+    return head.where(F.col("execution_count") > 0), annual_records(consolidated, raw, year)
 
 
 def store_month(raw: DataFrame, month: str, folder: str) -> bool:

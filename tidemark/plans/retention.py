@@ -79,17 +79,20 @@ def files(t: Inputs) -> DataFrame:
     return t.sql(FILES)
 
 
+HOSTS_BY_KIND = "SELECT DISTINCT 'host-' || CAST(user_id % 8 AS VARCHAR(20)) AS host, event_type AS application FROM {events}"
+
+
 def file_plan(t: Inputs) -> tuple[DataFrame, DataFrame]:
     """Guarded rules per host, and the rows of rules with an unknown engine."""
-    hosts = files(t).select("host").distinct()
-    matrix = hosts.select(
+    prefixes = F.lit(None).cast("map<string,array<string>>").alias("allowed_prefixes")
+    matrix = t.sql(HOSTS_BY_KIND).select(
         F.lit("prd").alias("environment"),
-        F.lit("files").alias("application"),
+        "application",
         F.array("host").alias("members"),
-        F.lit(None).cast("map<string,array<string>>").alias("allowed_prefixes"),
+        prefixes,
         F.lit(None).cast("map<string,string>").alias("merge"),
     )
-    applications = t.spark.sql("SELECT 'files' AS application, CAST(NULL AS map<string,array<string>>) AS allowed_prefixes")
+    applications = t.table("events").select(F.col("event_type").alias("application")).distinct().select("application", prefixes)
     plan = rt.resolve_plan(matrix, rt.enabled_rules(file_rules(t)), applications, global_rules=True)
     known, unknown = rt.split_engines(plan.withColumn("rule_id", F.col("name")))
     return rt.guard_paths(rt.rule_errors(rt.normalize_rules(known))), unknown

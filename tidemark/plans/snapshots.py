@@ -241,7 +241,7 @@ REPOSITORY_MENTIONS = """SELECT 'source' AS side, 'team' || CAST(c_nationkey AS
        CAST(floor(c_custkey / 50) AS BIGINT) + again AS page_index, c_custkey % 50 + 100 * again AS pos,
        CASE WHEN c_custkey % 3 = 0 THEN 'org/' || c_name ELSE c_name END AS name,
        CASE WHEN c_custkey % 5 = again THEN 'NORMAL' ELSE 'MIRROR' END AS state, c_custkey % 2 = 0 AS is_public, c_mktsegment AS kind
-FROM {customer} CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1) x WHERE again = 0 OR c_custkey % 4 = 0"""
+FROM (SELECT *, 0 AS again FROM {customer} UNION ALL SELECT *, 1 FROM {customer} WHERE c_custkey % 4 = 0) m"""
 
 
 def _pages(mentions: DataFrame, keys: list[str], fields: str, holder: str, bad_every: int) -> DataFrame:
@@ -474,7 +474,8 @@ CANDIDATES = "SELECT 'ns/' || CAST(c_custkey AS VARCHAR(20)) AS repository FROM
 CALLS = """SELECT 'ns/' || CAST(c_custkey AS VARCHAR(20)) AS repository, action, c_custkey + try_no AS arrival,
        CAST(CASE (c_custkey + try_no) % 5 WHEN 0 THEN 404 WHEN 1 THEN 204 WHEN 2 THEN 400 WHEN 3 THEN 503 ELSE 201 END AS BIGINT) AS status,
        CASE (c_custkey + try_no) % 5 WHEN 3 THEN 'unavailable' END AS detail
-FROM {customer} CROSS JOIN (SELECT 'sync-cancel' AS action, 0 AS try_no UNION ALL SELECT 'sync-now', 1 UNION ALL SELECT 'sync-now', 2) a
+FROM (SELECT c_custkey, 'sync-cancel' AS action, 0 AS try_no FROM {customer} UNION ALL SELECT c_custkey, 'sync-now', 1 FROM {customer}
+      UNION ALL SELECT c_custkey, 'sync-now', 2 FROM {customer}) a
 WHERE c_custkey % 11 <> 0"""
 WAITS = """SELECT 'ns/' || CAST(c_custkey AS VARCHAR(20)) AS repository, CAST(CASE WHEN c_custkey % 8 = 0 THEN 502 ELSE 200 END AS BIGINT) AS http_status,
        CASE c_custkey % 12 WHEN 2 THEN 'FAILED' WHEN 4 THEN 'SYNCING' WHEN 6 THEN 'NEVER_RUN' WHEN 8 THEN NULL ELSE 'SUCCESS' END AS sync_status FROM {customer}"""

@@ -79,7 +79,7 @@ def repositories_from_pages(pages: DataFrame) -> DataFrame:
         F.coalesce("r.kind", "r.repo_kind", F.lit("")).alias("kind"),
     ).where(F.length("repository") > 1)
     rest = [c for c in rows.columns if c not in ("side", "repository", "page_index", "pos")]
-    return dedup_first(rows, ["side", "repository"], ["page_index", "pos", *rest]).drop("page_index", "pos")
+    return dedup_first(rows, ["repository", "side"], ["page_index", "pos", *rest]).drop("page_index", "pos")
 
 
 def tags_from_pages(pages: DataFrame, side: str) -> DataFrame:
@@ -101,7 +101,7 @@ def tags_from_pages(pages: DataFrame, side: str) -> DataFrame:
         "pos",
     ).where(F.col("tag") != "")
     order = ["page_index", "pos", "manifest_digest", "last_modified", "start_ts", "end_ts"]
-    return dedup_first(rows, ["repository", "tag"], order).drop("page_index", "pos")
+    return dedup_first(rows, ["tag", "repository"], order).drop("page_index", "pos")
 
 
 def tag_errors_from_pages(pages: DataFrame, side: str) -> DataFrame:
@@ -146,31 +146,36 @@ def parse_tagged_lines(lines: DataFrame, value: str = "value", prefix: str = "DP
 
     Six parts are filesystem, mount, then size, used and free in KiB; five parts are a drive with bytes.
     """
-    tagged = lines.where(F.col(value).startswith(prefix) & F.contains(F.col(value), F.lit("=")))
-    key = F.regexp_extract(value, rf"\A\Q{prefix}\E([A-Z_]+)=", 1)
-    body = F.regexp_replace(F.col(value), rf"\A\Q{prefix}\E[A-Z_]+=", "")
-    rows = tagged.withColumns({"key": key, "text": body}).where(F.col("key") != "")
-    parts = F.split("text", r"\|")
-    is_disk, unix = F.col("key") == "DISK", F.size(parts) >= 6
-    drive = F.size(parts) == 5
-
-    def part(i: int) -> Column:
-        return F.get(parts, i)
+    line = F.col(value)
+    start = len(prefix) + 1
+    key = F.substring_index(F.substring(line, start, 2**30), "=", 1)
+    rows = lines.where(line.startswith(prefix) & F.contains(line, F.lit("="))).withColumn("key", key)
+    rows = rows.withColumn("text", line.substr(F.length("key") + start + 1, F.length(line)))
+    rows = rows.where(F.col("key") != "").withColumn(
+        "_parts", F.when(F.col("key") == "DISK", F.split("text", r"\|")).otherwise(F.array().cast("array<string>"))
+    )
+    # One shape for both: filesystem, mount, unit, size, used, free, percent.
+    parts = F.col("_parts")
+    unix = F.concat(F.slice(parts, 1, 2), F.array(F.lit("1024")), F.slice(parts, 3, 4))
+    drive = F.concat(F.slice(parts, 1, 1), F.slice(parts, 1, 1), F.array(F.lit("1")), F.slice(parts, 2, 4))
+    shaped = F.when(F.size(parts) >= 6, unix).when(F.size(parts) == 5, drive)
+    rows = rows.withColumn("_parts", shaped)
+    rows = rows.withColumn("_numbers", F.transform(F.slice("_parts", 3, 5), lambda x: tx.safe_int(x)))
 
-    def measure(unix_at: int, drive_at: int) -> Column:
-        return F.when(is_disk & unix, tx.safe_int(part(unix_at)) * 1024).when(is_disk & drive, tx.safe_int(part(drive_at)))
+    def number(i: int) -> Column:
+        return F.get("_numbers", F.lit(i))
 
     return rows.withColumns(
         {
-            "number": F.when(F.rlike("text", F.lit(r"\A[0-9]+\z")), F.col("text").try_cast("bigint")),
-            "filesystem": F.when(is_disk & (unix | drive), part(0)),
-            "mount": F.when(is_disk & unix, part(1)).when(is_disk & drive, part(0)),
-            "size_bytes": measure(2, 1),
-            "used_bytes": measure(3, 2),
-            "free_bytes": measure(4, 3),
-            "used_pct": F.when(is_disk & unix, tx.safe_int(part(5))).when(is_disk & drive, tx.safe_int(part(4))),
+            "number": F.when(F.rlike("text", F.lit(r"\A[0-9]{1,18}\z")), F.col("text").cast("bigint")),
+            "filesystem": F.get("_parts", F.lit(0)),
+            "mount": F.get("_parts", F.lit(1)),
+            "size_bytes": number(1) * number(0),
+            "used_bytes": number(2) * number(0),
+            "free_bytes": number(3) * number(0),
+            "used_pct": number(4),
         }
-    )
+    ).drop("_parts", "_numbers")
 
 
 def disk_row_windows(size: Column | str, free: Column | str) -> list[Column]:
