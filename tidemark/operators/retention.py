@@ -360,7 +360,7 @@ def rule_roots(rules: DataFrame, as_of: datetime) -> DataFrame:
 
     A root below another root of the same recursive rule is left out, so a file meets a rule at most once.
     """
-    roots = F.transform("allowed", lambda p: _path_key(tx.trim_path(p)))
+    roots = F.transform("allowed", lambda p: F.regexp_replace(_path_key(p), r"/+\z", ""))
     nested = lambda root: F.exists("_roots", lambda other: F.startswith(root, F.concat(other, F.lit("/"))))
     walked = F.when(F.col("recursive"), F.filter("_roots", lambda r: ~nested(r))).otherwise(F.col("_roots"))
     prepared = rules.where(F.size("fatal_errors") == 0).withColumn("_roots", F.array_distinct(roots))
