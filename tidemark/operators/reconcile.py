@@ -61,6 +61,7 @@ def _sides(source: DataFrame, target: DataFrame, dialect: str) -> DataFrame:
     """Every (repository, tag) with its digests and on which side it was seen."""
     # The tag comes first: sorts then decide most comparisons on their first bytes.
     keys = ["tag", "repository"]
+    source, target = source.dropna(subset=keys), target.dropna(subset=keys)
     src = source.select(*keys, F.coalesce("digest", F.lit("")).alias("source_digest"), F.lit(True).alias("in_source"))
     tgt = target.select(*keys, F.coalesce("digest", F.lit("")).alias("target_digest"), F.lit(True).alias("in_target"))
     if dialect == "role":
@@ -90,7 +91,7 @@ def reconcile(
     """
     cfg = _prepared(configs, dialect)
     if dialect == "script" and "arrival" in target.columns:
-        target = dedup_last(target, ["tag", "repository"], ["arrival", "digest"])
+        target = dedup_last(target.dropna(subset=["tag", "repository"]), ["tag", "repository"], ["arrival", "digest"])
     pairs = _sides(source, target, dialect)
     rows = spread_join(pairs, cfg, ["repository"], ["tag"])
     rows = rows.withColumn("in_filter", F.coalesce(F.rlike("tag", F.col("_regex")), F.lit(False)))

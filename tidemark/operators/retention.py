@@ -166,7 +166,7 @@ def path_state(rules: DataFrame, listing: DataFrame, keys: Sequence[str] = ("hos
         .when(denied, fv.PATH_DENIED)
         .when(F.col("state") == "error", F.concat(F.lit("falha ao validar o path: "), F.col("message")))
     )
-    joined = paths.join(seen, ["host", "path"], "left").withColumn("state", state).withColumn("reason", reason)
+    joined = spread_join(paths, seen, ["host", "path"], keys, "left").withColumn("state", state).withColumn("reason", reason)
     return joined.select(*keys, "path", "state", "reason")
 
 
@@ -218,7 +218,7 @@ def resolve_plan(
     app_prefixes = applications.select(
         F.lower("application").alias("application"), F.col("allowed_prefixes").alias("_app_prefixes")
     )
-    placed = members.join(app_prefixes, "application", "left").select(
+    placed = spread_join(members, app_prefixes, ["application"], ["host"], "left").select(
         "host",
         "environment",
         "application",
@@ -248,7 +248,7 @@ def resolve_plan(
         if not chosen:
             raise ValueError("hosts outside the matrix need a selection of applications")
         spread = outside.withColumn("application", F.explode(F.array(*[F.lit(a) for a in chosen])))
-        spread = spread.join(app_prefixes, "application", "left")
+        spread = spread_join(spread, app_prefixes, ["application"], ["host"], "left")
         placed = placed.unionByName(placed_as(spread, "adhoc", F.col("application"), "adhoc", F.col("_app_prefixes")))
 
     own = rules.withColumns(
@@ -383,14 +383,13 @@ def match_files(files: DataFrame, rules: DataFrame, as_of: datetime) -> DataFram
     ``rules`` is a guarded plan (host, rule_id, position, allowed, fatal_errors, ...). A file appears once per rule.
     The path's ancestor directories meet the roots in an equi-join; no file is compared with every rule.
     """
-    roots = rule_roots(rules, as_of)
-    newest = roots.agg(F.max("_cutoff")).scalar()
+    roots, newest = _measured(rule_roots(rules, as_of))
     aged = files.where(F.col("mtime") <= newest).withColumn("_key", _path_key(F.col("path")))
     parent = F.substring_index("_key", "/", -1)
     steps = aged.select(
         "host", "path", "size", "mtime", "_key", F.explode(_ancestors(F.col("_key"))).alias("_dir")
     ).withColumn("_parent", F.length("_key") == F.length("_dir") + F.length(parent) + 1)
-    pairs = spread_join(steps, roots, ["host", "_dir"], ["path"])
+    pairs = _at_roots(steps, roots)
     name = tx.basename("path")
     hit = (
         (F.col("recursive") | F.col("_parent"))
@@ -401,6 +400,31 @@ def match_files(files: DataFrame, rules: DataFrame, as_of: datetime) -> DataFram
     return pairs.where(hit).select("host", "rule_id", "plan_order", "path", "size", "mtime")
 
 
+ROOTS_BROADCAST = 50_000
+
+
+class _Roots:
+    """Roots with whether their number, counted up to a limit, allows a broadcast."""
+
+    def __init__(self, frame: DataFrame, few: bool):
+        self.frame, self.few = frame, few
+
+
+def _measured(roots: DataFrame) -> tuple[_Roots, Column]:
+    """Counts the roots up to the limit, and gives the newest cutoff: younger files need not be read at all."""
+    n, newest = roots.limit(ROOTS_BROADCAST + 1).agg(F.count("*"), F.max("_cutoff")).first()
+    if n <= ROOTS_BROADCAST:
+        return _Roots(roots, True), F.lit(newest).cast("timestamp_ntz")
+    return _Roots(roots, False), roots.agg(F.max("_cutoff")).scalar()
+
+
+def _at_roots(steps: DataFrame, roots: _Roots) -> DataFrame:
+    """Rows whose directory ``_dir`` is a root. Few roots are broadcast, so that no file is shuffled."""
+    if roots.few:
+        return steps.join(F.broadcast(roots.frame), ["host", "_dir"])
+    return spread_join(steps, roots.frame, ["host", "_dir"], ["path"])
+
+
 def deletions(matches: DataFrame) -> DataFrame:
     """What an apply run deletes: every file once, by the first rule in execution order."""
     return first_rows(matches, ["host", "path"], ["plan_order", "rule_id"])
@@ -455,12 +479,11 @@ def directories_of(files: DataFrame) -> DataFrame:
 
 def empty_dirs(dirs: DataFrame, survivors: DataFrame, rules: DataFrame, as_of: datetime) -> DataFrame:
     """Directories a run leaves empty, strictly below the roots of recursive rules that remove such directories."""
-    roots = rule_roots(rules, as_of).where(F.col("recursive") & F.col("delete_empty_dirs"))
+    held, _ = _measured(rule_roots(rules.where(F.col("recursive") & F.col("delete_empty_dirs")), as_of))
     keyed = dirs.select("host", _path_key(F.col("path")).alias("path"))
     empty = keyed.join(directories_of(survivors), ["host", "path"], "left_anti")
     steps = empty.withColumn("_dir", F.explode(_ancestors(F.col("path"))))
-    held = spread_join(steps, roots.select("host", "_dir", "rule_id", "plan_order"), ["host", "_dir"], ["path"])
-    return first_rows(held, ["host", "path"], ["plan_order", "rule_id"]).select("host", "rule_id", "path")
+    return first_rows(_at_roots(steps, held), ["host", "path"], ["plan_order", "rule_id"]).select("host", "rule_id", "path")
 
 
 def job_artifacts(files: DataFrame, root: str, job_id: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
-from tidemark.operators.common import first_rows, total
+from tidemark.operators.common import first_rows, spread_join, total
 
 COUNTERS = [
     "matched_files", "deleted_files", "failed_files", "matched_bytes", "deleted_bytes", "removed_empty_dirs",
@@ -193,7 +193,7 @@ def mounts_for_rules(rules: DataFrame, disks: DataFrame) -> DataFrame:
     above = F.transform(above, lambda d: F.when(d == "", F.lit("/")).otherwise(d))
     candidates = F.when(drive != "", F.array(drive)).otherwise(above)
     steps = paths.select("host", "path", F.explode(F.array_distinct(candidates)).alias("mount"))
-    hits = steps.join(disks, ["host", "mount"])
+    hits = spread_join(steps, disks, ["host", "mount"], ["path"])
     nearest = first_rows(hits, ["host", "path"], [F.length("mount").desc(), "mount"])
     rest = [c for c in disks.columns if c not in ("host", "mount")]
     return first_rows(nearest.drop("path"), ["host", "mount"], rest or ["mount"])
