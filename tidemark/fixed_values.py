@@ -94,6 +94,10 @@ DETAIL_SOME_BLOCKED = "um ou mais paths foram bloqueados por segurança"
 RULE_INTERRUPTED = "Execução interrompida"
 RULE_INTERRUPTED_DETAIL = "Host inacessível ou execução interrompida"
 
+RULE_FAILED = "Falha inesperada na execução"
+RULE_FAILED_DESCRIPTION = "A execução do host foi interrompida por uma falha técnica não tratada pela regra."
+FAILURE_DETAILS_SHOWN, FAILURE_DETAIL_LENGTH = 10, 1500
+
 # --- Fixed values: run statuses ---
 FAILED, WARNED, SUCCEEDED, NOT_RUN = "FALHA", "SUCESSO COM AVISO", "SUCESSO", "NÃO EXECUTADO"
 
@@ -225,3 +229,12 @@ ITEM_LABEL_DEFAULT = "item não identificado"
 SYSTEM_SCHEMAS = ["pg_catalog", "information_schema"]
 DEFAULT_ACL_WORDS = {"r": "TABLES", "S": "SEQUENCES", "f": "FUNCTIONS", "T": "TYPES", "n": "SCHEMAS"}
 DATABASE_PRIVILEGES = ["CONNECT", "CREATE", "TEMP"]
+
+# --- Fixed values: privileges an owner (and PUBLIC) has where an object carries no list of its own ---
+OWNER_PRIVILEGES = {
+    "schema": ["USAGE", "CREATE"],
+    "table": ["INSERT", "SELECT", "UPDATE", "DELETE", "TRUNCATE", "REFERENCES", "TRIGGER"],
+    "sequence": ["SELECT", "UPDATE", "USAGE"],
+    "function": ["EXECUTE"],
+}
+PUBLIC_PRIVILEGES = {"function": ["EXECUTE"]}

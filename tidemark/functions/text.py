@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark import fixed_values as fv
 
@@ -196,6 +197,15 @@ def trim_url(url: Column | str) -> Column:
     return F.regexp_replace(F.trim(col(url)), r"/+\z", "")
 
 
+def decode_record(encoded: Column | str, schema: StructType) -> Column:
+    """Record held as base64 of JSON text; null where the text is no such record."""
+    return F.from_json(F.decode(F.unbase64(col(encoded)), "UTF-8"), schema)
+
+
+def encode_record(record: Column | str) -> Column:
+    return F.base64(F.encode(F.to_json(col(record)), "UTF-8"))
+
+
 def _lookup(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 

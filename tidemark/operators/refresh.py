@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
-from tidemark.operators.common import unique_or_fail
+from tidemark.operators.common import spread_join, unique_or_fail
 
 
 # ---- plan --------------------------------------------------------------------------------------------------------
@@ -228,6 +228,26 @@ def quote_name(name: Column | str) -> Column:
     return F.when(F.rlike(value, F.lit(r"\A[a-z_][a-z0-9_$]*\z")), value).otherwise(quoted)
 
 
+def catalog_objects(objects: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Objects with the name of their schema. Default privileges may belong to no schema; other objects need one."""
+    names = schemas.select("schema_id", F.col("name").alias("schema"))
+    joined = spread_join(objects, names, ["schema_id"], ["kind", "name"], "left")
+    return joined.where(F.col("schema").isNotNull() | (F.col("kind") == "default")).drop("schema_id")
+
+
+def with_default_acl(objects: DataFrame) -> DataFrame:
+    """Objects without a privilege list get the list their owner has by default (columns kind, owner, acl)."""
+
+    def granted(grantee: Column, privileges: Sequence[str]) -> list[Column]:
+        return [F.struct(grantee.alias("grantee"), F.lit(p).alias("privilege"), F.lit(False).alias("grantable")) for p in privileges]
+
+    chain = F.when(F.col("acl").isNotNull(), F.col("acl"))
+    for kind, privileges in fv.OWNER_PRIVILEGES.items():
+        everyone = granted(F.lit(""), fv.PUBLIC_PRIVILEGES.get(kind, []))
+        chain = chain.when(F.col("kind") == kind, F.array(*everyone, *granted(F.col("owner"), privileges)))
+    return objects.withColumn("acl", chain)
+
+
 def grant_statements(objects: DataFrame, database: str = "database") -> DataFrame:
     """Grant statements of objects: kind, schema, name, arguments, object_type, acl (grantee, privilege, grantable).
 

@@ -134,6 +134,26 @@ def complete_reports(states: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select(*lost.columns).unionByName(lost)
 
 
+def failed_host_rows(failures: DataFrame) -> DataFrame:
+    """Report rows of hosts whose run broke off: columns host, category, task, details (texts).
+
+    The report shows the category, the task and the first details, each up to a length.
+    """
+    shown = F.transform(
+        F.slice("details", 1, fv.FAILURE_DETAILS_SHOWN), lambda d: F.substring(d, 1, fv.FAILURE_DETAIL_LENGTH)
+    )
+    head = F.array(F.concat(F.lit("Categoria: "), "category"), F.concat(F.lit("Task: "), F.trim("task")))
+    return failures.select(
+        "host",
+        F.lit(fv.RULE_FAILED).alias("rule"),
+        F.lit(fv.RULE_FAILED_DESCRIPTION).alias("description"),
+        F.lit("failed").alias("status"),
+        F.col("category").alias("status_detail"),
+        F.concat(head, shown).alias("fatal_errors"),
+        *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS],
+    )
+
+
 def host_reports(states: DataFrame, rows: DataFrame) -> DataFrame:
     """One report head per planned host; hosts without rows have an empty report."""
     counted = rows.groupBy("host").agg(F.count("*").alias("rows"))

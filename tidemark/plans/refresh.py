@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
-from tidemark.operators import common, failures
+from tidemark.operators import common, failures, runs
 from tidemark.operators import refresh as rf
 from tidemark.operators import retention as rt
 from tidemark.plans.registry import Inputs, plain, query
@@ -134,6 +134,31 @@ def grant_statements(t: Inputs) -> DataFrame:
     return rf.grant_statements(objects(t), database="lab")
 
 
+NAMED = """SELECT CASE WHEN p_size % 12 = 0 THEN NULL WHEN p_size % 12 = 1 THEN 99 ELSE p_size % 25 END AS schema_id, CASE p_partkey % 5 WHEN 0 THEN 'schema' WHEN 1 THEN 'table' WHEN 2 THEN 'sequence' WHEN 3 THEN 'function' ELSE 'default' END AS kind,
+       'obj_' || CAST(p_partkey AS VARCHAR(20)) AS name, lower(p_type) AS owner, p_partkey % 2 = 0 AS listed FROM {part}"""
+_OWNED = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{p}' AS privilege, {who} AS everyone"
+    for who, held in (("FALSE", fv.OWNER_PRIVILEGES), ("TRUE", fv.PUBLIC_PRIVILEGES))
+    for kind, privileges in held.items()
+    for p in privileges
+)
+
+
+@query(
+    "catalog_objects",
+    plain(
+        f"""WITH o AS (SELECT x.*, n_name AS schema FROM ({NAMED}) x LEFT JOIN nation ON n_nationkey = x.schema_id WHERE n_name IS NOT NULL OR kind = 'default')
+SELECT kind, schema, name, CASE WHEN d.everyone THEN '' ELSE owner END AS grantee, d.privilege FROM o JOIN ({_OWNED}) d USING (kind) WHERE NOT listed
+UNION ALL SELECT kind, schema, name, 'reader', 'SELECT' FROM o WHERE listed"""
+    ),
+)
+def catalog_objects(t: Inputs) -> DataFrame:
+    schemas = t.table("nation").select(F.col("n_nationkey").alias("schema_id"), F.col("n_name").alias("name"))
+    acl = F.when(F.col("listed"), F.expr("array(named_struct('grantee', 'reader', 'privilege', 'SELECT', 'grantable', false))"))
+    named = rf.catalog_objects(t.sql(NAMED).withColumn("acl", acl), schemas)
+    return rf.with_default_acl(named).select("kind", "schema", "name", F.inline("acl")).drop("grantable")
+
+
 ROLES = """SELECT CASE WHEN c_custkey % 9 = 0 THEN 'pg_role' ELSE 'user_' END || CAST(c_custkey AS VARCHAR(20)) AS role,
        CASE c_custkey % 4 WHEN 0 THEN 'CONNECT' WHEN 1 THEN 'CONNECT,TEMP' WHEN 2 THEN 'OTHER' ELSE '' END AS held FROM {customer}"""
 
@@ -438,3 +463,18 @@ UNION ALL SELECT event_id, host, 1, 'item não identificado: err' FROM e WHERE s
 )
 def failure_details(t: Inputs) -> DataFrame:
     return failures.failure_details(task_results(t))
+
+
+@query(
+    "failed_host_rows",
+    plain(
+        f"""WITH e AS ({TASK_RESULTS}), d AS (SELECT host, event_id, CASE WHEN shape % 2 = 0 THEN 'ssh: connection lost' ELSE 'no words' END AS text FROM e)
+SELECT host, '{fv.RULE_FAILED}' AS rule, 'failed' AS status, CASE WHEN text LIKE 'ssh%' THEN 'Falha de conectividade' ELSE '{fv.UNCLASSIFIED}' END AS status_detail,
+  'Categoria: ' || CASE WHEN text LIKE 'ssh%' THEN 'Falha de conectividade' ELSE '{fv.UNCLASSIFIED}' END || '|Task: copy|' || text AS errors FROM d"""
+    ),
+)
+def failed_host_rows(t: Inputs) -> DataFrame:
+    text = F.when(F.col("shape") % 2 == 0, "ssh: connection lost").otherwise("no words")
+    broken = failures.classify_failure(t.sql(TASK_RESULTS).withColumn("text", text), "host")
+    rows = runs.failed_host_rows(broken.select("host", "category", F.lit(" copy ").alias("task"), F.array("text").alias("details")))
+    return rows.select("host", "rule", "status", "status_detail", F.array_join("fatal_errors", "|").alias("errors"))

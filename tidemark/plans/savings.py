@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import text as tx
 from tidemark.operators import savings as sv
 from tidemark.plans.registry import Inputs, plain, query
@@ -175,6 +176,15 @@ def duplicate_jobs(t: Inputs) -> DataFrame:
     return sv.duplicate_jobs(rows(t))
 
 
+@query("encoded_records", RECORDS + "SELECT job_id, month, total_deleted_bytes FROM records")
+def encoded_records(t: Inputs) -> DataFrame:
+    """Records written as base64 of JSON, as they arrive from a file share, and read back."""
+    packed = records(t).select(tx.encode_record(F.struct("job_id", "month", "total_deleted_bytes")).alias("content"))
+    return packed.select(tx.decode_record("content", schemas.SAVINGS_METRIC).alias("r")).select(
+        "r.job_id", "r.month", "r.total_deleted_bytes"
+    )
+
+
 # ---- scalar functions --------------------------------------------------------------------------------------------
 
 
