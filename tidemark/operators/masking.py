@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.common import unique_or_fail
 
-REACH = 8  # farthest neighbour any method asks for
-BLOCK = 1 << 16  # ranks per block
+REACH = 7  # farthest neighbour any method asks for
+BLOCK = 1 << 13  # ranks per block
 PREFIX_DIGITS = 4  # 65,536 hash prefixes
 
 
@@ -84,8 +84,8 @@ def with_neighbours(
         {"_block": F.col("_at.b"), "_core": F.col("_at.core"), "_row": F.struct(*columns)}
     )
     order = Window.partitionBy("_block").orderBy("_rank")
-    before = F.reverse(F.collect_list("_row").over(order.rowsBetween(-reach, -1)))
-    after = F.collect_list("_row").over(order.rowsBetween(1, reach))
+    before = F.array(*[F.lag("_row", i).over(order) for i in range(1, reach + 1)])
+    after = F.array(*[F.lead("_row", i).over(order) for i in range(1, reach + 1)])
     rows = spread.withColumns({"_before": before, "_after": after}).where("_core")
     return rows.drop("_rank", "_at", "_block", "_core", "_row")
 

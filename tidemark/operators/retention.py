@@ -334,14 +334,27 @@ def execution_order(engine: Column | str, position: Column | str) -> Column:
     return F.when(tx.col(engine) == "modules", F.lit(0)).otherwise(F.lit(1)) * F.lit(1 << 40) + tx.col(position)
 
 
+def _is_drive(path: Column) -> Column:
+    return F.substring(path, 2, 1) == ":"
+
+
 def _path_key(path: Column) -> Column:
     """Path with ``/`` separators; a Windows path in lower case."""
-    return F.when(F.rlike(path, F.lit(r"\A[A-Za-z]:")), F.lower(F.translate(path, "\\", "/"))).otherwise(path)
+    return F.when(_is_drive(path), F.lower(F.translate(path, "\\", "/"))).otherwise(path)
+
+
+def _file_name(path: Column) -> Column:
+    plain = F.when(_is_drive(path), F.translate(path, "\\", "/")).otherwise(path)
+    return F.substring_index(plain, "/", -1)
+
+
+def _separators(key: Column) -> Column:
+    return F.length(key) - F.length(F.replace(key, F.lit("/"), F.lit("")))
 
 
 def _ancestors(key: Column) -> Column:
     """Directories above a path, nearest last."""
-    depth = F.length(key) - F.length(F.replace(key, F.lit("/"), F.lit("")))
+    depth = _separators(key)
     above = F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.call_function("substring_index", key, F.lit("/"), i))
     return F.filter(above, lambda d: (d != "") & (depth > 0))
 
@@ -381,48 +394,39 @@ def match_files(files: DataFrame, rules: DataFrame, as_of: datetime) -> DataFram
     """Files every rule would delete: below its roots, old enough, named by a pattern and by no exclusion.
 
     ``rules`` is a guarded plan (host, rule_id, position, allowed, fatal_errors, ...). A file appears once per rule.
-    The path's ancestor directories meet the roots in an equi-join; no file is compared with every rule.
+    The directories above a file meet the roots in an equi-join; no file is compared with every rule. One small job
+    over the roots comes first: it finds how many there are, at which depths, and the newest cutoff.
     """
-    roots, newest = _measured(rule_roots(rules, as_of))
-    aged = files.where(F.col("mtime") <= newest).withColumn("_key", _path_key(F.col("path")))
-    parent = F.substring_index("_key", "/", -1)
-    steps = aged.select(
-        "host", "path", "size", "mtime", "_key", F.explode(_ancestors(F.col("_key"))).alias("_dir")
-    ).withColumn("_parent", F.length("_key") == F.length("_dir") + F.length(parent) + 1)
-    pairs = _at_roots(steps, roots)
-    name = tx.basename("path")
-    hit = (
-        (F.col("recursive") | F.col("_parent"))
-        & (F.col("mtime") <= F.col("_cutoff"))
-        & F.rlike(name, F.col("_include"))
-        & ~F.rlike(name, F.col("_exclude"))
-    )
-    return pairs.where(hit).select("host", "rule_id", "plan_order", "path", "size", "mtime")
+    roots = _Roots(rule_roots(rules, as_of))
+    path = F.col("path")
+    aged = files.where(F.col("mtime") <= F.lit(roots.newest).cast("timestamp_ntz"))
+    aged = aged.select("host", "path", "size", "mtime", _path_key(path).alias("_key"), _file_name(path).alias("_name"))
+    old_enough = (F.col("mtime") <= F.col("_cutoff")) & (F.col("recursive") | F.col("_parent"))
+    named = F.rlike("_name", F.col("_include")) & ~F.rlike("_name", F.col("_exclude"))
+    return roots.above(aged).where(old_enough & named).select("host", "rule_id", "plan_order", "path", "size", "mtime")
 
 
 ROOTS_BROADCAST = 50_000
 
 
 class _Roots:
-    """Roots with whether their number, counted up to a limit, allows a broadcast."""
-
-    def __init__(self, frame: DataFrame, few: bool):
-        self.frame, self.few = frame, few
-
-
-def _measured(roots: DataFrame) -> tuple[_Roots, Column]:
-    """Counts the roots up to the limit, and gives the newest cutoff: younger files need not be read at all."""
-    n, newest = roots.limit(ROOTS_BROADCAST + 1).agg(F.count("*"), F.max("_cutoff")).first()
-    if n <= ROOTS_BROADCAST:
-        return _Roots(roots, True), F.lit(newest).cast("timestamp_ntz")
-    return _Roots(roots, False), roots.agg(F.max("_cutoff")).scalar()
+    """Rule roots with their number, their depths and the newest cutoff, from one aggregation."""
 
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+        depth = _separators(F.col("_dir")) + 1
+        self.number, self.newest, depths = frame.agg(F.count("*"), F.max("_cutoff"), F.collect_set(depth)).first()
+        self.depths = sorted(depths)
 
-def _at_roots(steps: DataFrame, roots: _Roots) -> DataFrame:
-    """Rows whose directory ``_dir`` is a root. Few roots are broadcast, so that no file is shuffled."""
-    if roots.few:
-        return steps.join(F.broadcast(roots.frame), ["host", "_dir"])
-    return spread_join(steps, roots.frame, ["host", "_dir"], ["path"])
+    def above(self, rows: DataFrame) -> DataFrame:
+        """Rows (with ``_key``) joined to the roots above them; few roots are broadcast, so that no row is shuffled."""
+        key = F.col("_key")
+        dirs = F.array(*[F.substring_index(key, "/", d) for d in self.depths]).cast("array<string>")
+        steps = rows.withColumn("_dir", F.explode(dirs)).where(F.col("_dir") != key)
+        steps = steps.withColumn("_parent", _separators(key) == _separators(F.col("_dir")) + 1).drop("_key")
+        if self.number <= ROOTS_BROADCAST:
+            return steps.join(F.broadcast(self.frame), ["host", "_dir"])
+        return spread_join(steps, self.frame, ["host", "_dir"], ["path"])
 
 
 def deletions(matches: DataFrame) -> DataFrame:
@@ -479,11 +483,11 @@ def directories_of(files: DataFrame) -> DataFrame:
 
 def empty_dirs(dirs: DataFrame, survivors: DataFrame, rules: DataFrame, as_of: datetime) -> DataFrame:
     """Directories a run leaves empty, strictly below the roots of recursive rules that remove such directories."""
-    held, _ = _measured(rule_roots(rules.where(F.col("recursive") & F.col("delete_empty_dirs")), as_of))
+    roots = _Roots(rule_roots(rules.where(F.col("recursive") & F.col("delete_empty_dirs")), as_of))
     keyed = dirs.select("host", _path_key(F.col("path")).alias("path"))
     empty = keyed.join(directories_of(survivors), ["host", "path"], "left_anti")
-    steps = empty.withColumn("_dir", F.explode(_ancestors(F.col("path"))))
-    return first_rows(_at_roots(steps, held), ["host", "path"], ["plan_order", "rule_id"]).select("host", "rule_id", "path")
+    held = roots.above(empty.withColumn("_key", F.col("path")))
+    return first_rows(held, ["host", "path"], ["plan_order", "rule_id"]).select("host", "rule_id", "path")
 
 
 def job_artifacts(files: DataFrame, root: str, job_id: str) -> DataFrame:
