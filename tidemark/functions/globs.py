@@ -10,6 +10,8 @@ Dialects
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,9 @@ def _edge_stars(pattern: Column, dialect: str) -> Column:
     )
 
 
-def _bracket(token: Column, negation: bool) -> Column:
+def _bracket(token: Column, negation: Column) -> Column:
     inner = token.substr(F.lit(2), F.length(token) - 2)
-    negated = inner.startswith("!") if negation else F.lit(False)
+    negated = negation & inner.startswith("!")
     members = F.when(negated, F.substring(inner, 2, 2**30)).otherwise(inner)
     # Everything but the range sign is a plain member of the class.
     members = F.regexp_replace(members, r"([\\\[\]\^&])", r"\\$1")
@@ -49,7 +51,7 @@ def _bracket(token: Column, negation: bool) -> Column:
     )
 
 
-def _wildcards(pattern: Column, negation: bool) -> Column:
+def _wildcards(pattern: Column, negation: Column) -> Column:
     def piece(token: Column) -> Column:
         return (
             F.when(token == "*", F.lit(".*"))
@@ -67,16 +69,23 @@ def glob_body(pattern: Column, dialect: str) -> Column:
         raise ValueError(f"unknown glob dialect: {dialect}")
     if dialect.startswith("simple"):
         return _edge_stars(pattern, dialect)
-    return _wildcards(pattern, negation=dialect != "ps_like")
+    return _wildcards(pattern, F.lit(dialect != "ps_like"))
+
+
+def _any_of(patterns: Column, body: Callable[[Column], Column], ignore_case: Column) -> Column:
+    flags = F.when(ignore_case, F.lit("(?isu)")).otherwise(F.lit("(?s)"))
+    bodies = F.array_join(F.transform(patterns, lambda p: body(p)), "|")
+    return F.when(F.size(patterns) > 0, F.concat(flags, F.lit(r"\A(?:"), bodies, F.lit(r")\z"))).otherwise(F.lit("(?!)"))
 
 
 def globs_regex(patterns: Column, dialect: str) -> Column:
     """One anchored expression that holds when any pattern of the array matches; an empty array matches nothing."""
-    flags = "(?isu)" if dialect in ("find_iname", "ps_like") else "(?s)"
-    bodies = F.array_join(F.transform(patterns, lambda p: glob_body(p, dialect)), "|")
-    return F.when(F.size(patterns) > 0, F.concat(F.lit(flags + r"\A(?:"), bodies, F.lit(r")\z"))).otherwise(
-        F.lit("(?!)")
-    )
+    return _any_of(patterns, lambda p: glob_body(p, dialect), F.lit(dialect in ("find_iname", "ps_like")))
+
+
+def wildcards_regex(patterns: Column, negation: Column, ignore_case: Column) -> Column:
+    """``globs_regex`` for dialects with wildcards anywhere, where the dialect differs from row to row."""
+    return _any_of(patterns, lambda p: _wildcards(p, negation), ignore_case)
 
 
 def glob_match(name: Column, pattern: Column, dialect: str) -> Column:

@@ -64,39 +64,70 @@ def rule_errors(rules: DataFrame) -> DataFrame:
     return rules.withColumn("fatal_errors", F.array_compact(found))
 
 
-def _compare_form(path: Column, os: str, engine: str) -> Column:
-    """Path as the guard compares it: without trailing separators, on Windows in lower case."""
-    bare = tx.trim_path(path, os, engine)
-    return bare if os == "linux" else F.lower(bare)
+def _forbidden(paths: Sequence[str], engine: str) -> list[str]:
+    """Windows paths as the guard compares them."""
+    bare = [p if engine == "modules" and len(p) <= 3 else p.rstrip("\\/") for p in paths]
+    return [p.lower() for p in bare]
 
 
-def _stored_form(path: Column, os: str, engine: str) -> Column:
-    return F.trim(path) if (os, engine) == ("windows", "shell") else tx.trim_path(path, os, engine)
+def guard_paths(
+    rules: DataFrame,
+    min_length: Mapping[str, int] = fv.MIN_PATH_LENGTH,
+    forbidden_linux: Sequence[str] = fv.FORBIDDEN_LINUX,
+    forbidden_windows: Sequence[str] = fv.FORBIDDEN_WINDOWS,
+    enforce: bool = True,
+    required: bool = False,
+) -> DataFrame:
+    """Adds ``allowed`` paths and ``blocked`` (path, reason) to normalized rules; a projection, nothing is shuffled.
+
+    Linux compares paths as written, Windows in lower case with either separator. Trailing separators go, but the
+    modules engine keeps those of ``C:\\``, and the Windows shell engine reports paths as they were given.
+    """
+    linux = F.coalesce("os", F.lit("linux")) != "windows"
+    modules = F.col("engine") == "modules"
+
+    def bare(path: Column) -> Column:
+        long = F.when(linux, F.length(path) > 1).otherwise(~modules | (F.length(path) > 3))
+        separators = F.when(linux, F.lit("/")).otherwise(F.lit("/\\"))
+        return F.when(long, F.rtrim(path, separators)).otherwise(path)
+
+    def verdict(path: Column) -> Column:
+        trimmed = F.trim(path)
+        stored = F.when(linux | modules, bare(trimmed)).otherwise(trimmed)
+        return F.struct(stored.alias("path"), _compared(bare(trimmed), linux).alias("compared"))
 
+    def texts(values: Sequence[str]) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast(EMPTY)
 
-def _guarded(os: str, engine: str, forbidden: Sequence[str], min_length: int, enforce: bool, required: bool) -> Column:
-    separators = ["/"] if os == "linux" else ["\\", "/"]
-    # Linux compares with the listed paths as they are.
-    barred = F.array(*[F.lit(p) if os == "linux" else _compare_form(F.lit(p), os, engine) for p in forbidden])
-    prefixes = F.filter(
-        F.transform("allowed_prefixes", lambda p: _compare_form(p, os, engine)), lambda p: F.length(p) > 0
+    barred = (
+        F.when(linux, texts(forbidden_linux))
+        .when(modules, texts(_forbidden(forbidden_windows, "modules")))
+        .otherwise(texts(_forbidden(forbidden_windows, "shell")))
+    )
+    prepared = rules.withColumns(
+        {
+            "_paths": F.transform("paths", verdict),
+            "_prefixes": F.filter(
+                F.transform("allowed_prefixes", lambda p: _compared(bare(F.trim(p)), linux)), lambda p: p != ""
+            ),
+            "_barred": barred,
+            "_shortest": F.when(linux, min_length["linux"]).otherwise(min_length["windows"]),
+        }
     )
 
     def inside(path: Column) -> Column:
         def below(prefix: Column) -> Column:
-            hit = path == prefix
-            for separator in separators:
-                hit = hit | F.startswith(path, F.concat(prefix, F.lit(separator)))
-            return hit
+            other = ~linux & F.startswith(path, F.concat(prefix, F.lit("\\")))
+            return (path == prefix) | F.startswith(path, F.concat(prefix, F.lit("/"))) | other
 
-        return F.exists(prefixes, below)
+        return F.exists("_prefixes", below)
 
-    def verdict(path: Column) -> Column:
-        stored, compared = _stored_form(path, os, engine), _compare_form(path, os, engine)
+    def judged(p: Column) -> Column:
+        stored, compared = p["path"], p["compared"]
         reason = (
             F.when(stored == "", fv.PATH_EMPTY)
-            .when(F.length(stored) < min_length, fv.PATH_TOO_SHORT)
-            .when(F.array_contains(barred, compared), fv.PATH_FORBIDDEN)
+            .when(F.length(stored) < F.col("_shortest"), fv.PATH_TOO_SHORT)
+            .when(F.array_contains(F.col("_barred"), compared), fv.PATH_FORBIDDEN)
         )
         if enforce:
             none = F.size("allowed_prefixes") == 0
@@ -105,41 +136,17 @@ def _guarded(os: str, engine: str, forbidden: Sequence[str], min_length: int, en
             reason = reason.when(~none & ~inside(compared), fv.PATH_OUTSIDE)
         return F.struct(stored.alias("path"), reason.alias("reason"))
 
-    return F.transform("paths", verdict)
-
-
-def guard_paths(
-    rules: DataFrame,
-    min_length: Mapping[str, int] = fv.MIN_PATH_LENGTH,
-    forbidden_linux: Sequence[str] = fv.FORBIDDEN_LINUX,
-    forbidden_windows: Sequence[str] = fv.FORBIDDEN_WINDOWS,
-    enforce: bool = True,
-    required: bool = False,
-) -> DataFrame:
-    """Adds ``allowed`` paths and ``blocked`` (path, reason) to normalized rules; a projection, nothing is shuffled."""
-    windows = F.coalesce("os", F.lit("linux")) == "windows"
-    modules = F.col("engine") == "modules"
+    judged_rules = prepared.withColumn("_verdicts", F.transform("_paths", judged))
+    passed = F.filter("_verdicts", lambda v: v["reason"].isNull())
+    found = {
+        "allowed": F.array_distinct(F.transform(passed, lambda v: v["path"])),
+        "blocked": F.filter("_verdicts", lambda v: v["reason"].isNotNull()),
+    }
+    return judged_rules.withColumns(found).drop("_paths", "_prefixes", "_barred", "_shortest", "_verdicts")
 
-    def checked(os: str, engine: str) -> Column:
-        forbidden = forbidden_linux if os == "linux" else forbidden_windows
-        return _guarded(os, engine, forbidden, min_length[os], enforce, required)
 
-    verdicts = (
-        F.when(windows & modules, checked("windows", "modules"))
-        .when(windows, checked("windows", "shell"))
-        .otherwise(checked("linux", "shell"))
-    )
-    passed = F.filter("_verdicts", lambda v: v["reason"].isNull())
-    return (
-        rules.withColumn("_verdicts", verdicts)
-        .withColumns(
-            {
-                "allowed": F.array_distinct(F.transform(passed, lambda v: v["path"])),
-                "blocked": F.filter("_verdicts", lambda v: v["reason"].isNotNull()),
-            }
-        )
-        .drop("_verdicts")
-    )
+def _compared(path: Column, linux: Column) -> Column:
+    return F.when(linux, path).otherwise(F.lower(path))
 
 
 def path_state(rules: DataFrame, listing: DataFrame, keys: Sequence[str] = ("host", "rule")) -> DataFrame:
@@ -359,13 +366,15 @@ def _ancestors(key: Column) -> Column:
     return F.filter(above, lambda d: (d != "") & (depth > 0))
 
 
-def _rule_regex(patterns: str, linux_modules: str) -> Column:
-    column = F.col(patterns)
-    return (
-        F.when(F.col("engine") == "modules", globs.globs_regex(column, linux_modules))
-        .when(F.coalesce("os", F.lit("linux")) == "windows", globs.globs_regex(column, "ps_like"))
-        .otherwise(globs.globs_regex(column, "find_iname"))
+def _rule_regexes() -> tuple[Column, Column]:
+    """Tests of a rule's patterns and exclusions. Only the modules engine minds case, and it excludes by simple globs."""
+    modules, windows = F.col("engine") == "modules", F.coalesce("os", F.lit("linux")) == "windows"
+    negation = modules | ~windows
+    include = globs.wildcards_regex(F.col("patterns"), negation, ~modules)
+    exclude = F.when(modules, globs.globs_regex(F.col("exclude_patterns"), "simple_name")).otherwise(
+        globs.wildcards_regex(F.col("exclude_patterns"), negation, F.lit(True))
     )
+    return include, exclude
 
 
 def rule_roots(rules: DataFrame, as_of: datetime) -> DataFrame:
@@ -376,6 +385,7 @@ def rule_roots(rules: DataFrame, as_of: datetime) -> DataFrame:
     roots = F.transform("allowed", lambda p: F.regexp_replace(_path_key(p), r"/+\z", ""))
     nested = lambda root: F.exists("_roots", lambda other: F.startswith(root, F.concat(other, F.lit("/"))))
     walked = F.when(F.col("recursive"), F.filter("_roots", lambda r: ~nested(r))).otherwise(F.col("_roots"))
+    include, exclude = _rule_regexes()
     prepared = rules.where(F.size("fatal_errors") == 0).withColumn("_roots", F.array_distinct(roots))
     return prepared.select(
         "host",
@@ -384,8 +394,8 @@ def rule_roots(rules: DataFrame, as_of: datetime) -> DataFrame:
         "recursive",
         "delete_empty_dirs",
         _cutoff(tx.safe_int("age_days").cast("int"), as_of).alias("_cutoff"),
-        _rule_regex("patterns", "fnmatch").alias("_include"),
-        _rule_regex("exclude_patterns", "simple_name").alias("_exclude"),
+        include.alias("_include"),
+        exclude.alias("_exclude"),
         F.explode(walked).alias("_dir"),
     )
 

@@ -98,12 +98,16 @@ def file_plan(t: Inputs) -> tuple[DataFrame, DataFrame]:
     return rt.guard_paths(rt.rule_errors(rt.normalize_rules(known))), unknown
 
 
-def matches(t: Inputs) -> DataFrame:
-    return rt.match_files(files(t), file_plan(t)[0], AS_OF)
-
-
-def applied(t: Inputs) -> tuple[DataFrame, DataFrame]:
-    return rt.apply_retention(files(t), matches(t), t.sql(FAILED_DELETES), mode="apply", confirmed=True)
+class Run:
+    """An apply run over the inventory, with what the queries below look at."""
+
+    def __init__(self, t: Inputs):
+        self.files = files(t)
+        self.plan, self.unknown = file_plan(t)
+        self.matches = rt.match_files(self.files, self.plan, AS_OF)
+        self.survivors, self.ledger = rt.apply_retention(
+            self.files, self.matches, t.sql(FAILED_DELETES), mode="apply", confirmed=True
+        )
 
 
 _ORDER = {row[0]: (0 if row[1] == "modules" else 1 << 40) + i + 1 for i, row in enumerate(FILE_RULES)}
@@ -142,7 +146,7 @@ counted AS (SELECT host, rule_id, count(*) AS matched_files, count(*) FILTER (WH
 
 @query("match_files", MATCHES + "SELECT host, rule_id, plan_order, path, size, mtime FROM m")
 def match_files(t: Inputs) -> DataFrame:
-    return matches(t)
+    return rt.match_files(files(t), file_plan(t)[0], AS_OF)
 
 
 @query(
@@ -155,23 +159,24 @@ def expired_files(t: Inputs) -> DataFrame:
 
 @query("retention_ledger", MATCHES + "SELECT host, rule_id, path, size, deleted FROM ledger")
 def retention_ledger(t: Inputs) -> DataFrame:
-    return applied(t)[1].select("host", "rule_id", "path", "size", "deleted")
+    return Run(t).ledger.select("host", "rule_id", "path", "size", "deleted")
 
 
 @query("retention_check_mode", MATCHES + "SELECT rule_id, count(*) AS matched, CAST(sum(size) AS BIGINT) AS bytes FROM m GROUP BY rule_id")
 def retention_check_mode(t: Inputs) -> DataFrame:
-    _, ledger = rt.apply_retention(files(t), matches(t), mode="check")
+    run = Run(t)
+    _, ledger = rt.apply_retention(run.files, run.matches, mode="check")
     return ledger.groupBy("rule_id").agg(F.count("*").alias("matched"), common.total("size").alias("bytes"))
 
 
 @query("retention_survivors", MATCHES + "SELECT host, path, size, mtime FROM survivors")
 def retention_survivors(t: Inputs) -> DataFrame:
-    return applied(t)[0]
+    return Run(t).survivors
 
 
 @query("rule_counters", MATCHES + "SELECT * FROM counted")
 def rule_counters(t: Inputs) -> DataFrame:
-    return rt.rule_counters(applied(t)[1])
+    return rt.rule_counters(Run(t).ledger)
 
 
 @query(
@@ -181,7 +186,7 @@ def rule_counters(t: Inputs) -> DataFrame:
        count(*) OVER (PARTITION BY host, rule_id) AS n FROM m) WHERE rn <= 5""",
 )
 def rule_samples(t: Inputs) -> DataFrame:
-    return rt.rule_samples(matches(t), 5)
+    return rt.rule_samples(Run(t).matches, 5)
 
 
 @query(
@@ -192,8 +197,8 @@ FROM (SELECT DISTINCT host, dir FROM f) d WHERE (starts_with(dir, '/data/error/'
 AND NOT EXISTS (SELECT 1 FROM survivors s WHERE s.host = d.host AND s.dir = d.dir)""",
 )
 def empty_dirs(t: Inputs) -> DataFrame:
-    survivors, _ = applied(t)
-    return rt.empty_dirs(rt.directories_of(files(t)), survivors, file_plan(t)[0], AS_OF)
+    run = Run(t)
+    return rt.empty_dirs(rt.directories_of(run.files), run.survivors, run.plan, AS_OF)
 
 
 _ROW_STATUS = f"""CASE rule_id WHEN 'forbidden' THEN 'blocked' WHEN 'short' THEN 'blocked' WHEN 'outside' THEN 'blocked' WHEN 'no-age' THEN 'blocked'
@@ -216,11 +221,11 @@ WHERE rule_id <> 'csv' OR host IN ('host-1', 'host-2')
 UNION ALL SELECT DISTINCT host, 'odd-engine', 'blocked', '{fv.UNKNOWN_ENGINE_DETAIL}', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM f""",
 )
 def rule_rows(t: Inputs) -> DataFrame:
-    known, unknown = file_plan(t)
-    rows = runs.rule_rows(known, rt.rule_counters(applied(t)[1]), apply=True)
+    run = Run(t)
+    rows = runs.rule_rows(run.plan, rt.rule_counters(run.ledger), apply=True)
     shown = ["host", "rule_id", "status", "status_detail", "matched_files", "deleted_files", "failed_files", "deleted_bytes"]
     zeros = {c: F.lit(0).cast("bigint") for c in shown[4:]}
-    return rows.select(*shown).unionByName(unknown.withColumns(zeros).select(*shown))
+    return rows.select(*shown).unionByName(run.unknown.withColumns(zeros).select(*shown))
 
 
 # ---- path guard over many rules ----------------------------------------------------------------------------------
