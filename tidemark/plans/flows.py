@@ -38,7 +38,7 @@ def reconcile_job(
         rc.mirrors_only(target).select("repository"), "repository", "left_semi"
     )
     tags = {
-        side: landed.tags_from_pages(pages, side).withColumnRenamed("manifest_digest", "digest")
+        side: landed.tags_from_pages(pages, side).withColumnRenamed("manifest_digest", "digest").checkpoint()
         for side, pages in (("source", source_pages), ("target", target_pages))
     }
     errors = landed.tag_errors_from_pages(source_pages, "source").unionByName(
