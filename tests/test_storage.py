@@ -1,6 +1,7 @@
 """Readers, writers and tables on disk."""
 
 import json
+from datetime import timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,22 @@ def test_inventory_scan(spark, tmp_path):
     assert landed.scan_inventory(spark, [str(tmp_path)], recursive=True).count() == 2
 
 
+def test_tree_listing_includes_hidden_names(spark, tmp_path):
+    (tmp_path / "sub" / ".deep").mkdir(parents=True)
+    (tmp_path / ".keep").write_text("1")
+    (tmp_path / "_x.log").write_text("22")
+    (tmp_path / "sub" / ".deep" / "y").write_text("333")
+    (tmp_path / "link").symlink_to(tmp_path / "sub")
+    flat = {r["filename"]: (r["size"], r["is_dir"]) for r in landed.list_tree(spark, [str(tmp_path)]).collect()}
+    assert flat[".keep"] == (1, False) and flat["_x.log"] == (2, False) and flat["sub"][1] and not flat["link"][1]
+    deep = landed.list_tree(spark, [str(tmp_path), str(tmp_path / "none")], recursive=True)
+    assert {r["path"] for r in deep.where("NOT is_dir AND filename <> 'link'").collect()} == {
+        str(tmp_path / ".keep"), str(tmp_path / "_x.log"), str(tmp_path / "sub" / ".deep" / "y"),
+    }
+    written = deep.where("filename = 'y'").first()["mtime"]
+    assert abs(written.replace(tzinfo=timezone.utc).timestamp() - (tmp_path / "sub" / ".deep" / "y").stat().st_mtime) < 1
+
+
 def test_rule_files_override_in_order(spark, tmp_path):
     for name, age in (("a.json", "1"), ("b.json", "2")):
         (tmp_path / name).write_text(json.dumps({"application": "x", "os": "linux", "name": "r", "age_days": age, "position": 1}))

@@ -324,6 +324,11 @@ def report_rows(t: Inputs) -> DataFrame:
     return rows.select("host", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "status")
 
 
+@query("env_gate", STATUS + "SELECT o_orderkey, env FROM r WHERE env IN ('1-urgent', '5-low')")
+def env_gate(t: Inputs) -> DataFrame:
+    return rf.gated(results(t), ["1-URGENT", "5-low"]).select("o_orderkey", "env")
+
+
 @query("report_hosts", STATUS + "SELECT DISTINCT host FROM r")
 def report_hosts(t: Inputs) -> DataFrame:
     rows = results(t)

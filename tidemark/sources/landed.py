@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import os
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from tidemark import fixed_values as fv
 from tidemark import schemas
 from tidemark.functions import text as tx
 from tidemark.operators.common import dedup_first
+from tidemark.session import use_checkpoint_dir
 
 METRIC_PREFIX = "metric_"
 MONTHLY_PREFIX = "monthly_"
@@ -20,7 +24,8 @@ YEARLY_PREFIX = "yearly_"
 def scan_inventory(spark: SparkSession, roots: Sequence[str], recursive: bool = False) -> DataFrame:
     """Files below the roots with size and time, without reading their content.
 
-    Spark's listing passes over names that start with ``.`` or ``_``. For large estates read an inventory table.
+    Spark's listing passes over names that start with ``.`` or ``_``; ``list_tree`` does not. For large estates read an
+    inventory table.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     files = reader.load(list(roots)).select("path", "length", "modificationTime")
@@ -33,6 +38,44 @@ def scan_inventory(spark: SparkSession, roots: Sequence[str], recursive: bool =
     )
 
 
+LISTING = "path string, filename string, size long, mtime timestamp_ntz, is_dir boolean"
+LISTED_AT_ONCE = 10_000
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of the directories given, a bounded number of rows at a time; unreadable directories give none."""
+    columns = ["path", "filename", "size", "mtime", "is_dir"]
+
+    def listed(directory: str) -> Iterator[tuple]:
+        try:
+            with os.scandir(directory) as entries:
+                for entry in entries:
+                    held, folder = entry.stat(follow_symlinks=False), entry.is_dir(follow_symlinks=False)
+                    yield entry.path, entry.name, held.st_size, pd.Timestamp(held.st_mtime_ns // 1000, unit="us"), folder
+        except OSError:
+            return
+
+    for batch in batches:
+        rows = itertools.chain.from_iterable(listed(d) for d in batch["path"])
+        while chunk := list(itertools.islice(rows, LISTED_AT_ONCE)):
+            yield pd.DataFrame(chunk, columns=columns)
+
+
+def list_tree(spark: SparkSession, roots: Sequence[str], recursive: bool = False) -> DataFrame:
+    """Files and directories below the roots, hidden ones included, of a file system mounted on every executor.
+
+    One pass per depth; the directories of a depth are spread over the tasks. Links are not followed.
+    """
+    use_checkpoint_dir(spark)
+    level, found = spark.createDataFrame([(r,) for r in roots], "path string"), None
+    while True:
+        entries = level.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(_entries, LISTING).checkpoint()
+        found = entries if found is None else found.unionByName(entries)
+        level = entries.where("is_dir").select("path")
+        if not recursive or level.isEmpty():
+            return found
+
+
 def read_metrics(spark: SparkSession, folder: str, month: str | None = None, prefix: str = METRIC_PREFIX) -> DataFrame:
     """Per-job metric files of one month (or all), told apart by file name so that other files are never opened."""
     pattern = f"{prefix}{month or '[0-9][0-9][0-9][0-9][0-9][0-9]'}_*.json"
