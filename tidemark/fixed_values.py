@@ -128,7 +128,7 @@ RUN_FAILURES = [
             ["no json object could be decoded"],
         ],
     ),
-    ("Falha na métrica mensal de economia", [["savings_metric"], ["data_purge_metric"], ["métrica mensal"], ["metric"]]),
+    ("Falha na métrica mensal de economia", [["savings_metric"], ["métrica mensal"], ["metric"]]),
     (
         "Falha no CIFS/anexos",
         [
