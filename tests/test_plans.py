@@ -38,6 +38,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_matching_reads_old_files_only_and_shuffles_none(spark):
+    plan = plan_of(catalog.QUERIES["match_files"](spark, FOLDER))
+    assert re.search(r"PushedFilters: \[.*LessThanOrEqual\(ts,2024-01-\d\dT", plan)
+    files = plan[plan.index("BroadcastHashJoin [host") : plan.index("BroadcastExchange")]
+    assert "FileScan" in files and "Exchange hashpartitioning" not in files
+
+
 def test_spread_join_spreads_one_key(spark):
     facts = spark.range(20_000).select(F.lit("hot").alias("k"), "id").repartition(4)
     lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
