@@ -66,10 +66,6 @@ def preview(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("remaining", left_out)
 
 
-def count_true(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def total(value: Column | str) -> Column:
     """Sum that is 0 over no rows."""
     return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
@@ -87,7 +83,3 @@ def unique_or_fail(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     packed = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
     message = F.concat(F.lit("duplicate key: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
     return keep_or_fail(packed, F.col("_n") == 1, message).select(*df.columns)
-
-
-def pair_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias(name))

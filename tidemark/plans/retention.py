@@ -313,6 +313,25 @@ def rule_errors(t: Inputs) -> DataFrame:
     return rt.rule_errors(guard_rules(t)).select("p_partkey", F.array_join("fatal_errors", " ").alias("errors"))
 
 
+@query(
+    "trimmed_paths",
+    plain(
+        f"""SELECT p_partkey, trim(raw) AS path, CASE WHEN length(trim(raw)) > 1 THEN rtrim(trim(raw), '/') ELSE trim(raw) END AS linux,
+  rtrim(trim(raw), '\\/') AS windows, CASE WHEN length(trim(raw)) > 3 THEN rtrim(trim(raw), '\\/') ELSE trim(raw) END AS windows_modules
+FROM (SELECT p_partkey, unnest(string_split(paths, ';')) AS raw FROM ({GUARD_RULES}))"""
+    ),
+)
+def trimmed_paths(t: Inputs) -> DataFrame:
+    paths = t.sql(GUARD_RULES).select("p_partkey", F.explode(F.split("paths", ";")).alias("path"))
+    return paths.select(
+        "p_partkey",
+        F.trim("path").alias("path"),
+        tx.trim_path("path").alias("linux"),
+        tx.trim_path("path", "windows").alias("windows"),
+        tx.trim_path("path", "windows", "modules").alias("windows_modules"),
+    )
+
+
 ALLOWED_PATHS = """SELECT 'host-' || CAST(p_partkey % 40 AS VARCHAR(20)) AS host, 'rule-' || CAST(p_partkey AS VARCHAR(20)) AS rule,
        '/data/' || p_brand || '/' || p_type AS path FROM {part}"""
 LISTING = """SELECT DISTINCT 'host-' || CAST(p_partkey % 40 AS VARCHAR(20)) AS host, '/data/' || p_brand || '/' || p_type AS path,
