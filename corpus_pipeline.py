@@ -6,19 +6,33 @@ as Parquet and read again as the next one's ``docs``. All but the last return th
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules
+from tidemark.llm import packing, quality_classifier, quality_rules
 from tidemark.llm.shared import shared_folder
 
 
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for low quality go."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.keep_good(docs, model)
+
+
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a risk-controlled cutoff rejects go."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids in windows of 2048, a row per piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality classifier", classifier_stage),
     ("quality rules", quality_rule_stage),
+    ("packing", packing_stage),
 ]
 
 #: Trained models, seeded graph searches and differencing have no SQL form; the tests hold each stage against brute force.

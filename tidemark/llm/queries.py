@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import packing, quality_classifier, quality_rules, warc
+from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +32,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op2_quality_rules")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query(
+    "op8_warc_revisits",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    h AS (SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS owner FROM h)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to
+    FROM g
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_headers(spark, archives)
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_classifier.with_scores(docs, quality_classifier.fit(docs, table(spark, folder, "labels")))
