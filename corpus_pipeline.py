@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, quality_classifier, quality_rules
+from tidemark.llm import ngram_join, packing, quality_classifier, quality_rules
 from tidemark.llm.shared import shared_folder
 
 
@@ -24,6 +24,11 @@ def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 over five words, the one with the smallest id stays."""
+    return ngram_join.keep_one(docs, width=5, percent=80)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048, a row per piece."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -32,6 +37,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", classifier_stage),
     ("quality rules", quality_rule_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
     ("packing", packing_stage),
 ]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality_classifier, quality_rules, warc
+from tidemark.llm import ngram_join, packing, quality_classifier, quality_rules, warc
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_classifier.with_scores(docs, quality_classifier.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op10_ngram_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, folder, "documents"), width=4, percent=85)
