@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram_join, packing, quality_classifier, quality_rules
+from tidemark.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
 from tidemark.llm.shared import shared_folder
 
 
@@ -29,6 +29,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return ngram_join.keep_one(docs, width=5, percent=80)
 
 
+#: Four fifths of the words, by weight; no document is used twice, as its copies have just been removed.
+TARGETS = mixing.Targets(
+    weights={"domain": {"web": 5, "code": 2, "books": 3}, "lang": {"en": 6, "fr": 2}, "source": {"src0": 2}}, percent=80, epochs=1
+)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A share of every source, by the weights of domains, languages and sources."""
+    return mixing.mix(docs, TARGETS)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048, a row per piece."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -38,6 +49,7 @@ STAGES = [
     ("quality classifier", classifier_stage),
     ("quality rules", quality_rule_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
+    ("mixing to target weights", mixing_stage),
     ("packing", packing_stage),
 ]
 
