@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, mixing, ngram_join, packing, quality_classifier, quality_rules, url_filter, warc
+from tidemark.llm import (
+    chat_format, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, url_filter, warc,
+)
 from tidemark.llm.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +220,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         ), x -> x IS NOT NULL)) AS c""",
     ).select("pattern", "verdict", "c.change", "c.at")
     return url_filter.judge(captures, changes)
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
