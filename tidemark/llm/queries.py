@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    chat_format, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, url_filter, warc,
+    chat_format, embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, url_filter, warc,
 )
 from tidemark.llm.shared import shared_folder
 
@@ -225,3 +225,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_license_scan")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, folder, "documents")))
+
+
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, folder, "embeddings"))
