@@ -273,12 +273,13 @@ proprietary | proprietary | (?:this (?:software|document|work) is )?(?:confident
 proprietary | no part of | no part of this (?:publication|work|book|document) may be reproduced
 proprietary | prior written | without (?:the )?(?:express )?prior written (?:permission|consent)
 proprietary | not be copied | may not be copied (?:reproduced )?(?:or )?(?:distributed|redistributed)
-proprietary | reproduction | (?:unauthorized|unauthorised) (?:use|copying|reproduction|duplication)(?: or distribution)?
+proprietary | unauthori | (?:unauthorized|unauthorised) (?:use|copying|reproduction|duplication)(?: or distribution)?
 proprietary | end user licen | end user licen[cs]e agreement
-noncommercial | commercial use | (?:for )?non ?commercial (?:use|purposes) only
+noncommercial | commercial | (?:for )?non ?commercial (?:use|purposes) only
 noncommercial | personal use | for personal use only
 noncommercial | commercial use | (?:no|not for) commercial use
-research-only | research | for (?:academic|research)(?: and (?:academic|research))? (?:use|purposes) only
+research-only | research | for research(?: and academic)? (?:use|purposes) only
+research-only | academic | for academic(?: and research)? (?:use|purposes) only
 evaluation-only | evaluation | for evaluation (?:use|purposes) only
 copyright | copyright | copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?
 """

@@ -125,7 +125,7 @@ def mix(docs: DataFrame, targets: Targets) -> DataFrame:
     """The chosen rows of ``docs``, each as often as it is used, with the columns of ``docs``."""
     copies = choose(docs, targets).where("copies > 0 and doc_id is not null")
     copies = staged(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "copies")
-    joined = docs.join(copies, docs["doc_id"] == copies["_id"])
+    joined = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row")).join(copies, "_id")
     if targets.epochs > 1:
         joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns])
+    return joined.select("_row.*")

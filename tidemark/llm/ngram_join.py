@@ -290,16 +290,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     found = linked_components(docs.select("doc_id", "text"), width, percent)
     gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     sent = docs.sparkSession.sparkContext.broadcast(bits_of(gone, "_gone"))
-    marked = docs.withColumn("_bit", F.coalesce(_bit("doc_id"), F.lit(0)))
-    at = len(docs.columns)
+    marked = docs.select(F.coalesce(_bit("doc_id"), F.lit(0)).alias("bit"), F.struct("*").alias("row"))
 
     def chosen(wanted: bool) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch = batch.filter(pa.array(_set_bits(batch[at], sent.value) == wanted))
-                yield batch.select(list(range(at)))
+                yield batch.filter(pa.array(_set_bits(batch[0], sent.value) == wanted))
 
-        return marked.mapInArrow(task, docs.schema)
+        return marked.mapInArrow(task, marked.schema)
 
-    maybe = chosen(True)
-    return chosen(False).union(maybe.join(gone, maybe["doc_id"] == gone["_gone"], "left_anti"))
+    maybe = chosen(True).withColumn("_gone", F.col("row.doc_id")).join(gone, "_gone", "left_anti")
+    return chosen(False).select("row.*").union(maybe.select("row.*"))

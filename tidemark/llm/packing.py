@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,30 +30,44 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import text_of
 
+#: A mark between a letter or number and white space, or the end.
+_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ ]|\Z)")
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def differencing(lengths: list[int], windows: int) -> list[list[int]]:
     """Indexes of ``lengths`` for each of ``windows`` near-equal windows."""
+    if not lengths:
+        return []
+    last = windows - 1
+    partitions = []  # ascending sums per slot; a merged one also has its two parts and which of their slots met
     heap = []
     for i, length in enumerate(lengths):
         sums = np.zeros(windows, np.int64)
-        sums[-1] = length
-        groups: list[list[int]] = [[] for _ in range(windows - 1)] + [[i]]
-        heap.append((-length, i, sums, groups))
+        sums[last] = length
+        partitions.append((sums, None, None, None))
+        heap.append((-length, i))
     heapq.heapify(heap)
-    count = len(lengths)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        merged = a + b[::-1]  # both ascend: the fullest of one meets the emptiest of the other
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        merged = partitions[a][0] + partitions[b][0][::-1]  # both ascend: the fullest of one meets the emptiest of the other
         order = np.argsort(merged, kind="stable")
-        merged, last = merged[order], windows - 1
-        groups = [in_a[k] + in_b[last - k] for k in order.tolist()]
-        merged = merged - merged[0]  # only differences matter from here on
-        heapq.heappush(heap, (-int(merged[-1]), count, merged, groups))
-        count += 1
-    return heap[0][3] if heap else []
+        merged = merged[order] - merged[order[0]]  # only differences matter
+        partitions[a], partitions[b] = (None, *partitions[a][1:]), (None, *partitions[b][1:])
+        heapq.heappush(heap, (-int(merged[last]), len(partitions)))
+        partitions.append((merged, a, b, order))
+    place: dict[int, np.ndarray] = {len(partitions) - 1: np.arange(windows)}  # the window that each slot became
+    groups: list[list[int]] = [[] for _ in range(windows)]
+    for k in range(len(partitions) - 1, -1, -1):
+        _, a, b, order = partitions[k]
+        became = place.pop(k)
+        if order is None:
+            groups[became[last]].append(k)
+            continue
+        of_a = np.empty_like(became)
+        of_a[order] = became
+        place[a], place[b] = of_a, of_a[::-1]
+    return [sorted(g) for g in groups]
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -67,8 +83,9 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Tokens:
-    """Ids of whole texts. Blanks and line ends part tokens in this vocabulary's rules, so chunks between them are tokenized
-    once and remembered; the memory is emptied when ``most`` chunks are held."""
+    """Ids of whole texts. Blanks, line ends, and a full stop or comma between a letter and a blank part tokens in this
+    vocabulary's rules, so the chunks between them are tokenized once and remembered; the memory is emptied when it holds
+    ``most`` chunks."""
 
     def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
@@ -76,23 +93,23 @@ class Tokens:
 
         self.encode, self.most, self.held = Tokenizer.from_file(path), most, {"": b""}
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            held = self.held
-            new = [c for c in set(chunks) if c not in held]
-            if new:
-                if len(held) + len(new) > self.most:
-                    held.clear()
-                    held[""] = b""
-                    new = list(set(chunks) - {""})
-                for c, e in zip(new, self.encode.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    held[c] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(held.__getitem__, chunks))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [_MARK.sub(r" \1", text.replace("\n", " ")).split(" ") for text in texts]
+        new = {c for chunks in cut for c in chunks}
+        new.difference_update(self.held)
+        if new and len(self.held) + len(new) > self.most:
+            self.held = {"": b""}
+            new = {c for chunks in cut for c in chunks if c}
+        todo = list(new)
+        for at in range(0, len(todo), 10_000):
+            part = todo[at : at + 10_000]
+            for c, e in zip(part, self.encode.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.held[c] = array("I", e.ids).tobytes()
+        return [b"".join(map(self.held.__getitem__, chunks)) for chunks in cut]
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, piece: int = 512, windows_at_once: int = 192
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, piece: int = 512, windows_at_once: int = 128
 ) -> DataFrame:
     """Pieces of every row of ``docs (doc_id, text)``: ``ids`` are little-endian unsigned 32-bit integers, ``start`` counts
     the document's ids before the piece, ``offset`` those before it in its sequence."""

@@ -50,7 +50,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     lines = F.filter(F.split(text_of(text), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     plain = F.trim(F.regexp_replace(text_of(text), r"[\x20\x09-\x0D]+", " "))
-    windows = F.regexp_extract_all("_plain", F.lit("(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), F.lit(1))
+    windows = F.regexp_extract_all("_plain", F.lit("(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), F.lit(1))
     # where all windows differ, none need be sorted
     places = F.sequence(F.lit(0), F.size("_windows") - 1)
     some_twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rules: Rules = Rules())
 
 def keep_good(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``. Texts are measured again rather than shuffled."""
-    rows = docs.withColumn("_stratum", stratum_of(rules))
-    measured = staged(measure(rows.select("doc_id", "text", "_stratum")).drop("text"), "measured")
+    rows = docs.select("doc_id", "text", stratum_of(rules).alias("_stratum"), F.struct("*").alias("_row"))
+    measured = staged(measure(rows.drop("_row")).drop("text"), "measured")
     cutoffs = staged(calibrate(measured, labels, rules), "cutoffs")
-    return judge(measure(rows), cutoffs, rules).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(measure(rows), cutoffs, rules).where("_kept").select("_row.*")
