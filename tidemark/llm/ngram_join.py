@@ -12,7 +12,8 @@ least ``ceil(percent * n / 100)``. A global order of all shingles, rare before f
 Large groups of near copies would meet in every short list of their common part. So first each class is compared only with
 one partner, the list head (smallest id) that it meets most often; the links found make first components. Only pairs that
 cross components are then searched; in each list the largest component is a "main" side that others are joined with, and
-lists within one component are left out. Results are whole: pairs left out lie in one component already.
+lists within one component are left out. A pair is not even counted if the set whose short lists end earlier in the order
+has so many short lists to itself that the rest is less than T: the other set can't hold those shingles. Results are whole: pairs left out lie in one component already.
 
 The order comes from a sketch of all shingles' counts of a fixed size (``sketch`` counters), so what is broadcast doesn't
 grow with the input; any order gives the same result. Shingles are 64-bit hashes of 64-bit word hashes: two of a pair's
@@ -137,8 +138,11 @@ def order_of(scanned: DataFrame, sketch: int) -> np.ndarray:
 
 
 def short_lists(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id, n`` and the shingles of each document whose lists are short: the first ones in the global order."""
-    schema = "doc_id long, n long, short array<long>"
+    """``doc_id, n`` and the shingles of each document whose lists are short: the first ones in the global order.
+
+    ``rank`` and ``place`` are the last one's position in the order; places compare as their unsigned hashes do.
+    """
+    schema = "doc_id long, n long, rank long, place long, short array<long>"
     sent, last = docs.sparkSession.sparkContext.broadcast(ranks), np.uint64(len(ranks) - 1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +154,10 @@ def short_lists(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) ->
                 n = len(found)
                 if n and doc_id is not None:
                     first = n - -(-n * percent // 100) + 1
-                    order = np.lexsort((found, sent.value[(found & last).astype(np.int64)]))[:first]
-                    rows.append((doc_id, n, found[order].view(np.int64)))
+                    rank = sent.value[(found & last).astype(np.int64)]
+                    order = np.lexsort((found, rank))[:first]
+                    place = int(found[order[-1]]) - (1 << 63)
+                    rows.append((doc_id, n, int(rank[order[-1]]), place, found[order].view(np.int64)))
             yield _batch(schema, rows)
 
     return docs.mapInArrow(task, schema)
@@ -221,12 +227,16 @@ def _may_link(n: str, m: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & F.col(n).isNotNull()
 
 
+def _overlap(n: str, m: str, percent: int) -> Column:
+    """T, the least overlap of a linked pair."""
+    return F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+
+
 def _enough(occurrences: str, n: str, m: str, percent: int) -> Column:
     """Whether a pair with so many occurrences in short lists can still reach its overlap T (T - L occurrences)."""
     most = F.greatest(n, m)
-    overlap = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
     long_lists = F.floor((most * percent + 99) / 100).cast("long") - 1
-    return F.col(occurrences) >= F.greatest(F.lit(1), overlap - long_lists)
+    return F.col(occurrences) >= F.greatest(F.lit(1), _overlap(n, m, percent) - long_lists)
 
 
 def linked_components(
@@ -242,7 +252,8 @@ def linked_components(
     classes = staged(filled.groupBy("n", "print").agg(F.min("doc_id").alias("class"), F.count("*").alias("rows")), "classes")
     short = short_lists(docs, ranks, width, percent)
     short = short.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
-    entries = staged(short.select("doc_id", "n", F.explode("short").alias("shingle")), "entries")
+    short = staged(short.dropDuplicates(["doc_id"]), "short")
+    entries = short.select("doc_id", "n", F.explode("short").alias("shingle"))
     heads = entries.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("entries"))
     heads = staged(heads.where("entries > 1").select("shingle", "head.doc_id", "head.n").toDF("shingle", "head", "head_n"), "heads")
     lists = staged(entries.join(heads, "shingle"), "lists")  # lists of two and more
@@ -255,15 +266,21 @@ def linked_components(
     joined = staged(components(first), "joined")
 
     # pairs across first components
-    sided = lists.select("shingle", "doc_id", "n").join(joined, lists["doc_id"] == joined["node"], "left")
-    sided = staged(sided.select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")), "sided")
+    nodes = lists.groupBy("doc_id").agg(F.count("*").alias("met"))
+    nodes = nodes.join(short.select("doc_id", "n", F.struct("rank", "place").alias("last"), F.size("short").alias("first")), "doc_id")
+    nodes = nodes.join(joined, F.col("doc_id") == F.col("node"), "left")
+    part = F.coalesce("component", "doc_id").alias("part")
+    nodes = staged(nodes.select("doc_id", "n", "last", (F.col("n") - F.col("first") + F.col("met")).alias("most"), part), "nodes")
+    sided = staged(lists.select("shingle", "doc_id").join(nodes, "doc_id"), "sided")
     parts = sided.groupBy("shingle", "part").agg(F.count("*").alias("entries"))
     mains = parts.groupBy("shingle").agg(F.max_by("part", "entries").alias("main"), F.count("*").alias("parts"))
     mixed = staged(sided.join(staged(mains.where("parts > 1").drop("parts"), "mains"), "shingle"), "mixed")
-    x = mixed.where("part <> main").select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("part").alias("pa"))
-    y = mixed.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb"), "main")
+    x = mixed.where("part <> main").toDF("shingle", "a", "n", "last_a", "most_a", "pa", "main_a").drop("main_a")
+    y = mixed.toDF("shingle", "b", "m", "last_b", "most_b", "pb", "main")
     once = (F.col("pa") != F.col("pb")) & ((F.col("pb") == F.col("main")) | (F.col("b") < F.col("a")))
-    hits = x.join(y, "shingle").where(once & _may_link("n", "m", percent))
+    # a short list that holds one document only can't be met by a set whose short lists reach as far in the order
+    reach = F.when(F.col("last_a") <= F.col("last_b"), F.col("most_a")).otherwise(F.col("most_b"))
+    hits = x.join(y, "shingle").where(once & _may_link("n", "m", percent) & (reach >= _overlap("n", "m", percent)))
     hits = hits.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m"))
     pairs = hits.groupBy("a", "b", "n", "m").agg(F.count("*").alias("times")).where(_enough("times", "n", "m", percent))
     links = probe(docs, staged(pairs.select("a", "b"), "pairs"), width, percent)
