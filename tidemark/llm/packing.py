@@ -28,10 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_of
-
-#: A mark between a letter or number and white space, or the end.
-_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ ]|\Z)")
+from tidemark.llm.shared import LOWER, UPPER, text_of
+
+#: Line ends become blanks and A-Z small, as in the vocabulary's own normal form.
+_PLAIN = bytes.maketrans(b"\n" + UPPER.encode(), b" " + LOWER.encode())
+#: A mark between an ASCII letter or digit and a blank, or the end.
+_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?= |\Z)")
+#: Small Latin letters only: one piece in normal form already, so the merges can be asked for directly.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: How byte-level vocabularies write the bytes that are no visible Latin-1 characters (of those that occur in such words).
+_BYTES = {b: 290 + b - 128 for b in range(128, 161)} | {173: 323}
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -83,30 +89,41 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Tokens:
-    """Ids of whole texts. Blanks, line ends, and a full stop or comma between a letter and a blank part tokens in this
+    """Ids of whole texts in UTF-8. Blanks, line ends, and a full stop or comma between a letter and a blank part tokens in this
     vocabulary's rules, so the chunks between them are tokenized once and remembered; the memory is emptied when it holds
     ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.held = Tokenizer.from_file(path), most, {"": b""}
+        self.encode, self.most, self.held = Tokenizer.from_file(path), most, {b"": b""}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [_MARK.sub(r" \1", text.replace("\n", " ")).split(" ") for text in texts]
-        new = {c for chunks in cut for c in chunks}
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        cut = [self._chunks(text) for text in texts]
+        new = set().union(*cut)
         new.difference_update(self.held)
         if new and len(self.held) + len(new) > self.most:
-            self.held = {"": b""}
-            new = {c for chunks in cut for c in chunks if c}
-        todo = list(new)
-        for at in range(0, len(todo), 10_000):
-            part = todo[at : at + 10_000]
-            for c, e in zip(part, self.encode.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.held[c] = array("I", e.ids).tobytes()
+            self.held = {b"": b""}
+            new = set().union(*cut)
+            new.discard(b"")
+        letters, other, merge = [], [], self.encode.model.tokenize
+        for c in new:
+            (letters if _LETTERS.fullmatch(c) else other).append(c)
+        for c in letters:
+            self.held[c] = array("I", [t.id for t in merge(c.decode("latin-1").translate(_BYTES))]).tobytes()
+        for at in range(0, len(other), 10_000):
+            part = other[at : at + 10_000]
+            coded = self.encode.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
+            self.held.update(zip(part, [array("I", e.ids).tobytes() for e in coded], strict=True))
         return [b"".join(map(self.held.__getitem__, chunks)) for chunks in cut]
 
+    @staticmethod
+    def _chunks(text: bytes) -> list[bytes]:
+        if b"<|" in text:  # may name a special token, whose case counts
+            return text.split(b" ")
+        return _MARK.sub(rb" \1", text.translate(_PLAIN)).split(b" ")
+
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, piece: int = 512, windows_at_once: int = 128
@@ -139,7 +156,7 @@ def pack_documents(
 
         for batch in batches:
             ready, held = [], 0
-            for doc_id, ids in zip(batch[0].to_pylist(), tokens(batch[1].to_pylist()), strict=True):
+            for doc_id, ids in zip(batch[0].to_pylist(), tokens(batch[1].cast(pa.binary()).to_pylist()), strict=True):
                 ids += end_id
                 n = len(ids) // 4
                 whole = n - n % capacity
