@@ -135,3 +135,11 @@ def test_failing_checks_fail_the_job(spark):
     with pytest.raises(Exception, match="duplicate key: a"):
         unique_or_fail(frame, ["k"]).collect()
     assert unique_or_fail(frame.where("v > 1"), ["k"]).count() == 2
+
+
+def test_long_numbers_keep_every_digit(spark):
+    texts = ["1234567890123456789", "-1234567890123456789", "1234567890123456789.9", "12e3", "000000000000000000000007", "1.5e2", "x"]
+    got = one(spark, *[tx.safe_int(F.lit(t)) for t in texts])
+    assert got == (1234567890123456789, -1234567890123456789, 1234567890123456789, 12000, 7, 150, 0)
+    with pytest.raises(Exception, match="64 bits"):
+        one(spark, tx.safe_int(F.lit("12345678901234567890")))

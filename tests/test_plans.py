@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import common
+from tidemark.operators import retention as rt
 from tidemark.plans import catalog
 from tidemark.plans.registry import Inputs
 
@@ -45,16 +46,30 @@ def test_matching_reads_old_files_only_and_shuffles_none(spark):
     assert "FileScan" in files and "Exchange hashpartitioning" not in files
 
 
-def test_spread_join_spreads_one_key(spark):
-    facts = spark.range(20_000).select(F.lit("hot").alias("k"), "id").repartition(4)
-    lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.enabled", False)
+def test_small_lookups_are_never_repeated(spark):
+    for name in ("reconcile_rows_fnmatch", "plan_rules", "path_state", "catalog_objects", "mounts_for_rules"):
+        assert "_slot" not in plan_of(catalog.QUERIES[name](spark, FOLDER)), name
+
+
+def test_a_hot_key_is_split_where_the_lookup_is_large(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
-        joined = common.spread_join(facts, lookup, ["k"], ["id"])
-        sizes = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+        paths = spark.range(40_000).select(
+            F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("h"), "id")).alias("host"), F.col("id").alias("rule"),
+            F.array(F.lit("/data")).alias("allowed"),
+        ).repartition(8)
+        listing = spark.range(40_000).select(F.concat(F.lit("h"), "id").alias("host"), F.lit("/data").alias("path"), F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("message")).repartition(4)
+        state = rt.path_state(paths, listing)
+        assert state.count() == 40_000
+        state.write.format("noop").mode("overwrite").save()
+        held = state.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+        assert held.agg(F.max("n")).first()[0] < 20_000
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", True)
-    assert sum(r["n"] for r in sizes) == 20_000
-    assert max(r["n"] for r in sizes) < 10_000
+        for key in settings:
+            spark.conf.unset(key)

@@ -190,17 +190,17 @@ def test_samples(spark):
 def test_plan_of_the_lab_matrix(spark):
     maps = "map<string,array<string>>"
     matrix = spark.createDataFrame(
-        [("hml", "lab_linux", ["10.0.0.35"], None, None), ("prd", "lab_linux", [" 10.0.0.1", "10.0.0.2"], {"linux": ["/data"]}, None), ("prd", "Sinacor", ["WIN-1"], None, {"windows": "replace"})],
+        [("hml", "lab_linux", ["10.0.0.35"], None, None), ("prd", "lab_linux", [" 10.0.0.1", "10.0.0.2"], {"linux": ["/data"]}, None), ("prd", "Harbour", ["WIN-1"], None, {"windows": "replace"})],
         f"environment string, application string, members array<string>, allowed_prefixes {maps}, merge map<string,string>",
     )
-    apps = spark.createDataFrame([("lab_linux", {"linux": ["/opt/lab"]}), ("sinacor", None)], f"application string, allowed_prefixes {maps}")
+    apps = spark.createDataFrame([("lab_linux", {"linux": ["/opt/lab"]}), ("harbour", None)], f"application string, allowed_prefixes {maps}")
     rules = spark.createDataFrame(
         [
             ("application", "lab_linux", None, "linux", "all", None, None, None, None, 1),
             ("application", "lab_linux", None, "linux", "one", None, ["10.0.0.1"], None, ["/ignored"], 2),
             ("application", "lab_linux", None, "linux", "not-one", "modules", None, ["10.0.0.1"], None, 3),
-            ("application", "sinacor", None, "windows", "replaced", None, None, None, None, 1),
-            ("environment_overlay", "sinacor", "PRD", "windows", "overlay", None, None, None, None, 1),
+            ("application", "harbour", None, "windows", "replaced", None, None, None, None, 1),
+            ("environment_overlay", "harbour", "PRD", "windows", "overlay", None, None, None, None, 1),
             ("environment_overlay", "lab_linux", "dr", "linux", "other-env", None, None, None, None, 1),
             ("global", "_global", None, "linux", "tmp", None, None, None, ["/tmp"], 1),
         ],
@@ -229,3 +229,49 @@ def test_attachment_plans(spark):
     assert action(sized, limit_bytes=299, compress=False) == "cifs_only"
     assert action(sized, limit_bytes=299, archive_bytes=F.lit(120)) == "compressed"
     assert action(sized, limit_bytes=299, archive_bytes=F.lit(999)) == "cifs_only"
+
+
+def test_totals_hold_every_rule_of_the_run(spark):
+    tree = files(spark, ("/opt/lab/a/x/old.log", 3, 99))
+    rules = [
+        rule("gone", ["/opt/lab/a", "/opt/lab/none"], ["*.log"], recursive=True, empty=True, position=1),
+        rule("odd", ["/opt/lab/a"], ["*"], engine="robot", position=2),
+    ]
+    planned = plan(spark, *rules)
+    host = planned.first()["host"]
+    listing = spark.createDataFrame([(host, "/opt/lab/a", True, None)], "host string, path string, is_dir boolean, message string")
+    dirs = spark.createDataFrame([(host, "/opt/lab/a/bare")], "host string, path string")
+    broken = "host string, started boolean, completed boolean, failure_recorded boolean"
+    states = spark.createDataFrame([(host, True, True, False), ("lost", True, False, False)], broken)
+    done = flows.purge_job(tree, planned, AS_OF, "apply", True, listing=listing, dirs=dirs, states=states)
+    totals = done["totals"].first()
+    assert (totals["total_rules"], totals["total_blocked_rules"], totals["total_failed_rules"]) == (3, 1, 1)
+    assert (totals["total_missing_paths"], totals["total_removed_empty_dirs"], totals["total_deleted_bytes"]) == (1, 2, 3)
+    assert sorted(r["path"] for r in done["empty_dirs"].collect()) == ["/opt/lab/a/bare", "/opt/lab/a/x"]
+
+
+def test_share_paths_match_whatever_their_case_and_separators(spark):
+    tree = files(spark, ("\\\\SRV\\Share\\logs\\a.LOG", 1, 99), ("\\\\srv\\share/logs/sub\\b.log", 1, 99), ("\\\\srv\\other\\c.log", 1, 99))
+    guarded_ = rt.guard_paths(rt.rule_errors(rt.normalize_rules(plan(spark, rule("r", ["\\\\srv\\share\\logs\\"], ["*.log"], recursive=True)).withColumns(
+        {"os": F.lit("windows"), "allowed_prefixes": F.array(F.lit("\\\\srv\\share"))}
+    ))))
+    assert guarded_.first()["fatal_errors"] == [] and len(guarded_.first()["allowed"]) == 1
+    assert {r["path"][-5:].lower() for r in rt.match_files(tree, guarded_, AS_OF).collect()} == {"a.log", "b.log"} or {
+        r["path"][-5:].lower() for r in rt.match_files(tree, guarded_, AS_OF).collect()
+    } == {"a.log", "\\b.log"}
+
+
+def test_all_details_of_a_failure_are_kept(spark):
+    details = [f"{i} " + "x" * 3000 for i in range(25)]
+    rows = runs.failed_host_rows(spark.createDataFrame([("h", "c", "t", details)], "host string, category string, task string, details array<string>"))
+    assert rows.first()["fatal_errors"][2:] == details
+    shown = runs.shown_failures(rows).first()["fatal_errors"]
+    assert len(shown) == 12 and max(map(len, shown)) == 1500
+
+
+def test_ages_by_engine(spark):
+    errors = {}
+    for engine, age in (("modules", "7.5"), ("shell", "7.5"), ("modules", "0.9"), ("modules", "x")):
+        got = rt.rule_errors(rt.normalize_rules(plan(spark, rule("r", ["/opt/lab/a"], ["*"], engine=engine, age=age)))).first()
+        errors[engine, age] = len(got["fatal_errors"])
+    assert errors == {("modules", "7.5"): 0, ("shell", "7.5"): 1, ("modules", "0.9"): 1, ("modules", "x"): 1}

@@ -113,6 +113,8 @@ def test_tree_listing_includes_hidden_names(spark, tmp_path):
     flat = {r["filename"]: (r["size"], r["is_dir"]) for r in landed.list_tree(spark, [str(tmp_path)]).collect()}
     assert flat[".keep"] == (1, False) and flat["_x.log"] == (2, False) and flat["sub"][1] and not flat["link"][1]
     deep = landed.list_tree(spark, [str(tmp_path), str(tmp_path / "none")], recursive=True)
+    lost = deep.where("message IS NOT NULL").collect()
+    assert [(r["path"], r["is_dir"]) for r in lost] == [(str(tmp_path / "none"), None)] and "No such" in lost[0]["message"]
     assert {r["path"] for r in deep.where("NOT is_dir AND filename <> 'link'").collect()} == {
         str(tmp_path / ".keep"), str(tmp_path / "_x.log"), str(tmp_path / "sub" / ".deep" / "y"),
     }
@@ -125,6 +127,29 @@ def test_rule_files_override_in_order(spark, tmp_path):
         (tmp_path / name).write_text(json.dumps({"application": "x", "os": "linux", "name": "r", "age_days": age, "position": 1}))
     rules = landed.load_rules(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
     assert [r["age_days"] for r in rules.collect()] == ["2"]
+    for folder, names in (("one", ["r", "s"]), ("two", ["t"])):
+        (tmp_path / folder).mkdir()
+        lines = [json.dumps({"application": "x", "os": "linux", "name": n, "age_days": "1", "position": 1}) for n in names]
+        (tmp_path / folder / "rules.json").write_text("\n".join(lines))
+    folders = [str(tmp_path / "one"), str(tmp_path / "two")]
+    assert [r["name"] for r in landed.load_rules(spark, folders).collect()] == ["t"]  # the whole list is replaced
+    assert sorted(r["name"] for r in landed.load_rules(spark, folders[::-1]).collect()) == ["r", "s"]
+
+
+def test_foreign_and_damaged_records_stop_the_month(spark, tmp_path):
+    def put(folder, name, record):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(record)
+
+    good = json.dumps({"job_id": "1", "month": "202401", "total_deleted_files": 1, "total_deleted_bytes": 10, "total_failed_files": 0})
+    for folder, other in (("foreign", good.replace("202401", "202312")), ("cut", good[:30])):
+        put(folder, "metric_202401_1.json", good)
+        put(folder, "metric_202401_2.json", other)
+        with pytest.raises(Exception):  # noqa: B017
+            flows.savings_month_job(spark, str(tmp_path / folder), str(tmp_path / f"store-{folder}"), "202401")
+        assert not (tmp_path / f"store-{folder}" / "month=202401").exists()
+    raw = spark.createDataFrame([("1", "202401"), ("2", "202312"), ("3", None)], "job_id string, month string")
+    assert sorted(r["job_id"] for r in sv.rejected_period(raw, "202401").collect()) == ["2", "3"]
 
 
 def test_refresh_from_load_to_checks(spark):
@@ -139,7 +164,7 @@ def test_refresh_from_load_to_checks(spark):
     views = {"rf_view": "SELECT count(*) AS n FROM rf_people WHERE full_name LIKE 'CLIENTE%'"}
     for _ in range(2):
         rf_done = flows.refresh_job(
-            spark, source, {"rf_settings": settings}, good, "lab", preserve=["rf_settings"], truncate=["rf_sessions"], masks=masks, views=views
+            spark, source, {"rf_settings": settings}, good, "lab", preserve=["rf_settings"], truncate=["rf_sessions"], masks=masks, views=views, seed="s"
         )
         assert rf_done is None
     assert spark.table("rf_settings").first()["config_value"] == "lab"
@@ -152,12 +177,22 @@ def test_refresh_from_load_to_checks(spark):
     bad = spark.createDataFrame([("s", "FALHA")], "host string, status string")
     with pytest.raises(RuntimeError, match="sources"):
         flows.refresh_job(spark, source, {}, bad, "lab")
+    absent = spark.createDataFrame([("s",), ("t",)], "host string")
+    with pytest.raises(RuntimeError, match="sources"):
+        flows.refresh_job(spark, source, {}, good, "lab", planned=absent)
+    with pytest.raises(RuntimeError, match="sources"):
+        flows.refresh_job(spark, source, {}, good.limit(0), "lab")
+    with pytest.raises(ValueError, match="seed"):
+        flows.refresh_job(spark, source, {}, good, "lab", masks=masks)
+    assert {r["run_status"] for r in rf.with_run_status(rf.run_checks(checks)).collect()} == {"FALHA"}
+    assert {r["run_status"] for r in rf.with_run_status(rf.run_checks(checks[:2])).collect()} == {"SUCESSO"}
     with pytest.raises(PermissionError):
         flows.refresh_job(spark, source, {}, good, "PRD", protected=["prd"])
     for name in ("rf_settings", "rf_sessions", "rf_people"):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         spark.sql(f"DROP TABLE IF EXISTS {name}_old")
     spark.sql("DROP TABLE IF EXISTS rf_view")
+    spark.sql("DROP TABLE IF EXISTS rf_view_old")
 
 
 def test_plan_validation(spark):

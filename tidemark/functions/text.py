@@ -32,21 +32,32 @@ def yes_no(text: Column | str) -> Column:
 
 
 def safe_int(text: Column | str) -> Column:
-    """Whole part of a number given as text; anything unreadable is 0.
+    """Whole part of a number given as text; anything unreadable is 0. A number beyond 64 bits fails the job.
 
-    The shape is tested first: a failed cast costs an exception per row.
+    The shape is tested first: a failed cast costs an exception per row. Digits are never read through a double.
     """
     value = F.trim(col(text).cast("string"))
+    whole = F.regexp_extract(value, r"\A([+-]?[0-9]*)", 1)
     return (
         F.when(F.rlike(value, F.lit(r"\A[+-]?[0-9]{1,18}\z")), value.cast("bigint"))
+        .when(F.rlike(value, F.lit(r"\A[+-]?[0-9]+([.][0-9]*)?\z")), whole_number(whole))
         .when(
             F.rlike(value, F.lit(r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z")),
-            F.coalesce(value.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint")),
+            F.coalesce(value.try_cast("decimal(38,9)").try_cast("bigint"), value.try_cast("double").try_cast("bigint"), _too_large(value)),
         )
         .otherwise(F.lit(0).cast("bigint"))
     )
 
 
+def whole_number(digits: Column) -> Column:
+    """Digits of any number as a 64-bit integer; the job fails where they don't fit."""
+    return F.coalesce(digits.try_cast("decimal(38,0)").try_cast("bigint"), _too_large(digits))
+
+
+def _too_large(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.raise_error(F.concat(F.lit("number beyond 64 bits: "), value)).cast("bigint"))
+
+
 def human_bytes(size: Column | str) -> Column:
     """Byte count with the largest fitting unit (base 1024) and two decimals.
 

@@ -7,38 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a frame."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the estimate is within the session's broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(df) <= limit
-
-
-def spread_slots(df: DataFrame) -> int:
-    """Parts one key is split into: more on a cluster with more shuffle partitions."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(partitions // 4, 16), 256)
-
-
-def spread_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Join many rows to a keyed frame although one key may hold a large share of the rows.
-
-    A lookup within the broadcast limit joins as it is: Spark broadcasts it and the rows are not shuffled at all.
-    Beyond the limit the rows of one key are split by a hash of ``spread_by``, and the lookup is repeated per part.
-    """
-    if fits_broadcast(lookup):
-        return facts.join(lookup, list(on), how)
-    slots = spread_slots(facts)
-    slot = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(slots)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
-    return facts.withColumn("_slot", slot).join(lookup.withColumn("_slot", every), [*on, "_slot"], how).drop("_slot")
-
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """First ``n`` rows of every key. Each map task keeps only ``n`` rows of a key before the shuffle."""

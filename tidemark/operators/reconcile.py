@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import globs
 from tidemark.functions import text as tx
-from tidemark.operators.common import dedup_last, first_rows, preview, spread_join
+from tidemark.operators.common import dedup_last, first_rows, preview
 
 ROW_COLUMNS = [
     "repository", "tag", "status", "severity", "mirror_status", "mirror_enabled", "filter", "source_digest",
@@ -93,7 +93,7 @@ def reconcile(
     if dialect == "script" and "arrival" in target.columns:
         target = dedup_last(target.dropna(subset=["tag", "repository"]), ["tag", "repository"], ["arrival", "digest"])
     pairs = _sides(source, target, dialect)
-    rows = spread_join(pairs, cfg, ["repository"], ["tag"])
+    rows = pairs.join(cfg, "repository")
     rows = rows.withColumn("in_filter", F.coalesce(F.rlike("tag", F.col("_regex")), F.lit(False)))
     seen = [F.col(c) for c in ("in_source", "in_target", "in_filter", "source_digest", "target_digest")]
     rows = rows.withColumn("status", tag_status(*seen))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
-from tidemark.operators.common import spread_join, unique_or_fail
+from tidemark.operators.common import unique_or_fail
 
 
 # ---- plan --------------------------------------------------------------------------------------------------------
@@ -96,10 +96,23 @@ def validate_plan(plan: DataFrame, action: str, confirmed: bool = False) -> Data
     return counts.select(F.explode(found).alias("violation"), "sources", "targets")
 
 
-def refresh_ready(results: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets that may start: all of them when every source succeeded, else none."""
-    blocked = results.agg(F.count_if(F.coalesce("status", F.lit(fv.NOT_RUN)) != fv.SUCCEEDED)).scalar()
-    return targets.where(blocked == 0)
+def refresh_ready(results: DataFrame, targets: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """Targets that may start: all of them when every planned source (``host``) succeeded, else none.
+
+    A planned source without a result has not run. Without a plan the results name the sources; none at all block too.
+    """
+    status = F.coalesce("status", F.lit(fv.NOT_RUN))
+    sources = _with_absent(results, planned)
+    ready = sources.agg((F.count("*") > 0) & (F.count_if(status != fv.SUCCEEDED) == 0)).scalar()
+    return targets.where(ready)
+
+
+def _with_absent(results: DataFrame, planned: DataFrame | None) -> DataFrame:
+    """Results plus a row without status for every planned host that has none."""
+    if planned is None:
+        return results
+    absent = planned.select("host").distinct().join(results.select("host").distinct(), "host", "left_anti")
+    return results.unionByName(absent, allowMissingColumns=True)
 
 
 def latest_snapshot(dumps: DataFrame) -> DataFrame:
@@ -169,6 +182,20 @@ def refresh_views(spark: SparkSession, views: Mapping[str, str], only: Sequence[
     return done
 
 
+def stage_views(spark: SparkSession, views: Mapping[str, str], tables: Sequence[str], suffix: str = "_restoring") -> list[str]:
+    """Derived tables from their queries, beside the live ones; the queries see the staged form of ``tables``."""
+    try:
+        for name in tables:
+            spark.table(name + suffix).createOrReplaceTempView(name)
+        for name, query in views.items():
+            spark.sql(query).write.mode("overwrite").saveAsTable(name + suffix)
+            spark.table(name + suffix).createOrReplaceTempView(name)  # later views may build on it
+    finally:
+        for name in [*tables, *views]:
+            spark.catalog.dropTempView(name)
+    return [name + suffix for name in views]
+
+
 def analyze(spark: SparkSession, tables: Sequence[str], columns: bool = True) -> None:
     for name in tables:
         spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if columns else ""))
@@ -201,6 +228,12 @@ def run_checks(checks: Sequence[Check]) -> DataFrame:
     return result
 
 
+def with_run_status(outcome: DataFrame) -> DataFrame:
+    """Check rows with ``run_status``: failed where any check is."""
+    broken = outcome.agg(F.coalesce(F.bool_or(~F.col("passed")), F.lit(False))).scalar()
+    return outcome.withColumn("run_status", F.when(broken, fv.FAILED).otherwise(fv.SUCCEEDED))
+
+
 def property_parity(first: DataFrame, second: DataFrame, properties: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
     """Named objects whose properties differ between two sides; null equals null, and some may differ on purpose."""
     compared = [p for p in properties if p not in ignore]
@@ -231,7 +264,7 @@ def quote_name(name: Column | str) -> Column:
 def catalog_objects(objects: DataFrame, schemas: DataFrame) -> DataFrame:
     """Objects with the name of their schema. Default privileges may belong to no schema; other objects need one."""
     names = schemas.select("schema_id", F.col("name").alias("schema"))
-    joined = spread_join(objects, names, ["schema_id"], ["kind", "name"], "left")
+    joined = objects.join(names, "schema_id", "left")
     return joined.where(F.col("schema").isNotNull() | (F.col("kind") == "default")).drop("schema_id")
 
 
@@ -327,8 +360,12 @@ def report_hosts(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return sources.select("host").union(targets.select("host")).distinct()
 
 
-def cleanup_gate(results: DataFrame) -> DataFrame:
-    """A shared dump may go when every host succeeded and the targets used exactly one dump."""
+def cleanup_gate(results: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """A shared dump may go when every host succeeded and the targets used exactly one dump.
+
+    ``planned`` names the hosts that must have a result; one without has not succeeded.
+    """
+    results = _with_absent(results, planned)
     status = F.coalesce("status", F.lit(fv.NOT_RUN))
     used = F.when(F.col("role") == "target", F.nullif(F.col("dump"), F.lit("")))
     gate = results.agg(F.count_if(status != fv.SUCCEEDED).alias("not_succeeded"), F.count_distinct(used).alias("dumps"))

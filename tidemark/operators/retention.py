@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import globs
 from tidemark.functions import text as tx
-from tidemark.operators.common import first_rows, spread_join, total
+from tidemark.operators.common import first_rows, total
 
 EMPTY = "array<string>"
 
@@ -53,9 +53,13 @@ def normalize_rules(rules: DataFrame) -> DataFrame:
 
 
 def rule_errors(rules: DataFrame) -> DataFrame:
-    """Adds ``fatal_errors``: what keeps a (normalized) rule from running."""
+    """Adds ``fatal_errors``: what keeps a (normalized) rule from running.
+
+    The shell engine takes digits only as an age, the modules engine the whole part of any number.
+    """
     age = F.col("age_days").cast("string")
-    valid_age = F.coalesce(F.rlike(age, F.lit(r"\A[0-9]+\z")) & (tx.safe_int(age) > 0), F.lit(False))
+    readable = (F.col("engine") == "modules") | F.rlike(age, F.lit(r"\A[0-9]+\z"))
+    valid_age = F.coalesce(readable & (tx.safe_int(age) > 0), F.lit(False))
     found = F.array(
         F.when(F.size("paths") == 0, fv.RULE_NO_PATHS),
         F.when(F.size("patterns") == 0, fv.RULE_NO_PATTERNS),
@@ -173,7 +177,7 @@ def path_state(rules: DataFrame, listing: DataFrame, keys: Sequence[str] = ("hos
         .when(denied, fv.PATH_DENIED)
         .when(F.col("state") == "error", F.concat(F.lit("falha ao validar o path: "), F.col("message")))
     )
-    joined = spread_join(paths, seen, ["host", "path"], keys, "left").withColumn("state", state).withColumn("reason", reason)
+    joined = paths.join(seen, ["host", "path"], "left").withColumn("state", state).withColumn("reason", reason)
     return joined.select(*keys, "path", "state", "reason")
 
 
@@ -225,7 +229,7 @@ def resolve_plan(
     app_prefixes = applications.select(
         F.lower("application").alias("application"), F.col("allowed_prefixes").alias("_app_prefixes")
     )
-    placed = spread_join(members, app_prefixes, ["application"], ["host"], "left").select(
+    placed = members.join(app_prefixes, "application", "left").select(
         "host",
         "environment",
         "application",
@@ -255,7 +259,7 @@ def resolve_plan(
         if not chosen:
             raise ValueError("hosts outside the matrix need a selection of applications")
         spread = outside.withColumn("application", F.explode(F.array(*[F.lit(a) for a in chosen])))
-        spread = spread_join(spread, app_prefixes, ["application"], ["host"], "left")
+        spread = spread.join(app_prefixes, "application", "left")
         placed = placed.unionByName(placed_as(spread, "adhoc", F.col("application"), "adhoc", F.col("_app_prefixes")))
 
     own = rules.withColumns(
@@ -265,7 +269,14 @@ def resolve_plan(
             "_rule_prefixes": F.col("allowed_prefixes"),
         }
     ).drop("environment", "allowed_prefixes")
-    pairs = spread_join(placed, own, ["application"], ["host"])
+    # scope and environment are part of the key, so a member never meets the overlay rules of other environments
+    asked_for = {"global": ["global"], "matrix": ["application", "environment_overlay"], "adhoc": ["application"]}
+    scopes = F.create_map(*[x for via, names in asked_for.items() for x in (F.lit(via), F.array(*[F.lit(n) for n in names]))])
+    placed = placed.withColumn("scope", F.explode(scopes[F.col("_via")]))
+    overlay = F.col("scope") == "environment_overlay"
+    placed = placed.withColumn("_env_key", F.when(overlay, F.col("environment")).otherwise(""))
+    own = own.withColumn("_env_key", F.when(overlay, F.col("_rule_env")).otherwise(""))
+    pairs = placed.join(own, ["application", "scope", "_env_key"]).drop("_env_key")
     via, scope = F.col("_via"), F.col("scope")
     replaced = F.coalesce(F.try_element_at("_merge", F.col("os")), F.lit("merge")) == "replace"
     source = (
@@ -341,17 +352,18 @@ def execution_order(engine: Column | str, position: Column | str) -> Column:
     return F.when(tx.col(engine) == "modules", F.lit(0)).otherwise(F.lit(1)) * F.lit(1 << 40) + tx.col(position)
 
 
-def _is_drive(path: Column) -> Column:
-    return F.substring(path, 2, 1) == ":"
+def _is_windows(path: Column) -> Column:
+    """A path with a drive, or of a network share."""
+    return (F.substring(path, 2, 1) == ":") | F.startswith(path, F.lit("\\\\")) | F.startswith(path, F.lit("//"))
 
 
 def _path_key(path: Column) -> Column:
-    """Path with ``/`` separators; a Windows path in lower case."""
-    return F.when(_is_drive(path), F.lower(F.translate(path, "\\", "/"))).otherwise(path)
+    """Path with ``/`` separators; a Windows path in lower case, a share with its two leading separators."""
+    return F.when(_is_windows(path), F.lower(F.translate(path, "\\", "/"))).otherwise(path)
 
 
 def _file_name(path: Column) -> Column:
-    plain = F.when(_is_drive(path), F.translate(path, "\\", "/")).otherwise(path)
+    plain = F.when(_is_windows(path), F.translate(path, "\\", "/")).otherwise(path)
     return F.substring_index(plain, "/", -1)
 
 
@@ -416,27 +428,28 @@ def match_files(files: DataFrame, rules: DataFrame, as_of: datetime) -> DataFram
     return roots.above(aged).where(old_enough & named).select("host", "rule_id", "plan_order", "path", "size", "mtime")
 
 
-ROOTS_BROADCAST = 50_000
+ROOTS_BROADCAST = 64 << 20
 
 
 class _Roots:
-    """Rule roots with their number, their depths and the newest cutoff, from one aggregation."""
+    """Rule roots with their bytes, their depths and the newest cutoff, from one aggregation."""
 
     def __init__(self, frame: DataFrame):
         self.frame = frame
         depth = _separators(F.col("_dir")) + 1
-        self.number, self.newest, depths = frame.agg(F.count("*"), F.max("_cutoff"), F.collect_set(depth)).first()
+        texts = sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in ("host", "rule_id", "_include", "_exclude", "_dir")), F.lit(64))
+        size = F.coalesce(F.sum(texts), F.lit(0))
+        self.bytes, self.newest, depths = frame.agg(size, F.max("_cutoff"), F.collect_set(depth)).first()
         self.depths = sorted(depths)
 
     def above(self, rows: DataFrame) -> DataFrame:
-        """Rows (with ``_key``) joined to the roots above them; few roots are broadcast, so that no row is shuffled."""
+        """Rows (with ``_key``) joined to the roots above them; roots of few bytes are broadcast, so that no row is shuffled."""
         key = F.col("_key")
         dirs = F.array(*[F.substring_index(key, "/", d) for d in self.depths]).cast("array<string>")
         steps = rows.withColumn("_dir", F.explode(dirs)).where(F.col("_dir") != key)
         steps = steps.withColumn("_parent", _separators(key) == _separators(F.col("_dir")) + 1).drop("_key")
-        if self.number <= ROOTS_BROADCAST:
-            return steps.join(F.broadcast(self.frame), ["host", "_dir"])
-        return spread_join(steps, self.frame, ["host", "_dir"], ["path"])
+        roots = F.broadcast(self.frame) if self.bytes <= ROOTS_BROADCAST else self.frame
+        return steps.join(roots, ["host", "_dir"])
 
 
 def deletions(matches: DataFrame) -> DataFrame:

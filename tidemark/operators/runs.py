@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
-from tidemark.operators.common import first_rows, spread_join, total
+from tidemark.operators.common import first_rows, total
 
 COUNTERS = [
     "matched_files", "deleted_files", "failed_files", "matched_bytes", "deleted_bytes", "removed_empty_dirs",
@@ -135,13 +135,7 @@ def complete_reports(states: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def failed_host_rows(failures: DataFrame) -> DataFrame:
-    """Report rows of hosts whose run broke off: columns host, category, task, details (texts).
-
-    The report shows the category, the task and the first details, each up to a length.
-    """
-    shown = F.transform(
-        F.slice("details", 1, fv.FAILURE_DETAILS_SHOWN), lambda d: F.substring(d, 1, fv.FAILURE_DETAIL_LENGTH)
-    )
+    """Rows of hosts whose run broke off: columns host, category, task, details (texts, all of them whole)."""
     head = F.array(F.concat(F.lit("Categoria: "), "category"), F.concat(F.lit("Task: "), F.trim("task")))
     return failures.select(
         "host",
@@ -149,11 +143,19 @@ def failed_host_rows(failures: DataFrame) -> DataFrame:
         F.lit(fv.RULE_FAILED_DESCRIPTION).alias("description"),
         F.lit("failed").alias("status"),
         F.col("category").alias("status_detail"),
-        F.concat(head, shown).alias("fatal_errors"),
+        F.concat(head, "details").alias("fatal_errors"),
         *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS],
     )
 
 
+def shown_failures(
+    rows: DataFrame, details: int = fv.FAILURE_DETAILS_SHOWN, length: int = fv.FAILURE_DETAIL_LENGTH
+) -> DataFrame:
+    """Failed rows as a report shows them: category, task and the first details, each up to a length."""
+    head, rest = F.slice("fatal_errors", 1, 2), F.slice("fatal_errors", 3, details)
+    return rows.withColumn("fatal_errors", F.concat(head, F.transform(rest, lambda d: F.substring(d, 1, length))))
+
+
 def host_reports(states: DataFrame, rows: DataFrame) -> DataFrame:
     """One report head per planned host; hosts without rows have an empty report."""
     counted = rows.groupBy("host").agg(F.count("*").alias("rows"))
@@ -213,7 +215,7 @@ def mounts_for_rules(rules: DataFrame, disks: DataFrame) -> DataFrame:
     above = F.transform(above, lambda d: F.when(d == "", F.lit("/")).otherwise(d))
     candidates = F.when(drive != "", F.array(drive)).otherwise(above)
     steps = paths.select("host", "path", F.explode(F.array_distinct(candidates)).alias("mount"))
-    hits = spread_join(steps, disks, ["host", "mount"], ["path"])
+    hits = steps.join(disks, ["host", "mount"])
     nearest = first_rows(hits, ["host", "path"], [F.length("mount").desc(), "mount"])
     rest = [c for c in disks.columns if c not in ("host", "mount")]
     return first_rows(nearest.drop("path"), ["host", "mount"], rest or ["mount"])

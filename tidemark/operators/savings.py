@@ -139,8 +139,11 @@ def duplicate_jobs(records: DataFrame) -> DataFrame:
 
 
 def consolidate_month(raw: DataFrame, month: str) -> tuple[DataFrame, DataFrame]:
-    """Head record and executions of a month. The executions stay rows; a month may hold any number of them."""
-    executions = assert_period(raw.where(F.col("month") == month), month)
+    """Head record and executions of a month. The executions stay rows; a month may hold any number of them.
+
+    ``raw`` holds that month's records; one of another month fails the job instead of being lost.
+    """
+    executions = assert_period(raw, month)
     head = period_totals(executions).withColumns(
         {
             "schema_version": F.lit(1),
@@ -186,10 +189,12 @@ def store_month(raw: DataFrame, month: str, folder: str) -> bool:
     if held is not None and held.where(F.col("month") == month).limit(1).count():
         return False
     _, executions = consolidate_month(raw, month)
+    files = raw.select("source_file").distinct().count() if "source_file" in raw.columns else None
     writer = executions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month")
     writer.parquet(folder)
     back = stored_months(spark, folder, raw).where(F.col("month") == month)
-    return _fingerprint(executions) == _fingerprint(back.select(*executions.columns))
+    whole = _fingerprint(executions) == _fingerprint(back.select(*executions.columns))
+    return whole and (files is None or back.select("source_file").distinct().count() == files)
 
 
 def stored_months(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame | None:

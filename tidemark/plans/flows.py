@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fv
 from tidemark.operators import masking, runs
 from tidemark.operators import reconcile as rc
 from tidemark.operators import refresh as rf
@@ -66,24 +67,60 @@ def purge_job(
     confirmed: bool = False,
     failures: DataFrame | None = None,
     samples: int = 50,
+    listing: DataFrame | None = None,
+    dirs: DataFrame | None = None,
+    states: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Run a resolved plan (host, rule_id, ...) over a file inventory."""
+    """Run a resolved plan (host, rule_id, ...) over a file inventory.
+
+    ``listing`` (host, path, is_dir, message) tells which planned paths exist; ``dirs`` (host, path) holds directories that
+    are there besides those above a file, empty ones among them; ``states`` (host, started, completed, failure_recorded)
+    adds a failed row for every host whose run broke off.
+    """
     use_checkpoint_dir(files.sparkSession)
     apply = mode == "apply" and confirmed
     known, unknown = rt.split_engines(rt.enabled_rules(plan))
     guarded = rt.guard_paths(rt.rule_errors(rt.normalize_rules(known))).checkpoint()
     found = rt.match_files(files, guarded, as_of).checkpoint()
     survivors, ledger = rt.apply_retention(files, found, failures, mode, confirmed)
-    rows = runs.rule_rows(guarded, rt.rule_counters(ledger, apply), apply).checkpoint()
+    there = rt.directories_of(files)
+    if dirs is not None:
+        there = there.union(dirs.select("host", "path")).distinct()
+    empty = rt.empty_dirs(there, survivors, guarded, as_of).checkpoint()
+
+    keys = ["host", "rule_id"]
+    counters = rt.rule_counters(ledger, apply)
+    if apply:
+        removed = empty.groupBy(*keys).agg(F.count("*").alias("removed_empty_dirs"))
+        counters = counters.join(removed, keys, "full_outer")
+    held = guarded.drop("missing", "path_errors")
+    none = F.array().cast("array<struct<path: string, reason: string>>")
+    if listing is None:
+        held = held.withColumns({"missing": none, "path_errors": F.lit(0).cast("bigint")})
+    else:
+        seen = rt.path_state(guarded, listing, keys)
+        missing = F.when(F.col("state") == "missing", F.struct("path", "reason"))
+        per_rule = seen.groupBy(*keys).agg(
+            F.sort_array(F.collect_list(missing)).alias("missing"), F.count_if(F.col("state") == "error").alias("path_errors")
+        )
+        held = held.join(per_rule, keys, "left").withColumn("missing", F.coalesce("missing", none))
+    rows = runs.rule_rows(held, counters, apply)
+    refused = rt.guard_paths(rt.rule_errors(rt.normalize_rules(unknown))).drop("missing", "path_errors")
+    refused = runs.rule_rows(refused.withColumns({"missing": none, "path_errors": F.lit(0).cast("bigint")}), counters.limit(0), apply)
+    refused = refused.withColumns({"status": F.lit("blocked"), "status_detail": F.lit(fv.UNKNOWN_ENGINE_DETAIL)})
+    rows = rows.unionByName(refused).withColumn("rule", F.col("rule_id")).checkpoint()
+    if states is not None:
+        lost = runs.complete_reports(states, rows.limit(0))
+        rows = rows.unionByName(lost, allowMissingColumns=True)
     return {
         "survivors": survivors,
         "ledger": ledger,
         "rows": rows,
         "unsupported": unknown,
         "samples": rt.rule_samples(found, samples),
-        "totals": runs.run_totals(rows.withColumn("missing", F.array().cast("array<string>")), plan.select("host")),
+        "totals": runs.run_totals(rows, plan.select("host")),
         "host_savings": runs.host_savings(rows, apply),
-        "empty_dirs": rt.empty_dirs(rt.directories_of(files), survivors, guarded, as_of),
+        "empty_dirs": empty,
     }
 
 
@@ -92,7 +129,7 @@ def savings_month_job(spark: SparkSession, raw_folder: str, store: str, month: s
     raw = landed.read_metrics(spark, raw_folder, month)
     droppable = sv.store_month(raw, month, store)
     held = sv.stored_months(spark, store, raw)
-    return sv.consolidate_month(held, month)[0], droppable
+    return sv.consolidate_month(held.where(F.col("month") == month), month)[0], droppable
 
 
 def refresh_job(
@@ -107,20 +144,24 @@ def refresh_job(
     masks: Mapping[str, tuple[Sequence[str], Sequence[Mapping]]] | None = None,
     views: Mapping[str, str] | None = None,
     checks: Sequence[rf.Check] = (),
-    seed: str = "",
+    seed: str | None = None,
+    planned: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Load, keep, empty, mask, rebuild views, collect statistics, publish, then check.
+    """Load, keep, empty, mask, derive views and collect statistics beside the live tables, publish, then check.
 
-    ``masks`` holds, per table, its key columns and the rows of its masking spec. Nothing starts unless every source
-    finished (``results``). Returns the checks' outcome.
+    ``masks`` holds, per table, its key columns and the rows of its masking spec; masking needs a ``seed``, or its order
+    could be told from the keys alone. Nothing starts unless every source finished: those in ``planned`` (host), each with a
+    row in ``results``. Returns the checks' outcome, each row with the run's ``run_status``.
     """
-    if rf.refresh_ready(results, spark.range(1)).isEmpty():
+    if rf.refresh_ready(results, spark.range(1), planned).isEmpty():
         raise RuntimeError("the sources did not all finish")
+    if masks and not seed:
+        raise ValueError("masking needs a seed")
     fresh = rf.refresh_tables(source, target, preserve, truncate, env, protected=protected)
     for name, (keys, spec) in (masks or {}).items():
         fresh[name] = masking.mask_by_spec(fresh[name], keys, spec, seed)
-    rf.stage(fresh)
-    rf.publish(spark, list(fresh))
-    rf.refresh_views(spark, views or {})
-    rf.analyze(spark, list(fresh))
-    return rf.run_checks(checks) if checks else None
+    staged = rf.stage(fresh)
+    staged += rf.stage_views(spark, views or {}, list(fresh))
+    rf.analyze(spark, staged)
+    rf.publish(spark, [*fresh, *(views or {})])
+    return rf.with_run_status(rf.run_checks(checks)) if checks else None

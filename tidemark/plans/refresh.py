@@ -194,7 +194,7 @@ RULE_FILES = """SELECT 'app' || CAST(p_size % 20 AS VARCHAR(20)) AS application,
 @query(
     "later_rules_win",
     plain(
-        f"""SELECT application, os, name, description, position FROM (SELECT *, row_number() OVER (PARTITION BY application, os, name ORDER BY file_order DESC, position DESC) AS rn FROM ({RULE_FILES})) WHERE rn = 1"""
+        f"""SELECT application, os, name, description, position FROM (SELECT *, max(file_order) OVER (PARTITION BY application, os) AS latest FROM ({RULE_FILES})) WHERE file_order = latest"""
     ),
 )
 def later_rules_win(t: Inputs) -> DataFrame:
@@ -363,6 +363,25 @@ def refresh_ready(t: Inputs) -> DataFrame:
     return rf.refresh_ready(rows.where("role = 'source' AND code = 0"), rows.where("role = 'target'")).select("o_orderkey", "host")
 
 
+@query(
+    "refresh_absent_source",
+    STATUS
+    + """, done AS (SELECT * FROM r WHERE role = 'source' AND code = 0 AND o_orderkey % 50 <> 7),
+planned AS (SELECT DISTINCT host FROM r WHERE role = 'source' AND code = 0)
+SELECT (SELECT count(*) FROM planned WHERE host NOT IN (SELECT host FROM done)) AS absent,
+  (SELECT count(*) FROM r WHERE role = 'target' AND NOT EXISTS (SELECT 1 FROM planned WHERE host NOT IN (SELECT host FROM done))
+   AND NOT EXISTS (SELECT 1 FROM done WHERE status <> 'SUCESSO') AND EXISTS (SELECT 1 FROM planned)) AS started""",
+)
+def refresh_absent_source(t: Inputs) -> DataFrame:
+    """Targets that start when some planned sources have no result at all."""
+    rows = results(t)
+    sources = rows.where("role = 'source' AND code = 0")
+    done, planned = sources.where("o_orderkey % 50 <> 7"), sources.select("host").distinct()
+    started = rf.refresh_ready(done, rows.where("role = 'target'"), planned)
+    absent = planned.join(done.select("host").distinct(), "host", "left_anti")
+    return absent.agg(F.count("*").alias("absent")).withColumn("started", started.agg(F.count("*")).scalar())
+
+
 @query("refresh_blocked", STATUS + "SELECT o_orderkey FROM r WHERE role = 'target' AND NOT EXISTS (SELECT 1 FROM r s WHERE s.role = 'source' AND s.status <> 'SUCESSO')")
 def refresh_blocked(t: Inputs) -> DataFrame:
     rows = results(t)
@@ -475,11 +494,12 @@ def failure_details(t: Inputs) -> DataFrame:
     plain(
         f"""WITH e AS ({TASK_RESULTS}), d AS (SELECT host, event_id, CASE WHEN shape % 2 = 0 THEN 'ssh: connection lost' ELSE 'no words' END AS text FROM e)
 SELECT host, '{fv.RULE_FAILED}' AS rule, 'failed' AS status, CASE WHEN text LIKE 'ssh%' THEN 'Falha de conectividade' ELSE '{fv.UNCLASSIFIED}' END AS status_detail,
-  'Categoria: ' || CASE WHEN text LIKE 'ssh%' THEN 'Falha de conectividade' ELSE '{fv.UNCLASSIFIED}' END || '|Task: copy|' || text AS errors FROM d"""
+  'Categoria: ' || CASE WHEN text LIKE 'ssh%' THEN 'Falha de conectividade' ELSE '{fv.UNCLASSIFIED}' END || '|Task: copy|' || text || repeat('|' || repeat(text, 120), 14) AS errors FROM d"""
     ),
 )
 def failed_host_rows(t: Inputs) -> DataFrame:
     text = F.when(F.col("shape") % 2 == 0, "ssh: connection lost").otherwise("no words")
     broken = failures.classify_failure(t.sql(TASK_RESULTS).withColumn("text", text), "host")
-    rows = runs.failed_host_rows(broken.select("host", "category", F.lit(" copy ").alias("task"), F.array("text").alias("details")))
+    details = F.concat(F.array("text"), F.array_repeat(F.repeat("text", F.lit(120)), 14))  # many, and long
+    rows = runs.failed_host_rows(broken.select("host", "category", F.lit(" copy ").alias("task"), details.alias("details")))
     return rows.select("host", "rule", "status", "status_detail", F.array_join("fatal_errors", "|").alias("errors"))

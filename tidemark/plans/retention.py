@@ -53,10 +53,12 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
 
 
-def file_rules(t: Inputs) -> DataFrame:
+def file_rules(t: Inputs, own: list[tuple] | None = None) -> DataFrame:
+    """The Linux rules, or the Windows rules given."""
     names = "name, engine, paths, patterns, exclude_patterns, hosts, age_days, recursive, delete_empty_dirs, enabled, position"
-    rows = [(*row, i + 1) for i, row in enumerate(FILE_RULES)]
-    rules = t.spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS r({names})")
+    rows = [(*row, i + 1) for i, row in enumerate(own or FILE_RULES)]
+    rules = t.spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS r({names})".replace("{bs}", "\\\\"))
+    prefixes = ["D:\\Data", "\\\\srv\\share"] if own else ["/data"]
 
     def listed(name: str):
         return F.split(name, ";")
@@ -65,12 +67,12 @@ def file_rules(t: Inputs) -> DataFrame:
         {c: listed(c) for c in ("paths", "patterns", "exclude_patterns", "hosts")}
         | {
             "exclude_hosts": F.lit(None).cast("array<string>"),
-            "allowed_prefixes": F.array(F.lit("/data")),
+            "allowed_prefixes": F.array(*[F.lit(p) for p in prefixes]),
             "position": F.col("position").cast("bigint"),
             "scope": F.lit("global"),
             "application": F.lit("_global"),
             "environment": F.lit(None).cast("string"),
-            "os": F.lit("linux"),
+            "os": F.lit("windows" if own else "linux"),
         }
     )
 
@@ -82,7 +84,31 @@ def files(t: Inputs) -> DataFrame:
 HOSTS_BY_KIND = "SELECT DISTINCT 'host-' || CAST(user_id % 8 AS VARCHAR(20)) AS host, event_type AS application FROM {events}"
 
 
-def file_plan(t: Inputs) -> tuple[DataFrame, DataFrame]:
+WINDOWS_FILES = """SELECT 'host-' || CAST(user_id % 8 AS VARCHAR(20)) AS host,
+       (CASE event_id % 4 WHEN 0 THEN 'D:{bs}Data{bs}' || event_type || '{bs}' WHEN 1 THEN '{bs}{bs}srv{bs}Share{bs}Logs{bs}' || event_type || '{bs}'
+        WHEN 2 THEN '{bs}{bs}SRV{bs}share{bs}logs{bs}' || event_type || '/sub/' ELSE 'd:/DATA/' || event_type || '/' END) ||
+       (CASE WHEN event_id % 10 = 0 THEN 'Keep-' ELSE 'f' END) || CAST(event_id AS VARCHAR(20)) ||
+       (CASE event_id % 3 WHEN 0 THEN '.log' WHEN 1 THEN '.LOG' ELSE '.tmp' END) AS path,
+       CAST(round(value*100) AS BIGINT) AS size, ts AS mtime FROM {events}"""
+WINDOWS_RULES = [
+    ("drive", "shell", "D:{bs}data{bs}Error{bs}", "*.log", "keep-*", "", "10", True, False, True),
+    ("share", "shell", "{bs}{bs}Srv{bs}SHARE{bs}Logs", "*.tmp", "", "", "5", True, False, True),
+    ("share-flat", "modules", "{bs}{bs}srv{bs}share{bs}logs{bs}click", "*.LOG", "", "", "3", False, False, True),
+]
+
+
+def windows_files(t: Inputs) -> DataFrame:
+    return t.sql(WINDOWS_FILES.replace("{bs}", "{{bs}}").replace("{{bs}}", "\\\\"))
+
+
+def _windows_sql(name: str, order: int, age: int, where: str) -> str:
+    return (
+        f"SELECT host, '{name}' AS rule_id, CAST({order} AS BIGINT) AS plan_order, path, size, mtime FROM f "
+        f"WHERE mtime <= {_AS_OF} - INTERVAL {age} DAY AND {where}"
+    )
+
+
+def file_plan(t: Inputs, own: list[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
     """Guarded rules per host, and the rows of rules with an unknown engine."""
     prefixes = F.lit(None).cast("map<string,array<string>>").alias("allowed_prefixes")
     matrix = t.sql(HOSTS_BY_KIND).select(
@@ -93,7 +119,7 @@ def file_plan(t: Inputs) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("map<string,string>").alias("merge"),
     )
     applications = t.table("events").select(F.col("event_type").alias("application")).distinct().select("application", prefixes)
-    plan = rt.resolve_plan(matrix, rt.enabled_rules(file_rules(t)), applications, global_rules=True)
+    plan = rt.resolve_plan(matrix, rt.enabled_rules(file_rules(t, own)), applications, global_rules=True)
     known, unknown = rt.split_engines(plan.withColumn("rule_id", F.col("name")))
     return rt.guard_paths(rt.rule_errors(rt.normalize_rules(known))), unknown
 
@@ -149,6 +175,23 @@ def match_files(t: Inputs) -> DataFrame:
     return rt.match_files(files(t), file_plan(t)[0], AS_OF)
 
 
+@query(
+    "match_files_windows",
+    "WITH f AS (SELECT *, lower(replace(path, chr(92), '/')) AS key FROM ("
+    + plain(WINDOWS_FILES).replace("{bs}", "\\")
+    + ")) "
+    + " UNION ALL ".join(
+        [
+            _windows_sql("drive", (1 << 40) + 1, 10, "starts_with(key, 'd:/data/error/') AND key LIKE '%.log' AND key NOT LIKE '%/keep-%'"),
+            _windows_sql("share", (1 << 40) + 2, 5, "starts_with(key, '//srv/share/logs/') AND key LIKE '%.tmp'"),
+            _windows_sql("share-flat", 3, 3, "regexp_full_match(key, '//srv/share/logs/click/[^/]*') AND path LIKE '%.LOG'"),
+        ]
+    ),
+)
+def match_files_windows(t: Inputs) -> DataFrame:
+    return rt.match_files(windows_files(t), file_plan(t, WINDOWS_RULES)[0], AS_OF)
+
+
 @query(
     "expired_files",
     plain(f"SELECT host, path FROM ({FILES}) WHERE mtime <= {_AS_OF} - INTERVAL 15 DAY AND size > 0"),
@@ -306,7 +349,7 @@ def guard_paths_prefix_required(t: Inputs) -> DataFrame:
     "rule_errors",
     plain(
         f"""SELECT p_partkey, concat_ws(' ', CASE WHEN patterns = '' THEN '{fv.RULE_NO_PATTERNS}' END,
-       CASE WHEN age_days IS NULL OR NOT regexp_full_match(age_days, '[0-9]+') OR CAST(age_days AS DOUBLE) = 0 THEN '{fv.RULE_BAD_AGE}' END) AS errors FROM ({GUARD_RULES})"""
+       CASE WHEN age_days IS NULL OR (engine = 'shell' AND NOT regexp_full_match(age_days, '[0-9]+')) OR trunc(CAST(age_days AS DOUBLE)) = 0 THEN '{fv.RULE_BAD_AGE}' END) AS errors FROM ({GUARD_RULES})"""
     ),
 )
 def rule_errors(t: Inputs) -> DataFrame:

@@ -158,7 +158,7 @@ def annual_records(t: Inputs) -> DataFrame:
     + f"SELECT {_SUMS}, CAST(1 AS INTEGER) AS schema_version, 'month' AS period_type, '{YEAR}03' AS month, '03/{YEAR}' AS month_label FROM records WHERE month = '{YEAR}03'",
 )
 def consolidate_month(t: Inputs) -> DataFrame:
-    return sv.consolidate_month(records(t), YEAR + "03")[0]
+    return sv.consolidate_month(records(t).where(F.col("month") == YEAR + "03"), YEAR + "03")[0]
 
 
 @query(

@@ -17,6 +17,9 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for ``checkpoint()``: the cluster's own setting, or a scratch folder where it names none (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        already = spark.sparkContext.getCheckpointDir()
+        if already is not None:
+            return already
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="tidemark-checkpoint-")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark import schemas
 from tidemark.functions import text as tx
-from tidemark.operators.common import dedup_first
 from tidemark.session import use_checkpoint_dir
 
 METRIC_PREFIX = "metric_"
@@ -38,27 +38,46 @@ def scan_inventory(spark: SparkSession, roots: Sequence[str], recursive: bool =
     )
 
 
-LISTING = "path string, filename string, size long, mtime timestamp_ntz, is_dir boolean"
+LISTING = "path string, filename string, size long, mtime timestamp_ntz, is_dir boolean, message string"
 LISTED_AT_ONCE = 10_000
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of the directories given, a bounded number of rows at a time; unreadable directories give none."""
-    columns = ["path", "filename", "size", "mtime", "is_dir"]
+    """Entries of the directories given, a bounded number of rows at a time.
+
+    What can't be read is a row with the error's ``message`` and nothing but path and name.
+    """
+    columns = ["path", "filename", "size", "mtime", "is_dir", "message"]
+
+    def failed(path: str, error: OSError) -> tuple:
+        return path, os.path.basename(path), None, pd.NaT, None, error.strerror or type(error).__name__
 
     def listed(directory: str) -> Iterator[tuple]:
         try:
-            with os.scandir(directory) as entries:
-                for entry in entries:
-                    held, folder = entry.stat(follow_symlinks=False), entry.is_dir(follow_symlinks=False)
-                    yield entry.path, entry.name, held.st_size, pd.Timestamp(held.st_mtime_ns // 1000, unit="us"), folder
-        except OSError:
+            entries = os.scandir(directory)
+        except OSError as error:
+            yield failed(directory, error)
             return
+        with entries:
+            while True:
+                try:
+                    entry = next(entries, None)
+                except OSError as error:
+                    yield failed(directory, error)
+                    return
+                if entry is None:
+                    return
+                try:
+                    held, folder = entry.stat(follow_symlinks=False), entry.is_dir(follow_symlinks=False)
+                except OSError as error:
+                    yield failed(entry.path, error)
+                    continue
+                yield entry.path, entry.name, held.st_size, pd.Timestamp(held.st_mtime_ns // 1000, unit="us"), folder, None
 
     for batch in batches:
         rows = itertools.chain.from_iterable(listed(d) for d in batch["path"])
         while chunk := list(itertools.islice(rows, LISTED_AT_ONCE)):
-            yield pd.DataFrame(chunk, columns=columns)
+            yield pd.DataFrame(chunk, columns=columns).astype({"size": "Int64", "is_dir": "boolean"})
 
 
 def list_tree(spark: SparkSession, roots: Sequence[str], recursive: bool = False) -> DataFrame:
@@ -77,11 +96,15 @@ def list_tree(spark: SparkSession, roots: Sequence[str], recursive: bool = False
 
 
 def read_metrics(spark: SparkSession, folder: str, month: str | None = None, prefix: str = METRIC_PREFIX) -> DataFrame:
-    """Per-job metric files of one month (or all), told apart by file name so that other files are never opened."""
+    """Per-job metric files of one month (or all), told apart by file name so that other files are never opened.
+
+    A file that is no valid record fails the job: left out, it would be lost when raw files are dropped.
+    """
     pattern = f"{prefix}{month or '[0-9][0-9][0-9][0-9][0-9][0-9]'}_*.json"
     records = (
         spark.read.schema(schemas.SAVINGS_METRIC)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .option("pathGlobFilter", pattern)
         .json(folder)
         .withColumn("source_file", F.col("_metadata.file_name"))
@@ -210,7 +233,7 @@ def parse_tagged_lines(lines: DataFrame, value: str = "value", prefix: str = "DP
 
     return rows.withColumns(
         {
-            "number": F.when(F.rlike("text", F.lit(r"\A[0-9]{1,18}\z")), F.col("text").cast("bigint")),
+            "number": F.when(F.rlike("text", F.lit(r"\A[0-9]+\z")), tx.whole_number(F.col("text"))),
             "filesystem": F.get("_parts", F.lit(0)),
             "mount": F.get("_parts", F.lit(1)),
             "size_bytes": number(1) * number(0),
@@ -241,15 +264,25 @@ def parse_audit(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def load_rules(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Rule files in load order; a later file replaces the same (application, os, rule)."""
-    order = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], i)])
-    rules = spark.read.schema(schemas.PURGE_RULE).json(list(paths))
-    return later_wins(rules.withColumn("file_order", F.element_at(order, F.col("_metadata.file_name"))))
+    """Rule files, or folders of them, in load order: paths as given, files of a folder by name.
+
+    A later file replaces all rules of the same (application, os).
+    """
+    parts = [
+        spark.read.schema(schemas.PURGE_RULE).json(path).withColumn(
+            "file_order", F.struct(F.lit(i).alias("given"), F.col("_metadata.file_path").alias("file"))
+        )
+        for i, path in enumerate(paths)
+    ]
+    return later_wins(reduce(DataFrame.unionByName, parts))
 
 
 def later_wins(rules: DataFrame) -> DataFrame:
-    keys = ["application", "os", "name"]
-    return dedup_first(rules, keys, [F.desc("file_order"), F.desc("position")]).drop("file_order")
+    """The rules of the last file (``file_order``) of every application and system."""
+    last = rules.groupBy("application", "os").agg(F.max("file_order").alias("_last"))
+    same = [rules[c].eqNullSafe(last[c]) for c in ("application", "os")]
+    kept = rules.join(last, [*same, rules["file_order"] == last["_last"]], "left_semi")
+    return kept.drop("file_order")
 
 
 def filter_listing(lines: DataFrame, excluded: Sequence[str], value: str = "value") -> DataFrame:
