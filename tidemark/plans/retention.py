@@ -11,6 +11,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
 from tidemark.operators import common, runs
 from tidemark.operators import retention as rt
+from tidemark.plans import flows
 from tidemark.plans.registry import Inputs, plain, query
 from tidemark.sources import landed
 
@@ -110,6 +111,11 @@ def _windows_sql(name: str, order: int, age: int, where: str) -> str:
 
 def file_plan(t: Inputs, own: list[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
     """Guarded rules per host, and the rows of rules with an unknown engine."""
+    known, unknown = rt.split_engines(resolved_plan(t, own))
+    return rt.guard_paths(rt.rule_errors(rt.normalize_rules(known))), unknown
+
+
+def resolved_plan(t: Inputs, own: list[tuple] | None = None) -> DataFrame:
     prefixes = F.lit(None).cast("map<string,array<string>>").alias("allowed_prefixes")
     matrix = t.sql(HOSTS_BY_KIND).select(
         F.lit("prd").alias("environment"),
@@ -120,8 +126,7 @@ def file_plan(t: Inputs, own: list[tuple] | None = None) -> tuple[DataFrame, Dat
     )
     applications = t.table("events").select(F.col("event_type").alias("application")).distinct().select("application", prefixes)
     plan = rt.resolve_plan(matrix, rt.enabled_rules(file_rules(t, own)), applications, global_rules=True)
-    known, unknown = rt.split_engines(plan.withColumn("rule_id", F.col("name")))
-    return rt.guard_paths(rt.rule_errors(rt.normalize_rules(known))), unknown
+    return plan.withColumn("rule_id", F.col("name"))
 
 
 class Run:
@@ -841,3 +846,41 @@ def pending_artifacts(t: Inputs) -> DataFrame:
 @query("sorted_files", plain(f"SELECT DISTINCT path FROM ({ARTIFACTS})"))
 def sorted_files(t: Inputs) -> DataFrame:
     return rt.sorted_files(t.sql(ARTIFACTS), "path")
+
+
+# ---- the whole run -----------------------------------------------------------------------------------------------
+
+_KNOWN_PATHS = ["/data/error", "/data/error/u3", "/data/view", "/data", "/data/click/u5", "/data/purchase", "/data/signup/u7"]
+
+
+@query(
+    "purge_run_totals",
+    MATCHES
+    + f""", hosts AS (SELECT DISTINCT host FROM f),
+rules AS (SELECT host, rule_id, {_ROW_STATUS} AS status, coalesce(matched_files, 0) AS matched_files, coalesce(matched_bytes, 0) AS matched_bytes,
+    coalesce(deleted_files, 0) AS deleted_files, coalesce(failed_files, 0) AS failed_files, coalesce(deleted_bytes, 0) AS deleted_bytes
+  FROM hosts CROSS JOIN (VALUES {_RULE_NAMES}) r(rule_id) LEFT JOIN counted USING (host, rule_id)
+  WHERE rule_id <> 'csv' OR host IN ('host-1', 'host-2')),
+emptied AS (SELECT host, dir FROM (SELECT DISTINCT host, dir FROM f) d WHERE (starts_with(dir, '/data/error/') OR starts_with(dir, '/data/purchase/'))
+  AND NOT EXISTS (SELECT 1 FROM survivors s WHERE s.host = d.host AND s.dir = d.dir))
+SELECT (SELECT count(*) FROM rules) + 2 * (SELECT count(*) FROM hosts) AS total_rules,
+  CAST((SELECT sum(matched_files) FROM rules) AS BIGINT) AS total_matched_files, CAST((SELECT sum(deleted_files) FROM rules) AS BIGINT) AS total_deleted_files,
+  CAST((SELECT sum(failed_files) FROM rules) AS BIGINT) AS total_failed_files, CAST((SELECT sum(matched_bytes) FROM rules) AS BIGINT) AS total_matched_bytes,
+  CAST((SELECT sum(deleted_bytes) FROM rules) AS BIGINT) AS total_deleted_bytes, (SELECT count(*) FROM emptied) AS total_removed_empty_dirs,
+  CAST(0 AS BIGINT) AS total_failed_empty_dirs, 4 * (SELECT count(*) FROM hosts) AS total_blocked_paths, (SELECT count(*) FROM hosts) AS total_missing_paths,
+  (SELECT count(*) FROM rules WHERE status = 'failed') + (SELECT count(*) FROM hosts) AS total_failed_rules,
+  (SELECT count(*) FROM rules WHERE status = 'warning') AS total_warning_rules,
+  (SELECT count(*) FROM rules WHERE status = 'blocked') + (SELECT count(*) FROM hosts) AS total_blocked_rules, (SELECT count(*) FROM hosts) AS total_hosts""",
+)
+def purge_run_totals(t: Inputs) -> DataFrame:
+    """The job itself: a path that is not there, a rule of an unknown engine, emptied directories and runs that broke off."""
+    inventory = files(t)
+    hosts = inventory.select("host").distinct()
+    there = hosts.select("host", F.explode(F.array(*[F.lit(p) for p in _KNOWN_PATHS])).alias("path"))
+    listing = there.select("host", "path", F.lit(True).alias("is_dir"), F.lit(None).cast("string").alias("message"))
+    yes, no = F.lit(True), F.lit(False)
+    states = hosts.select("host", yes.alias("started"), no.alias("completed"), no.alias("failure_recorded"))
+    done = flows.purge_job(
+        inventory, resolved_plan(t), AS_OF, "apply", True, failures=t.sql(FAILED_DELETES), listing=listing, states=states
+    )
+    return done["totals"]
