@@ -79,7 +79,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         docs.withColumns({"_lines": lines, "_plain": plain})
         .withColumn("_windows", windows)
         .withColumn("_ordered", F.when(some_twice, ordered))
-        .withColumn("_counts", counts)
+        .withColumn("_counts", F.explode(F.array(counts)))  # a row each: filters on counts stay above, and count once
         .drop("_lines", "_plain", "_windows", "_ordered")
     )
 
