@@ -233,7 +233,9 @@ def neighbours(classes: DataFrame, search: Search) -> DataFrame:
 
 def _count_in_blocks(members: DataFrame, search: Search) -> DataFrame:
     """``id, links``: links inside each component of ``members (id, component, unit, copies)``, by pairs of blocks."""
-    sizes = staged(members.groupBy("component").agg(F.ceil(F.count("*") / search.block).cast("int").alias("blocks")), "sizes")
+    n = F.count("*")
+    blocks = F.greatest(F.ceil(n / search.block), F.least(F.lit(8), F.ceil(n / 128)))  # small components are spread as well
+    sizes = staged(members.groupBy("component").agg(blocks.cast("int").alias("blocks")), "sizes")
     rows = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
