@@ -94,7 +94,7 @@ def vectors_brute(rows, threshold=0.9):
     good = {}
     for i, v in rows:
         if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
-            x = np.array(v, float)
+            x = np.array(v, float) / np.abs(v).max()  # tiny and huge components
             good[i] = x / np.linalg.norm(x)
     edges = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= threshold]
     component = union_find([i for i, _ in rows if i is not None], edges)
