@@ -131,7 +131,7 @@ def order_of(scanned: DataFrame, sketch: int) -> np.ndarray:
     blocks = scanned.where("block is not null").select("block", F.pmod(F.xxhash64("counts"), F.lit(32)).cast("int").alias("part"), "counts")
     summed = _summed(_summed(blocks, "block", "part").withColumn("part", F.lit(0)), "block", "part")
     ranks = np.zeros(sketch, np.uint8)
-    for row in summed.toLocalIterator():  # sketch / BLOCK rows
+    for row in summed.collect():  # sketch / BLOCK rows of 128 KB, whatever the input
         counts = np.frombuffer(row["counts"], "<u4").astype(np.float64)
         ranks[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.minimum(8 * np.log2(1 + counts), 255)
     return ranks
@@ -172,8 +172,8 @@ def bits_of(ids: DataFrame, id: str) -> np.ndarray:
     at = ids.where(F.col(id).isNotNull()).select((_bit(id) + 1).alias("at"))
     buckets = at.groupBy(F.bitmap_bucket_number("at").alias("bucket"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
-        bits[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], np.uint8)  # 256 rows of 4 KB
+    for row in buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():  # 256 rows of 4 KB
+        bits[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
 

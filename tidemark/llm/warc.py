@@ -73,7 +73,7 @@ def records(resolved: DataFrame, date: str) -> DataFrame:
     return resolved.select(F.concat(head, F.lit(END), body).alias("value"))
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", per_file: int = 5000):
+def write_archives(pages: DataFrame, folder: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", per_file: int = 2000):
     """Write the archives below ``folder``; at most ``per_file`` records in a file, which bounds what a reader holds."""
     written = records(resolve(pages, least), date).write.option("lineSep", END).option("maxRecordsPerFile", per_file)
     written.text(folder)
