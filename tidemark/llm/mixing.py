@@ -93,19 +93,31 @@ def allocate(supply: DataFrame, targets: Targets) -> DataFrame:
     return _share(leaves.join(given, ["domain", "lang"]), ["domain", "lang"], "source", targets).drop("cap")
 
 
-def choose(docs: DataFrame, targets: Targets, domain: Column | None = None) -> DataFrame:
-    """``doc_id, domain, lang, source, n_tokens`` and ``copies``, how often the document is used (0: not)."""
-    measured = staged(measure(docs, domain_of() if domain is None else domain), "measured")
-    supply = staged(measured.groupBy(*LEAF).agg(F.sum("n_tokens").alias("supply")), "supply")
-    plan = staged(allocate(supply, targets), "plan").withColumns(
-        {
-            "whole": F.when(F.col("supply") > 0, F.expr("least(budget div nullif(supply, 0), 1000000)")).otherwise(F.lit(0)).cast("long"),
-            "part": F.when(F.col("supply") > 0, F.expr("budget % nullif(supply, 0)")).otherwise(F.lit(0)).cast("long"),
-        }
-    ).drop("supply", "budget")
+def _decided(rows: DataFrame, ends: DataFrame, targets: Targets) -> DataFrame:
+    """``rows`` (``doc_id`` and a leaf's columns) with ``copies``, from the leaves' ``whole`` epochs and ``last`` places."""
+    copies = F.col("whole") + F.when(_place(targets) <= F.col("last"), 1).otherwise(0)
+    return rows.join(ends, LEAF).withColumn("copies", copies.cast("long")).drop("whole", "last")
+
+
+def _place(targets: Targets) -> Column:
+    """A document's place in its leaf's next epoch."""
     id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    order = F.md5(F.concat(F.lit(f"{targets.seed}|"), F.col("whole").cast("string"), F.lit("|"), id).cast("binary"))
-    ordered = measured.join(plan, LEAF).withColumn("order", order).withColumn("digits", F.substr("order", F.lit(1), F.lit(3)))
+    return F.md5(F.concat(F.lit(f"{targets.seed}|"), F.col("whole").cast("string"), F.lit("|"), id).cast("binary"))
+
+
+def ends_of(measured: DataFrame, targets: Targets) -> DataFrame:
+    """Per leaf the ``whole`` epochs it takes and the ``last`` place that it takes of the next one. One row per leaf."""
+    supply = staged(measured.groupBy(*LEAF).agg(F.sum("n_tokens").alias("supply")), "supply")
+    some = F.col("supply") > 0
+    plan = staged(
+        allocate(supply, targets).select(
+            *LEAF,
+            F.when(some, F.expr("budget div nullif(supply, 0)")).otherwise(F.lit(0)).cast("long").alias("whole"),
+            F.when(some, F.expr("budget % nullif(supply, 0)")).otherwise(F.lit(0)).cast("long").alias("part"),
+        ),
+        "plan",
+    )
+    ordered = measured.join(plan, LEAF).withColumn("order", _place(targets)).withColumn("digits", F.substr("order", F.lit(1), F.lit(3)))
     sums = ordered.groupBy(*LEAF, "part", "digits").agg(F.sum("n_tokens").alias("n"))
     walk = Window.partitionBy(*LEAF).orderBy("digits").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 4096 rows at most
     over = sums.withColumn("upto", F.sum("n").over(walk)).where("upto > part")
@@ -115,17 +127,26 @@ def choose(docs: DataFrame, targets: Targets, domain: Column | None = None) -> D
     running = Window.partitionBy(*LEAF).orderBy("order")  # rows with one hash (one id) count together
     near = near.withColumn("upto", F.col("taken") + F.sum("n_tokens").over(running)).where("upto <= part")
     last = near.groupBy(*LEAF).agg(F.max("order").alias("last"))
-    ends = staged(edges.join(last, LEAF, "left").select(*LEAF, F.coalesce("last", "edge").alias("last")), "ends")
-    copies = F.col("whole") + F.when(F.col("order") <= F.coalesce("last", F.lit("g")), 1).otherwise(0)
-    chosen = ordered.join(ends, LEAF, "left").select("doc_id", *LEAF, "n_tokens", copies.cast("long").alias("copies"))
-    return chosen
+    ends = plan.join(edges, LEAF, "left").join(last, LEAF, "left")
+    return staged(ends.select(*LEAF, "whole", F.coalesce("last", "edge", F.lit("g")).alias("last")), "ends")
+
+
+def choose(docs: DataFrame, targets: Targets, domain: Column | None = None) -> DataFrame:
+    """``doc_id, domain, lang, source, n_tokens`` and ``copies``, how often the document is used (0: not)."""
+    measured = staged(measure(docs, domain_of() if domain is None else domain), "measured")
+    chosen = _decided(measured, ends_of(measured, targets), targets)
+    return chosen.select("doc_id", *LEAF, "n_tokens", "copies")
 
 
 def mix(docs: DataFrame, targets: Targets) -> DataFrame:
-    """The chosen rows of ``docs``, each as often as it is used, with the columns of ``docs``."""
-    copies = choose(docs, targets).where("copies > 0 and doc_id is not null")
-    copies = staged(copies.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "copies")
-    joined = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row")).join(copies, "_id")
+    """The chosen rows of ``docs``, each as often as it is used, with the columns of ``docs``.
+
+    Texts meet only the leaves' ends, one small row per leaf, so they are not shuffled while those fit a broadcast.
+    """
+    measured = staged(measure(docs, domain_of()), "measured")
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    rows = docs.select("doc_id", F.coalesce(domain_of(), F.lit("")).alias("domain"), *named, F.struct("*").alias("_row"))
+    chosen = _decided(rows, ends_of(measured, targets), targets).where("copies > 0 and doc_id is not null")
     if targets.epochs > 1:
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return joined.select("_row.*")
+        chosen = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return chosen.select("_row.*")
