@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import LOWER, UPPER, components, staged
+from tidemark.llm.shared import LOWER, UPPER, components, small_batches, staged
 
 LOWERING = bytes.maketrans(UPPER.encode(), LOWER.encode())
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 15  # sketch counters per row
 FILTER_BITS = 1 << 23
-MOST_WORDS = 300_000  # word hashes a task remembers
+MOST_WORDS = 200_000  # word hashes a task remembers
 
 
 class _Words(dict):
@@ -243,7 +243,7 @@ def linked_components(
     docs: DataFrame, width: int = 4, percent: int = 85, sketch: int = 1 << 21
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs (doc_id, text)``; no id, no component."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     scanned = staged(scan(docs, width, sketch), "scanned")
     ranks = order_of(scanned, sketch)
     rows = scanned.where("block is null").select("doc_id", "n", "print")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import LOWER, UPPER, text_of
+from tidemark.llm.shared import LOWER, UPPER, small_batches, text_of
 
 #: Line ends become blanks and A-Z small, as in the vocabulary's own normal form.
 _PLAIN = bytes.maketrans(b"\n" + UPPER.encode(), b" " + LOWER.encode())
@@ -93,7 +93,7 @@ class Tokens:
     vocabulary's rules, so the chunks between them are tokenized once and remembered; the memory is emptied when it holds
     ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
 
@@ -180,4 +180,4 @@ def pack_documents(
             yield batch_of(windows(rests))
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    return rows.mapInArrow(task, SCHEMA)
+    return small_batches(rows).mapInArrow(task, SCHEMA)

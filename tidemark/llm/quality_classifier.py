@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_of
+from tidemark.llm.shared import small_batches, text_of
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 PAD = b"\n\n\n\n"
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -186,7 +186,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
             predicted = pa.array((scores >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(scores), predicted], names)
 
-    return rows.mapInArrow(task, SCORES)
+    return small_batches(rows).mapInArrow(task, SCORES)
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -199,4 +199,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             scores = sent.value.scores([t or "" for t in batch[at].to_pylist()])
             yield batch.filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(task, docs.schema)
+    return small_batches(docs).mapInArrow(task, docs.schema)
