@@ -21,6 +21,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,12 @@ class Tokens:
         return _MARK.sub(rb" \1", text.translate(_PLAIN)).split(b" ")
 
 
+@cache
+def _tokens(path: str) -> Tokens:
+    """One memory of chunks for all tasks of a worker; what it holds doesn't change the ids."""
+    return Tokens(path)
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, piece: int = 512, windows_at_once: int = 128
 ) -> DataFrame:
@@ -132,7 +139,7 @@ def pack_documents(
     the document's ids before the piece, ``offset`` those before it in its sequence."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = _tokens(tokenizer)
         end_id = np.array([end], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 33
         rests, rest_ids = [], 0
