@@ -124,6 +124,25 @@ def test_saturated_lists_copies_and_blocks(spark):
     assert got == vectors_brute(rows)
 
 
+def planted_pairs(pairs, n, cos, seed):
+    """``n`` vectors without near ones, the first ``pairs`` of which have a partner each at about ``cos``, 100000 ids on."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.standard_normal((pairs, 64))
+    aside -= (aside * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    partner = cos * x[:pairs] + np.sqrt(1 - cos**2) * aside
+    return [(i, v.tolist()) for i, v in enumerate(x)] + [(100_000 + i, v.tolist()) for i, v in enumerate(partner)]
+
+
+def test_isolated_pairs_just_over_the_threshold(spark):
+    rows = planted_pairs(400, 10_000, 0.905, 5)
+    _, classes = ed.classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {(r["a"], r["b"]) for r in ed.neighbours(classes, ed.Search()).where("cos >= 0.9").collect()}
+    assert sum((k, 100_000 + k) in found or (100_000 + k, k) in found for k in range(400)) >= 0.95 * 400
+
+
 def test_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

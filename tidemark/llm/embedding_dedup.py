@@ -1,8 +1,11 @@
 """Near-duplicates among vectors by NN-descent, as Spark jobs over rows.
 
-Equal vectors are one class. A first graph comes from several orderings of the classes by the signs of random projections:
-vectors that follow each other in an ordering become neighbours. Then each vector's neighbours, and those whose neighbour it
-is, are compared with one another (a join with the neighbours of neighbours), and every vector keeps its ``k`` nearest.
+Equal vectors are one class. A first graph comes from orderings of the classes by the signs of random projections: in every
+ordering a vector is compared with those up to ``reach * n ** 0.25`` places away (n classes), and the ``near`` nearest become
+neighbours. How many orderings that takes is measured: ``probes`` vectors at exactly the threshold from sampled ones are put
+between the others, and orderings are added until ``planted`` of these isolated pairs were met. Then each vector's
+neighbours, and those whose neighbour it is, are compared with one another (a join with the neighbours of neighbours), and
+every vector keeps its ``k`` nearest at any cosine; what is farther than a full list's last isn't emitted for that list.
 Rounds end when one finds hardly any new edge over the threshold. A list that holds only neighbours over the threshold is
 saturated: such lists are doubled and refined again, up to ``most``. Where lists of ``most`` are still saturated, their whole
 component is compared with itself in blocks, which counts the links exactly and emits counts, not pairs. Edges over the
@@ -18,6 +21,7 @@ component; rows that share an id are counted each. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -34,8 +38,12 @@ class Search:
     """Parameters. ``audit`` bounds the vectors that are sent to all tasks."""
 
     threshold: float = 0.9
-    orderings: int = 8
+    orderings: int = 8  # at first; more follow
+    most_orderings: int = 512
     reach: int = 4
+    near: int = 4
+    probes: int = 1000
+    planted: float = 0.97
     k: int = 10
     most: int = 40
     rounds: int = 4
@@ -109,55 +117,117 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, staged(able.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
 
 
-def _first_edges(classes: DataFrame, search: Search) -> DataFrame:
-    """``a, b, cos`` for vectors near each other in some ordering, both ways round."""
-    spread = "ordering int, place binary, id long, unit binary"
+def _planted(classes: DataFrame, search: Search) -> DataFrame:
+    """``id, unit``: for sampled classes a vector each whose cosine with the class is the threshold."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, units = [], []
+            for id, unit in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                x = np.frombuffer(unit, np.float64)
+                aside = np.random.default_rng([search.seed, id % (1 << 63)]).standard_normal(len(x))
+                aside -= (aside @ x) * x
+                length = np.sqrt(aside @ aside)
+                if len(x) > 1 and length > 1e-9:
+                    ids.append(id)
+                    units.append((search.threshold * x + np.sqrt(1 - search.threshold**2) * aside / length).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary())], ["id", "unit"])
+
+    drawn = classes.select("id", "unit").orderBy(F.xxhash64(F.lit(search.seed), "id"), "id").limit(search.probes)
+    return drawn.mapInArrow(task, "id long, unit binary")
+
+
+def _first_edges(classes: DataFrame, planted: DataFrame, search: Search, turns: range, reach: int) -> DataFrame:
+    """``a, b, cos`` for vectors near each other in some ordering; with ``planted`` a row ``a`` for each probe that met its origin.
+
+    A probe whose nearest ones in a stretch are all links counts as met: it is no isolated pair, and full lists are refined.
+    """
+    spread = "ordering int, place binary, id long, unit binary, planted boolean"
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             units = batch[1].to_pylist()
             if not units:
                 continue
             x, sizes = _matrix(units)
-            for t in range(search.orderings):
+            for t in turns:
                 bits = np.zeros((len(units), 64), bool)
                 for size in set(sizes.tolist()):
-                    if size not in planes:
-                        rng = np.random.default_rng([search.seed, size])
-                        planes[size] = rng.standard_normal((search.orderings, size, 64))
+                    if (size, t) not in planes:
+                        planes[size, t] = np.random.default_rng([search.seed, size, t]).standard_normal((size, 64))
                     rows = sizes == size
-                    bits[rows] = x[rows][:, :size] @ planes[size][t] > 0
+                    bits[rows] = x[rows][:, :size] @ planes[size, t] > 0
                 packed = np.packbits(bits, axis=1)
                 ids = [t] * len(units)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary()), batch[0], batch[1]],
-                    ["ordering", "place", "id", "unit"],
+                    [pa.array(ids, pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary()), batch[0], batch[1], batch[2]],
+                    ["ordering", "place", "id", "unit", "planted"],
                 )
 
+    def compared(held: list[list], first: int, end: int) -> pa.RecordBatch:
+        """Edges of the rows from ``first`` to ``end``, each with the rows about it."""
+        order, ids, probe = np.array(held[0]), np.array(held[1]), np.array(held[3])
+        x, sizes = _matrix(held[2])
+        parts = []
+        for start in range(first, end, reach):
+            stop, left, right = min(start + reach, end), max(start - reach, 0), min(start + 2 * reach, len(ids))
+            cos = x[start:stop] @ x[left:right].T
+            other = (order[start:stop, None] != order[None, left:right]) | (sizes[start:stop, None] != sizes[None, left:right])
+            cos[other | probe[None, left:right]] = -2
+            cos[np.arange(stop - start), np.arange(start - left, stop - left)] = -2
+            few = min(search.near, right - left)
+            best = np.argpartition(-cos, few - 1, axis=1)[:, :few]
+            value = np.take_along_axis(cos, best, 1)
+            keep = (value > -2) & ~probe[start:stop, None]
+            of = np.repeat(ids[start:stop], keep.sum(1))
+            parts.append((of, ids[left:right][best][keep], value[keep], np.zeros(len(of), bool)))
+            asked = np.flatnonzero(probe[start:stop])
+            own = (ids[left:right][best[asked]] == ids[start:stop][asked, None]) & (value[asked] > -2)
+            met = ids[start:stop][asked][own.any(1) | (value[asked] >= search.threshold).all(1)]
+            parts.append((met, met, np.full(len(met), search.threshold), np.ones(len(met), bool)))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "cos", "planted"])
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], []]  # the last rows of the batch before
+        held: list[list] = [[], [], [], []]
+        done = 0  # the first rows held are only there for those after them
         for batch in batches:
-            new = [batch[0].to_pylist(), batch[2].to_pylist(), batch[3].to_pylist()]
-            old, rows = len(held[0]), [a + b for a, b in zip(held, new, strict=True)]
-            if not rows[0]:
-                continue
-            order, ids = np.array(rows[0]), np.array(rows[1])
-            x, sizes = _matrix(rows[2])
-            parts = []
-            for shift in range(1, min(search.reach, len(ids) - 1) + 1):
-                later = np.arange(max(shift, old), len(ids))
-                fit = (order[later] == order[later - shift]) & (sizes[later] == sizes[later - shift])
-                later = later[fit]
-                cos = np.einsum("ij,ij->i", x[later], x[later - shift])
-                parts += [(ids[later], ids[later - shift], cos), (ids[later - shift], ids[later], cos)]
-            if parts:
-                yield _edges(parts)
-            held = [c[-search.reach :] for c in rows]
-
-    placed = classes.select("id", "unit").mapInArrow(places, spread)
+            held = [a + batch[c].to_pylist() for a, c in zip(held, (0, 2, 3, 4), strict=True)]
+            end = len(held[0]) - reach  # rows that all of their neighbours have come for
+            if end > done:
+                yield compared(held, done, end)
+                cut = max(end - reach, 0)
+                held, done = [c[cut:] for c in held], end - cut
+        if len(held[0]) > done:
+            yield compared(held, done, len(held[0]))
+
+    rows = classes.select("id", "unit", F.lit(False).alias("planted")).union(planted.select("id", "unit", F.lit(True)))
+    placed = rows.mapInArrow(places, spread)
     ordered = placed.repartitionByRange("ordering", "place", "id").sortWithinPartitions("ordering", "place", "id")
-    return ordered.mapInArrow(near, "a long, b long, cos double")
+    return ordered.mapInArrow(near, "a long, b long, cos double, planted boolean")
+
+
+def _first_graph(classes: DataFrame, search: Search) -> DataFrame:
+    """The ``k`` nearest of each vector over as many orderings as the planted pairs need."""
+    reach = search.reach * math.ceil(classes.count() ** 0.25)
+    planted = staged(_planted(classes, search), "planted")
+    asked, turns = planted.count(), range(search.orderings)
+    graph = hits = None
+    while True:
+        met = staged(_first_edges(classes, planted, search, turns, max(reach, 1)), "first")
+        edges = met.where("not planted").drop("planted")
+        graph = staged(_nearest(edges if graph is None else graph.union(edges), search.k), "graph")
+        new = met.where("planted").select("a")
+        hits = staged((new if hits is None else hits.union(new)).distinct(), "hits")
+        share, done = (hits.count() / asked if asked else 1.0), turns.stop
+        if share >= search.planted:
+            return graph
+        if done >= search.most_orderings:
+            raise RuntimeError(f"{done} orderings find only {share:.3f} of the planted pairs")
+        missed = max(1 - share, 1e-9) ** (1 / done)  # by one ordering
+        needed = 1.15 * math.log(1 - search.planted) / math.log(missed) if missed < 1 else math.inf
+        turns = range(done, min(max(math.ceil(min(needed, 4 * done)), done + 2), search.most_orderings))
 
 
 def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -172,18 +242,24 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
-def _compare(graph: DataFrame, classes: DataFrame, k: int, floor: float) -> DataFrame:
-    """Edges between any two neighbours of a vector: those it lists, up to ``k`` that list it, and itself."""
+def _compare(graph: DataFrame, classes: DataFrame, k: int, least: float = -1.5) -> DataFrame:
+    """Edges between any two neighbours of a vector: those it lists, up to ``k`` that list it, and itself.
+
+    Edges below ``least`` are left out, and those too far for the full list of the vector that they start from.
+    """
+    full = graph.groupBy("a").agg(F.min("cos").alias("last"), F.count("*").alias("n")).where(F.col("n") >= k)
+    full = full.select(F.col("a").alias("id"), F.greatest("last", F.lit(least)).alias("floor"))
+    units = classes.select("id", "unit").join(full, "id", "left").fillna(least, "floor")
     back = Window.partitionBy("b").orderBy(F.desc("cos"), "a")
     listed_by = graph.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= k)
     members = graph.select(F.col("a").alias("at"), F.col("b").alias("id"))
     members = members.union(listed_by.select(F.col("b").alias("at"), F.col("a").alias("id")))
     members = members.union(graph.select(F.col("a").alias("at"), F.col("a").alias("id"))).distinct()
-    members = staged(members, "members").join(classes.select("id", "unit"), "id").select("at", "id", "unit")
+    members = staged(members, "members").join(staged(units, "units"), "id").select("at", "id", "unit", "floor")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for _, ids, units in _runs(batches, 1):
+        for _, ids, units, floors in _runs(batches, 1):
             if len(ids) < 2:
                 continue
             x, sizes = _matrix(units)
@@ -194,7 +270,7 @@ def _compare(graph: DataFrame, classes: DataFrame, k: int, floor: float) -> Data
             ids = np.array(ids)
             best = np.argpartition(-cos, few - 1, axis=1)[:, :few]
             value = np.take_along_axis(cos, best, 1)
-            keep = value >= floor
+            keep = value >= np.array(floors)[:, None]
             parts.append((np.repeat(ids, keep.sum(1)), ids[best][keep], value[keep]))
             held += int(keep.sum())
             if held > 1 << 16:
@@ -208,12 +284,11 @@ def _compare(graph: DataFrame, classes: DataFrame, k: int, floor: float) -> Data
 
 def neighbours(classes: DataFrame, search: Search) -> DataFrame:
     """``a, b, cos``: each vector's nearest ones found, at least ``k`` (more where lists were saturated)."""
-    graph = staged(_nearest(_first_edges(classes, search), search.k), "graph")
+    graph = _first_graph(classes, search)
     over = F.col("cos") >= search.threshold
-    floor = search.threshold - 0.4  # neighbours farther than this lead nowhere near
     links = graph.where(over).count()
     for _ in range(search.rounds):
-        graph = staged(_nearest(graph.union(_compare(graph, classes, search.k, floor)), search.k), "graph")
+        graph = staged(_nearest(graph.union(_compare(graph, classes, search.k)), search.k), "graph")
         before, links = links, graph.where(over).count()
         if links - before <= search.settled * links:
             break
