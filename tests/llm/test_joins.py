@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tidemark.llm import embedding_dedup as ed
@@ -143,6 +144,21 @@ def test_isolated_pairs_just_over_the_threshold(spark):
     assert sum((k, 100_000 + k) in found or (100_000 + k, k) in found for k in range(400)) >= 0.95 * 400
 
 
+def test_the_audit_sees_lost_pairs_beside_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    centre, rows = rng.standard_normal(64), planted_pairs(150, 3000, 0.95, 7)
+    rows += [(200_000 + i, (centre + 0.05 * rng.standard_normal(64)).tolist()) for i in range(1500)]
+    _, classes = ed.classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    dense = F.col("id") >= 200_000
+    ends = classes.select(
+        "id", F.when(dense, 1499).otherwise(0).cast("long").alias("links"), F.when(dense, 200_000).otherwise(F.col("id")).alias("component"),
+        F.lit(0).cast("long").alias("others"), dense.alias("exact"),
+    )
+    assert ed.audited_recall(classes, ends, ed.Search()) == 0.0
+    whole = ends.withColumn("others", F.when((F.col("id") < 150) | F.col("id").between(100_000, 100_149), 1).otherwise(0).cast("long"))
+    assert ed.audited_recall(classes, whole, ed.Search()) == 1.0
+
+
 def test_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

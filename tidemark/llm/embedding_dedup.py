@@ -6,11 +6,14 @@ neighbours. How many orderings that takes is measured: ``probes`` vectors at exa
 between the others, and orderings are added until ``planted`` of these isolated pairs were met. Then each vector's
 neighbours, and those whose neighbour it is, are compared with one another (a join with the neighbours of neighbours), and
 every vector keeps its ``k`` nearest at any cosine; what is farther than a full list's last isn't emitted for that list.
-Rounds end when one finds hardly any new edge over the threshold. A list that holds only neighbours over the threshold is
+Rounds end when one finds hardly any new edge over the threshold for vectors whose lists aren't full of such. A list that holds only neighbours over the threshold is
 saturated: such lists are doubled and refined again, up to ``most``. Where lists of ``most`` are still saturated, their whole
 component is compared with itself in blocks, which counts the links exactly and emits counts, not pairs. Edges over the
-threshold remain. The search is audited: ``audit`` vectors are compared with all; below ``recall`` it starts again with more
-orderings and more neighbours, and raises if that doesn't help.
+threshold remain. The search is audited: vectors outside the components that were counted exactly are drawn, ``audit`` at
+first and twice as many each time, and compared with all, until ``linked`` of them have links. The mean over these vectors of
+the share of their links that was found, copies apart, must reach ``recall``; below, the search starts again with more
+orderings and more neighbours, and raises if that doesn't help. Where fewer than ``linked`` turn up among ``most_audit``
+vectors, those few count, and the planted pairs.
 
 What is held in one task is a stretch of an ordering, 2k vectors, or two blocks. Nothing grows in the driver.
 
@@ -49,6 +52,8 @@ class Search:
     rounds: int = 4
     settled: float = 0.002
     audit: int = 256
+    most_audit: int = 16384
+    linked: int = 100
     recall: float = 0.95
     block: int = 4096
     seed: int = 7
@@ -282,15 +287,23 @@ def _compare(graph: DataFrame, classes: DataFrame, k: int, least: float = -1.5)
     return members.repartition("at").sortWithinPartitions("at").mapInArrow(task, "a long, b long, cos double")
 
 
+def _gain(before: DataFrame, after: DataFrame, search: Search) -> float:
+    """The share of new links among those of the vectors whose lists were not full of links before."""
+    links = F.sum(F.when(F.col("cos") >= search.threshold, 1).otherwise(0))
+    old, new = before.groupBy("a").agg(links.alias("old")), after.groupBy("a").agg(links.alias("new"))
+    both = new.join(old, "a", "left").fillna(0, "old").where(F.col("old") < search.k)
+    sums = both.agg(F.sum("new").alias("new"), F.sum(F.col("new") - F.col("old")).alias("more")).first()
+    return sums["more"] / sums["new"] if sums["new"] else 0.0
+
+
 def neighbours(classes: DataFrame, search: Search) -> DataFrame:
     """``a, b, cos``: each vector's nearest ones found, at least ``k`` (more where lists were saturated)."""
     graph = _first_graph(classes, search)
     over = F.col("cos") >= search.threshold
-    links = graph.where(over).count()
     for _ in range(search.rounds):
+        before = graph
         graph = staged(_nearest(graph.union(_compare(graph, classes, search.k)), search.k), "graph")
-        before, links = links, graph.where(over).count()
-        if links - before <= search.settled * links:
+        if _gain(before, graph, search) <= search.settled:
             break
     k = search.k
     while k < search.most:
@@ -337,7 +350,7 @@ def _count_in_blocks(members: DataFrame, search: Search) -> DataFrame:
 
 
 def _search(classes: DataFrame, search: Search) -> DataFrame:
-    """``id, links, component`` of all classes."""
+    """``id, links, component`` of all classes, ``others``, the classes each is linked with, and if they were counted ``exact``."""
     graph = neighbours(classes, search)
     listed = graph.groupBy("a").agg(F.sum(F.when(F.col("cos") >= search.threshold, 1).otherwise(0)).alias("n"))
     found = graph.where(F.col("cos") >= search.threshold).select("a", "b")
@@ -347,20 +360,44 @@ def _search(classes: DataFrame, search: Search) -> DataFrame:
     dense = staged(joined.join(full, "node", "left_semi").select("component").distinct(), "dense")
     members = joined.join(dense, "component").join(classes, F.col("node") == F.col("id")).select("id", "component", "unit", "copies")
     exact = staged(_count_in_blocks(members, search), "exact")
-    counts = edges.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("other"))
+    counts = edges.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a")
+    counts = counts.agg(F.sum("copies").alias("other"), F.count("*").alias("others"))
     counts = staged(counts.withColumnRenamed("a", "node"), "counts")
     ends = classes.select("id", "copies").join(joined, F.col("id") == F.col("node"), "left").drop("node")
     ends = ends.join(exact, "id", "left").join(counts, F.col("id") == F.col("node"), "left")
     links = F.coalesce("links", F.coalesce("other", F.lit(0)) + F.col("copies") - 1)
-    return staged(ends.select("id", links.cast("long").alias("links"), F.coalesce("component", "id").alias("component")), "ends")
+    others, exactly = F.coalesce("others", F.lit(0)).cast("long"), F.col("links").isNotNull()
+    return staged(
+        ends.select(
+            "id", links.cast("long").alias("links"), F.coalesce("component", "id").alias("component"),
+            others.alias("others"), exactly.alias("exact"),
+        ),
+        "ends",
+    )
 
 
 def audited_recall(classes: DataFrame, ends: DataFrame, search: Search) -> float:
-    """The share of all links of ``audit`` vectors that was found, the true links counted against every vector."""
-    asked = classes.select("id", "unit").orderBy(F.xxhash64(F.lit(search.seed), "id"), "id").limit(search.audit).collect()
+    """The mean share of a linked vector's links to other classes that was found, the true ones counted against every vector.
+
+    Only vectors outside exactly counted components are drawn, more and more until ``linked`` of them have links.
+    """
+    open_ends = staged(classes.select("id", "unit").join(ends.where("not exact").select("id", "others"), "id"), "open")
+    order = [F.xxhash64(F.lit(search.seed), "id"), "id"]
+    shares, done, draws = [], 0, search.audit
+    while True:
+        drawn = open_ends.orderBy(*order).limit(draws).collect()  # most_audit at most
+        true = _true_links(classes, [(r["id"], bytes(r["unit"])) for r in drawn[done:]], search)
+        shares += [r["others"] / true[r["id"]] for r in drawn[done:] if true[r["id"]]]
+        if len(shares) >= search.linked or len(drawn) < draws or draws >= search.most_audit:
+            return sum(shares) / len(shares) if shares else 1.0
+        done, draws = draws, min(2 * draws, search.most_audit)
+
+
+def _true_links(classes: DataFrame, asked: list[tuple[int, bytes]], search: Search) -> dict[int, int]:
+    """How many other classes each of ``asked`` is linked with."""
     if not asked:
-        return 1.0
-    sent = classes.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["unit"])) for r in asked])
+        return {}
+    sent = classes.sparkSession.sparkContext.broadcast(asked)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, units = zip(*sent.value, strict=True)
@@ -368,14 +405,15 @@ def audited_recall(classes: DataFrame, ends: DataFrame, search: Search) -> float
         for batch in batches:
             if batch.num_rows:
                 x, sizes = _matrix(list(units) + batch[1].to_pylist())
-                near = x[: len(ids)] @ x[len(ids) :].T >= search.threshold
-                near &= sizes[: len(ids), None] == sizes[None, len(ids) :]
-                totals += near @ batch[2].to_numpy()
+                y, other = x[len(ids) :], sizes[len(ids) :]
+                for start in range(0, len(ids), 512):
+                    part = slice(start, min(start + 512, len(ids)))
+                    near = (x[part] @ y.T >= search.threshold) & (sizes[part, None] == other[None, :])
+                    totals[part] += near.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(totals)], ["id", "true"])
 
-    true = classes.select("id", "unit", "copies").mapInArrow(task, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    sums = ends.join(F.broadcast(true), "id").agg(F.sum("links").alias("found"), F.sum(F.col("true") - 1).alias("true")).first()
-    return 1.0 if not sums["true"] else sums["found"] / sums["true"]
+    true = classes.select("id", "unit").mapInArrow(task, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+    return {r["id"]: r["true"] - 1 for r in true.collect()}  # a vector is no link of its own
 
 
 def linked(vectors: DataFrame, search: Search = Search()) -> DataFrame:
@@ -389,7 +427,7 @@ def linked(vectors: DataFrame, search: Search = Search()) -> DataFrame:
             break
     else:
         raise RuntimeError(f"the neighbour search finds only {recall:.3f} of the links")
-    named = staged(ends.join(classes.select("id", "unit"), "id").drop("id"), "named")
+    named = staged(ends.join(classes.select("id", "unit"), "id").select("unit", "links", "component"), "named")
     found = rows.join(named, "unit", "left")
     able = F.col("vec_id").isNotNull()
     component = F.when(able, F.coalesce("component", "vec_id"))
