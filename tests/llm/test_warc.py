@@ -53,6 +53,14 @@ def test_null_ids_repeats_and_empty(spark, tmp_path):
     assert round_trip(spark, [], tmp_path / "e") == {}
 
 
+def test_headers_of_repeated_ids(spark, tmp_path):
+    big, other = "z" * 1500, "y" * 1700
+    rows = [(None, "u", big), (4, "u", big), (4, "u", big), (2, "u", big), (4, "u", other), (3, "u", other)]
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "w"))
+    heads = sorted((r["page_id"] or -1, r["record_type"], r["payload_bytes"]) for r in warc.read_headers(spark, str(tmp_path / "w")).collect())
+    assert heads == [(-1, "response", 1500), (2, "revisit", 1500), (3, "revisit", 1700), (4, "response", 1500), (4, "response", 1500), (4, "response", 1700)]
+
+
 def test_long_payload_and_small_files(spark, tmp_path):
     rows = [(i, "u", str(i) * 3000) for i in range(1, 60)] + [(100, "u", "y" * 20_000_000)]
     got = round_trip(spark, rows, tmp_path / "w", per_file=7)

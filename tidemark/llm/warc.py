@@ -127,8 +127,8 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     """The records without payloads, each revisit with the length of its response's payload."""
     heads = staged(read_archives(spark, folder).drop("payload"), "headers")
     lengths = heads.where("record_type = 'response' and page_id is not null")
-    lengths = lengths.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"))
-    revisits = heads.where("record_type = 'revisit'").join(lengths, "refers_to", "left")
+    lengths = lengths.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("n")).distinct()
+    revisits = heads.where("record_type = 'revisit'").join(lengths, ["refers_to", "payload_digest"], "left")
     responses = heads.where("record_type = 'response'")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.select(columns).unionByName(revisits.withColumn("payload_bytes", F.col("n")).select(columns))
