@@ -86,6 +86,8 @@ def test_hard_rows(spark):
     out = mx.mix(docs, mx.Targets(percent=100, epochs=2))
     assert out.schema == docs.schema and out.count() > 0
     once = mx.mix(docs, mx.Targets(percent=100, epochs=1))
-    assert {r["doc_id"] for r in once.collect()} >= {1, 2, 6, 8, 9}
+    assert {r["doc_id"] for r in once.collect()} >= {None, 1, 2, 6, 8, 9}
+    copies = mx.choose(docs, mx.Targets(percent=100, epochs=2)).where("doc_id is null").first()["copies"]
+    assert once.where("doc_id is null").count() == 1 and out.where("doc_id is null").count() == copies > 0
     assert mx.mix(cases.empty(spark), mx.Targets()).count() == 0
     assert mx.choose(cases.empty(spark), mx.Targets()).count() == 0

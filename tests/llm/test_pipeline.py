@@ -1,8 +1,11 @@
 """Each stage on what the stage before kept, held against a plain form of it."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.llm import cases
 from tests.llm.test_joins import brute
+from tidemark.llm import mixing
 from tidemark.llm import quality_classifier as qc
 
 FOLDER = "/root/testdata/sf0.01"
@@ -52,5 +55,11 @@ def test_hard_rows_pass_all_stages(spark, tmp_path):
             stage(spark, docs, str(tmp_path)).count()
 
 
+def test_a_document_without_an_id_is_mixed(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id")))
+    chosen = mixing.choose(docs, cp.TARGETS).where("doc_id is null").agg(F.sum("copies")).first()[0]
+    assert cp.mixing_stage(spark, docs, FOLDER).where("doc_id is null").count() == chosen > 0
+
+
 def test_run(spark):
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 0

@@ -10,7 +10,7 @@ order of md5(seed | epoch | doc_id), that fits in the rest. The prefix's end is
 first three hex digits give the digits in which it lies, and only that 4096th of the leaf is ordered. Tokens are words.
 
 Cases: null domain, language and source are the group ``''``. Null and empty texts have no tokens: they come with every whole
-epoch, and with the prefix where their hash lies in it. Rows sharing an id share their fate. Weights that are not given
+epoch, and with the prefix where their hash lies in it. Rows sharing an id share their fate; a null id counts as the id ``''``. Weights that are not given
 are 1; weights of 0 and less leave a child without budget. An empty table gives no rows. Columns other than those
 named are not read by ``choose``.
 """
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, targets: Targets) -> DataFrame:
     measured = staged(measure(docs, domain_of()), "measured")
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     rows = docs.select("doc_id", F.coalesce(domain_of(), F.lit("")).alias("domain"), *named, F.struct("*").alias("_row"))
-    chosen = _decided(rows, ends_of(measured, targets), targets).where("copies > 0 and doc_id is not null")
+    chosen = _decided(rows, ends_of(measured, targets), targets).where("copies > 0")
     if targets.epochs > 1:
         chosen = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return chosen.select("_row.*")
