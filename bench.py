@@ -59,14 +59,18 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
     spark = session(os.environ.get("BENCH_CPUS", str(os.cpu_count())))
-    runs, times = int(os.environ.get("BENCH_RUNS", "2")), {}
+    runs, times, failed = int(os.environ.get("BENCH_RUNS", "2")), {}, {}
     for name in names:
         taken = []
-        for _ in range(runs):
-            start = time.perf_counter()
-            catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - start)
-        times[name] = round(min(taken), 3)
+        try:
+            for _ in range(runs):
+                start = time.perf_counter()
+                catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+                taken.append(time.perf_counter() - start)
+        except Exception as error:  # one broken query must not hide the others' times; the exit code tells of it
+            failed[name] = f"{type(error).__name__}: {error}".splitlines()[0][:200]
+        else:
+            times[name] = round(min(taken), 3)
     line = {
         "metric": "headline queries, total wall time",
         "value": round(sum(times.values()), 3),
@@ -77,8 +81,11 @@ def main() -> None:
     }
     if os.environ.get("BENCH_ORACLE"):
         line["duckdb"] = oracle_times(folder, names)
+    if failed:
+        line["failed"] = failed
     print(json.dumps(line))
     spark.stop()
+    sys.exit(1 if failed else 0)
 
 
 if __name__ == "__main__":
