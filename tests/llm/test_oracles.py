@@ -19,7 +19,7 @@ def test_query_equals_oracle(spark, con, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 NATIVE = ["op2_quality_rules", "op3_mixing", "op5_chat_formatting", "op7_url_filter"]

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    chat_format, embedding_dedup, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, url_filter, warc,
+    chat_format, embedding_dedup, importance_resampling, license_scan, mixing, ngram_join, packing, quality_classifier,
+    quality_rules, url_filter, warc,
 )
 from tidemark.llm.shared import shared_folder
 
@@ -230,3 +231,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_embedding_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.linked(table(spark, folder, "embeddings"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.drop("n_words")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     return df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, cut so that what Python makes of a slice's texts stays small beside the heap."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_of(column: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
