@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.license_rules import RULES, Rule
-from tidemark.llm.shared import LOWER, UPPER, small_batches
+from tidemark.llm.shared import LOWER, UPPER, slices
 
 #: Phrases whose every place counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -110,7 +110,7 @@ def scan(docs: DataFrame) -> DataFrame:
             )
         )
         names = ["doc_id", "n_words", "base", "found"]
-        for batch in batches:
+        for batch in slices(batches):
             counts, base, found = [], [], []
             for text in batch[1].to_pylist():
                 n, places, detections = scanner(text)
@@ -122,7 +122,7 @@ def scan(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(task, SCHEMA)
+    return rows.mapInArrow(task, SCHEMA)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import LOWER, UPPER, components, small_batches, staged
+from tidemark.llm.shared import LOWER, UPPER, components, slices, staged
 
 LOWERING = bytes.maketrans(UPPER.encode(), LOWER.encode())
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +92,7 @@ def scan(docs: DataFrame, width: int, sketch: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = _Words(), np.zeros(sketch, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch[0].to_pylist(), _texts(batch, 1), strict=True):
                 found = shingle_set(text, width, hashes)
@@ -147,7 +147,7 @@ def short_lists(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) ->
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch[0].to_pylist(), _texts(batch, 1), strict=True):
                 found = shingle_set(text, width, hashes)
@@ -188,7 +188,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(_set_bits(batch[2], sent.value)))
             rows, held = [], 0
             for doc_id, text in zip(batch[0].to_pylist(), _texts(batch, 1), strict=True):
@@ -210,7 +210,7 @@ def probe(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFr
     left, right = (sets.select(F.col("id").alias(c), F.col("found").alias(f"in_{c}")) for c in ("a", "b"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             linked = []
             for x, y in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
                 x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
@@ -243,7 +243,7 @@ def linked_components(
     docs: DataFrame, width: int = 4, percent: int = 85, sketch: int = 1 << 21
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs (doc_id, text)``; no id, no component."""
-    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = staged(scan(docs, width, sketch), "scanned")
     ranks = order_of(scanned, sketch)
     rows = scanned.where("block is null").select("doc_id", "n", "print")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import LOWER, UPPER, small_batches, text_of
+from tidemark.llm.shared import LOWER, UPPER, slices, text_of
 
 #: Line ends become blanks and A-Z small, as in the vocabulary's own normal form.
 _PLAIN = bytes.maketrans(b"\n" + UPPER.encode(), b" " + LOWER.encode())
@@ -161,7 +161,7 @@ def pack_documents(
                 next_id += 1
             return rows
 
-        for batch in batches:
+        for batch in slices(batches):
             ready, held = [], 0
             for doc_id, ids in zip(batch[0].to_pylist(), tokens(batch[1].cast(pa.binary()).to_pylist()), strict=True):
                 ids += end_id
@@ -187,4 +187,4 @@ def pack_documents(
             yield batch_of(windows(rests))
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
-    return small_batches(rows).mapInArrow(task, SCHEMA)
+    return rows.mapInArrow(task, SCHEMA)

@@ -1,6 +1,7 @@
 """A supervised quality classifier over hashed subword vectors.
 
-Every word and every run of three and of four bytes of a text is hashed to one of ``buckets`` learned vectors; their mean
+Every word (of at most ``LONGEST_WORD`` bytes) and every run of three and of four bytes of a text is hashed to one of
+``buckets`` learned vectors; their mean
 goes through a softmax over the two classes. Vectors and output weights are learned by stochastic gradient descent in
 numpy, on a sample of labelled rows that the parameters bound: at most ``per_class`` rows of each class, the first in the
 order of a seeded hash, none longer than ``longest`` characters. Scoring is linear in the mean, so a trained model is one
@@ -9,8 +10,10 @@ number per bucket and a bias (its size is fixed), sent to the tasks; every whole
 Labels of rows whose crc32(doc_id as text) mod 3 is 1 are never learned from. Ids, language, source and labels are no inputs
 of a score. The sample is balanced, so the bias is moved by the log odds that all learnable labels show.
 
-Cases: null and empty texts get the score of the bias alone. Texts beyond ``BLOCK`` bytes are scored in blocks cut at a
-blank, all of them counted. Documents with contradicting labels are not learned from; repeated rows are scored each. With
+Weights are summed as whole multiples of ``UNIT``, so a score depends on the text alone, not on batches or partitions.
+
+Cases: null and empty texts get the score of the bias alone. Texts beyond ``BLOCK`` bytes are scored in stretches that see
+over their ends, so all runs and words count once. Documents with contradicting labels are not learned from; repeated rows are scored each. With
 no labels of one class the score is the share of label 1 (0.5 without any labels). An empty table gives an empty result.
 Only ``doc_id`` and ``text`` are read, so extra columns can't clash.
 """
@@ -19,15 +22,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_batches, text_of
+from tidemark.llm.shared import slices, text_of
 
 BLOCK = 1 << 19
+LONGEST_WORD = 256
+UNIT = 2.0**-24
 PAD = b"\n\n\n\n"
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -50,35 +56,41 @@ class Model:
     weights: np.ndarray  # per bucket, the difference of the classes' logits
     bias: float
 
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """The weights as whole multiples of ``UNIT``, whose sums are exact in any order."""
+        return np.rint(self.weights.astype(np.float64) / UNIT).astype(np.int64)
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        total, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for owners, starts, ends, data in blocks(texts):
             for places, buckets in features(data, len(self.weights)):
-                summed = np.concatenate([[0.0], np.cumsum(self.weights[buckets], dtype=np.float64)])
+                summed = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.steps[buckets])])
                 low, high = np.searchsorted(places, starts), np.searchsorted(places, ends)
                 np.add.at(total, owners, summed[high] - summed[low])
                 np.add.at(count, owners, high - low)
-        logits = total / np.maximum(count, 1) + self.bias
+        logits = total * UNIT / np.maximum(count, 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of several texts side by side, padded so that no run reaches from one into the next: owner, start and end of
-    each stretch, and the bytes."""
+    each stretch, and the bytes. A stretch of a longer text comes with the byte before it and those after it that runs and
+    words of its places reach."""
     stretches, held = [], 0
 
     def packed():
-        starts = np.cumsum([0] + [len(b) + len(PAD) for _, b in stretches])[:-1] + len(PAD)
-        ends = starts + np.array([len(b) for _, b in stretches])
-        data = np.frombuffer(PAD + b"".join(b + PAD for _, b in stretches), np.uint8)
-        return np.array([i for i, _ in stretches]), starts, ends, data
+        offsets = np.cumsum([0] + [len(b) + len(PAD) for _, _, _, b in stretches])[:-1] + len(PAD)
+        starts = offsets + np.array([before for _, before, _, _ in stretches])
+        data = np.frombuffer(PAD + b"".join(b + PAD for _, _, _, b in stretches), np.uint8)
+        return np.array([i for i, _, _, _ in stretches]), starts, starts + np.array([n for _, _, n, _ in stretches]), data
 
     for i, text in enumerate(texts):
         data = text.encode("utf-8", "surrogatepass")
-        while data:
-            cut = len(data) if len(data) <= BLOCK else data.rfind(b" ", 1, BLOCK) + 1 or BLOCK
-            stretches.append((i, data[:cut]))
-            data, held = data[cut:], held + cut
+        for at in range(0, len(data), BLOCK):
+            before = min(at, 1)
+            stretches.append((i, before, min(BLOCK, len(data) - at), data[at - before : at + BLOCK + LONGEST_WORD + 1]))
+            held += stretches[-1][2]
             if held >= BLOCK:
                 yield packed()
                 stretches, held = [], 0
@@ -107,10 +119,18 @@ def features(data: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.nd
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # padded with blanks, so edges come in pairs
     starts, ends = edges[::2], edges[1::2]
-    powers = np.cumprod(np.concatenate([[1], np.full(len(data), _BASE, np.uint64)]).astype(np.uint64))
-    back = np.cumprod(np.concatenate([[1], np.full(len(data), _INVERSE, np.uint64)]).astype(np.uint64))
-    summed = np.concatenate([[np.uint64(0)], np.cumsum((wide + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
-    yield starts, _mixed((summed[ends] - summed[starts]) * back[starts] ^ np.uint64(1 << 41), buckets)
+    short = ends - starts <= LONGEST_WORD
+    starts, ends = starts[short], ends[short]
+    # a word's hash is that of its bytes alone: the sum of byte times power, moved back to the power 0
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64)])
+    yield starts, _mixed((summed[ends] - summed[starts]) * _powers(_INVERSE, len(data))[starts] ^ np.uint64(1 << 41), buckets)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base squared and so on, modulo 2 to the 64."""
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 def train(texts: list[str], labels: list[int], odds: float, training: Training = Training()) -> Model:
@@ -181,12 +201,12 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCORES.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             scores = sent.value.scores(batch[2].to_pylist())
             predicted = pa.array((scores >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(scores), predicted], names)
 
-    return small_batches(rows).mapInArrow(task, SCORES)
+    return rows.mapInArrow(task, SCORES)
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -195,8 +215,8 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = sent.value.scores([t or "" for t in batch[at].to_pylist()])
             yield batch.filter(pa.array(scores >= least))
 
-    return small_batches(docs).mapInArrow(task, docs.schema)
+    return docs.mapInArrow(task, docs.schema)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    chat_format, embedding_dedup, importance_resampling, license_scan, mixing, ngram_join, packing, quality_classifier,
-    quality_rules, url_filter, warc,
+    chat_format, embedding_dedup, importance_resampling, license_scan, mixing, ngram_join, packing, prefix_trie,
+    quality_classifier, quality_rules, suffix_dedup, url_filter, warc,
 )
 from tidemark.llm.shared import shared_folder
 
@@ -237,3 +237,52 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     drawn = importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return drawn.drop("n_words")
+
+
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_prefix_trie",
+    """
+    WITH bits AS (
+        SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t
+        FROM range(256) r(i)),
+    ordered AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS rank
+        FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS digits
+            FROM ordered GROUP BY conv_id),
+    convs AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base,
+               xor(list_reduce(digits, lambda c, d: xor(c // 256, t[xor(c % 256, d) + 1]), 4294967295::BIGINT), 4294967295) % 6 AS h
+        FROM ids, bits),
+    rebuilt AS (
+        SELECT c.conv_id, 0 AS side, rank, role, text FROM convs c JOIN ordered o ON o.conv_id = c.base AND rank <= h
+        UNION ALL SELECT c.conv_id, 1, rank, role, text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND rank > h),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY side, rank) AS depth FROM rebuilt),
+    paths AS (
+        SELECT conv_id, depth, length(text) AS chars, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (
+            PARTITION BY conv_id ORDER BY depth)) AS key FROM placed
+        UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+    linked AS (SELECT *, lag(key) OVER c AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ended FROM paths
+               WINDOW c AS (PARTITION BY conv_id ORDER BY depth)),
+    nodes AS (
+        SELECT depth, key, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+        FROM linked GROUP BY depth, key),
+    children AS (SELECT depth - 1 AS depth, parent AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+    full_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, key)),
+    sums AS (
+        SELECT p.depth, p.key, sum((u.n_convs - 1) * u.chars) AS saved_tokens, count(*) FILTER (u.n_children = 0) AS n_leaves
+        FROM full_nodes u JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY ALL)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+           s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM full_nodes n JOIN sums s USING (depth, key) LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.key = n.parent
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, folder, "conversations"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """``df``, in a session whose batches to Python hold so few rows that long texts and sets fit beside the heap."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches of a task, cut so that what Python makes of a slice's texts stays small beside the heap."""
     for batch in batches:
@@ -40,6 +35,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def bitmap(rows: DataFrame, place: Column, size: int) -> np.ndarray:
+    """``size`` bits in bytes of eight, of which those at the ``place`` (0 to ``size`` - 1) of all ``rows`` are set."""
+    at = rows.select((place + 1).alias("at")).where("at is not null")
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(-(-size // 32768) * 4096, np.uint8)
+    for row in parts.toLocalIterator():  # a row of 4 KB for 32,768 bits, whatever the input
+        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
 def text_of(column: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
