@@ -37,7 +37,7 @@ def brute(rows, width, percent):
     for i in ids:
         for s in sets[i]:
             holders.setdefault(s, []).append(i)
-    pairs = {(a, b) for h in holders.values() if len(h) < 400 for a in h for b in h if a < b}
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
     for a, b in pairs:
         both = len(sets[a] & sets[b])
         if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
@@ -84,6 +84,37 @@ def test_hard_documents(spark):
     assert nj.linked_components(cases.empty(spark)).count() == 0 and nj.keep_one(cases.empty(spark)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(6)]
+    near = [t + " one more" for t in texts]
+    rows = [(1, texts[0]), (5, texts[1]), (5, texts[2]), (9, near[2]), (12, near[1]), (20, texts[3]), (21, near[3]), (21, texts[0]), (30, texts[4]), (30, texts[4]), (31, texts[5])]
+    rows += [(40, texts[5]), (40, None), (None, texts[5]), (50, ""), (50, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["n_shingles"] > 0): r["component_id"] for r in nj.linked_components(docs).collect()}
+    want = {1: 1, 5: 5, 9: 5, 12: 5, 20: 1, 21: 1, 30: 30, 31: 31, 40: 31}
+    assert got == {(i, True): c for i, c in want.items()} | {(40, False): 40, (None, True): None, (50, False): 50}
+    assert sorted((r["doc_id"] or -1) for r in nj.keep_one(docs).collect()) == [-1, 1, 5, 30, 31, 50]
+
+
+def test_a_group_of_near_copies_is_not_paired_out(spark, monkeypatch):
+    """Near copies with one to forty changes: most link with few others, and the pair join must not grow with their square."""
+    rng, rows = np.random.default_rng(6), []
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    for k in range(600):
+        words = list(base)
+        for at in rng.integers(0, 300, 1 + k % 20):
+            words[at] = f"n{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    asked = []
+    probe = nj.probe
+    monkeypatch.setattr(nj, "probe", lambda docs, pairs, *rest: (asked.append(pairs.count()), probe(docs, pairs, *rest))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.linked_components(docs, 4, 85, 1 << 15).collect()}
+    assert got == brute(rows, 4, 85)
+    assert sum(asked) < 600 * 599 / 2 / 20
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(3000, 3001), (3001, 3002), (3002, 3000), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -5,15 +5,16 @@ least ``ceil(percent * n / 100)``. A global order of all shingles, rare before f
 ``n - that + 1`` shingles, whose inverted lists are short, and the rest, whose lists are long.
 
 1. Documents with equal sets are one class, stood for by its smallest id.
-2. The short lists are merged: occurrences per pair of classes are counted by partial sums before the shuffle. A pair can
-   reach the overlap T only if it occurs ``T - L`` times or more, where L is the larger number of long lists of the two.
-3. The long lists are not merged. Surviving pairs are probed: the shingles of one set are searched by bisection in the other.
+2. DivideSkip takes as many long lists as a pair's overlap T allows, T - 1 of them, so a linked pair occurs in a short list of
+   both: among the first ``n - T + 1`` shingles of each, with T from both sizes. The short lists are merged by a join on the
+   shingle, which Spark's sort and shuffle do in place of one heap.
+3. The long lists are not merged. The pairs found are probed: the shingles of one set are searched by bisection in the other.
 
 Large groups of near copies would meet in every short list of their common part. So first each class is compared only with
 one partner, the list head (smallest id) that it meets most often; the links found make first components. Only pairs that
 cross components are then searched; in each list the largest component is a "main" side that others are joined with, and
-lists within one component are left out. A pair is not even counted if the set whose short lists end earlier in the order
-has so many short lists to itself that the rest is less than T: the other set can't hold those shingles. Results are whole: pairs left out lie in one component already.
+lists within one component are left out. Shingles that a near copy has to itself come first in its order, so one that has too many
+of them to be linked meets no other. Results are whole: pairs left out lie in one component already.
 
 The order comes from a sketch of all shingles' counts of a fixed size (``sketch`` counters), so what is broadcast doesn't
 grow with the input; any order gives the same result. Shingles are 64-bit hashes of 64-bit word hashes: two of a pair's
@@ -21,7 +22,8 @@ shingles are mistaken for each other with a chance of about 1e-13 for sets of a
 when needed and never stored for all documents; a bitmap of fixed size tells which texts are worth the work.
 
 Cases: null or wordless texts have empty sets and link with nothing. Fewer words than a shingle has make one shingle of all.
-Rows without an id keep their set size and have no component. Rows sharing an id count as one node. Very long texts are
+Rows without an id keep their set size and have no component. Rows sharing an id count as one node, linked by any of their
+texts; a row of such an id without words keeps its own id. Very long texts are
 taken whole. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import LOWER, UPPER, components, slices, staged
@@ -138,11 +140,8 @@ def order_of(scanned: DataFrame, sketch: int) -> np.ndarray:
 
 
 def short_lists(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``doc_id, n`` and the shingles of each document whose lists are short: the first ones in the global order.
-
-    ``rank`` and ``place`` are the last one's position in the order; places compare as their unsigned hashes do.
-    """
-    schema = "doc_id long, n long, rank long, place long, short array<long>"
+    """``doc_id, n, print`` and the shingles of each document whose lists are short: the first ones in the global order."""
+    schema = "doc_id long, n long, print binary, short array<long>"
     sent, last = docs.sparkSession.sparkContext.broadcast(ranks), np.uint64(len(ranks) - 1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +155,7 @@ def short_lists(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) ->
                     first = n - -(-n * percent // 100) + 1
                     rank = sent.value[(found & last).astype(np.int64)]
                     order = np.lexsort((found, rank))[:first]
-                    place = int(found[order[-1]]) - (1 << 63)
-                    rows.append((doc_id, n, int(rank[order[-1]]), place, found[order].view(np.int64)))
+                    rows.append((doc_id, n, xxhash.xxh3_128_digest(found.tobytes()), found[order].view(np.int64)))
             yield _batch(schema, rows)
 
     return docs.mapInArrow(task, schema)
@@ -232,13 +230,6 @@ def _overlap(n: str, m: str, percent: int) -> Column:
     return F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
 
 
-def _enough(occurrences: str, n: str, m: str, percent: int) -> Column:
-    """Whether a pair with so many occurrences in short lists can still reach its overlap T (T - L occurrences)."""
-    most = F.greatest(n, m)
-    long_lists = F.floor((most * percent + 99) / 100).cast("long") - 1
-    return F.col(occurrences) >= F.greatest(F.lit(1), _overlap(n, m, percent) - long_lists)
-
-
 def linked_components(
     docs: DataFrame, width: int = 4, percent: int = 85, sketch: int = 1 << 21
 ) -> DataFrame:
@@ -251,9 +242,9 @@ def linked_components(
     filled = rows.where("n > 0 and doc_id is not null")
     classes = staged(filled.groupBy("n", "print").agg(F.min("doc_id").alias("class"), F.count("*").alias("rows")), "classes")
     short = short_lists(docs, ranks, width, percent)
-    short = short.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
-    short = staged(short.dropDuplicates(["doc_id"]), "short")
-    entries = short.select("doc_id", "n", F.explode("short").alias("shingle"))
+    short = short.join(classes.select(F.col("class").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi")
+    short = staged(short.dropDuplicates(["doc_id", "print"]).drop("print"), "short")
+    entries = short.select("doc_id", "n", F.posexplode("short").alias("place", "shingle"))
     heads = entries.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("entries"))
     heads = staged(heads.where("entries > 1").select("shingle", "head.doc_id", "head.n").toDF("shingle", "head", "head_n"), "heads")
     lists = staged(entries.join(heads, "shingle"), "lists")  # lists of two and more
@@ -262,28 +253,28 @@ def linked_components(
     met = lists.where((F.col("doc_id") > F.col("head")) & _may_link("n", "head_n", percent))
     met = met.groupBy("doc_id", "head").agg(F.count("*").alias("times"))
     star = met.groupBy("doc_id").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("b"))
-    first = staged(probe(docs, staged(star.select(F.col("doc_id").alias("a"), "b"), "star"), width, percent), "first")
+    first = probe(docs, staged(star.select(F.col("doc_id").alias("a"), "b"), "star"), width, percent)
+    # an id with several texts links the classes of all of them
+    several = filled.groupBy("doc_id").agg(F.min(F.struct("n", "print")).alias("x"), F.max(F.struct("n", "print")).alias("y"))
+    several = filled.join(several.where("x <> y").select("doc_id"), "doc_id").join(classes, ["n", "print"])
+    first = first.union(several.select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
     joined = staged(components(first), "joined")
 
     # pairs across first components
-    nodes = lists.groupBy("doc_id").agg(F.count("*").alias("met"))
-    nodes = nodes.join(short.select("doc_id", "n", F.struct("rank", "place").alias("last"), F.size("short").alias("first")), "doc_id")
-    nodes = nodes.join(joined, F.col("doc_id") == F.col("node"), "left")
     part = F.coalesce("component", "doc_id").alias("part")
-    nodes = staged(nodes.select("doc_id", "n", "last", (F.col("n") - F.col("first") + F.col("met")).alias("most"), part), "nodes")
-    sided = staged(lists.select("shingle", "doc_id").join(nodes, "doc_id"), "sided")
+    sided = lists.select("shingle", "doc_id", "n", "place").join(joined, F.col("doc_id") == F.col("node"), "left")
+    sided = staged(sided.select("shingle", "doc_id", "n", "place", part), "sided")
     parts = sided.groupBy("shingle", "part").agg(F.count("*").alias("entries"))
     mains = parts.groupBy("shingle").agg(F.max_by("part", "entries").alias("main"), F.count("*").alias("parts"))
     mixed = staged(sided.join(staged(mains.where("parts > 1").drop("parts"), "mains"), "shingle"), "mixed")
-    x = mixed.where("part <> main").toDF("shingle", "a", "n", "last_a", "most_a", "pa", "main_a").drop("main_a")
-    y = mixed.toDF("shingle", "b", "m", "last_b", "most_b", "pb", "main")
+    x = mixed.where("part <> main").toDF("shingle", "a", "n", "place_a", "pa", "main_a").drop("main_a")
+    y = mixed.toDF("shingle", "b", "m", "place_b", "pb", "main")
     once = (F.col("pa") != F.col("pb")) & ((F.col("pb") == F.col("main")) | (F.col("b") < F.col("a")))
-    # a short list that holds one document only can't be met by a set whose short lists reach as far in the order
-    reach = F.when(F.col("last_a") <= F.col("last_b"), F.col("most_a")).otherwise(F.col("most_b"))
-    hits = x.join(y, "shingle").where(once & _may_link("n", "m", percent) & (reach >= _overlap("n", "m", percent)))
-    hits = hits.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m"))
-    pairs = hits.groupBy("a", "b", "n", "m").agg(F.count("*").alias("times")).where(_enough("times", "n", "m", percent))
-    links = probe(docs, staged(pairs.select("a", "b"), "pairs"), width, percent)
+    least = _overlap("n", "m", percent)
+    early = (F.col("place_a") <= F.col("n") - least) & (F.col("place_b") <= F.col("m") - least)
+    hits = x.join(y, "shingle").where(once & _may_link("n", "m", percent) & early)
+    pairs = hits.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = probe(docs, staged(pairs, "pairs"), width, percent)
     edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
     final = components(edges).where("node <> component")
 
@@ -299,22 +290,26 @@ def linked_components(
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that another document of their component, one with a smaller id, stands for.
+    """The rows of ``docs`` without those that another document of their component, one with a smaller id, stands for; of
+    several rows with one id one stays, that whose text has the least hash.
 
-    Only documents whose bit is set in a fixed-size bitmap of the dropped ids meet the exact anti-join; the other texts are
+    Only documents whose bit is set in a fixed-size bitmap of the dropped and repeated ids meet the exact anti-join; the other texts are
     never shuffled.
     """
-    found = linked_components(docs.select("doc_id", "text"), width, percent)
+    found = staged(linked_components(docs.select("doc_id", "text"), width, percent), "found")
     gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    sent = docs.sparkSession.sparkContext.broadcast(bits_of(gone, "_gone"))
-    marked = docs.select(F.coalesce(_bit("doc_id"), F.lit(0)).alias("bit"), F.struct("*").alias("row"))
+    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).count().where("count > 1").select("_gone")
+    sent = docs.sparkSession.sparkContext.broadcast(bits_of(gone.union(again), "_gone"))
+    marked = docs.select(F.coalesce(_bit("doc_id"), F.lit(-1)).alias("bit"), F.struct("*").alias("row"))
 
     def chosen(wanted: bool) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(_set_bits(batch[0], sent.value) == wanted))
+                yield batch.filter(pa.array((_set_bits(batch[0], sent.value) & (batch[0].to_numpy() >= 0)) == wanted))
 
         return marked.mapInArrow(task, marked.schema)
 
     maybe = chosen(True).withColumn("_gone", F.col("row.doc_id")).join(gone, "_gone", "left_anti")
+    one = F.row_number().over(Window.partitionBy("_gone").orderBy(F.xxhash64("row.text")))
+    maybe = maybe.withColumn("_turn", one).where("_turn = 1")
     return chosen(False).select("row.*").union(maybe.select("row.*"))
