@@ -73,3 +73,27 @@ def test_a_hot_key_is_split_where_the_lookup_is_large(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def branches(df) -> list[str]:
+    """The operators of each child of the plan's first union."""
+    plan = plan_of(df)
+    lines = plan[plan.index("Union") :].splitlines()
+    at = next(i for i, line in enumerate(lines) if ":- " in line)
+    mark = lines[at].index(":- ")
+    cuts = [i for i, line in enumerate(lines) if line[mark : mark + 3] in (":- ", "+- ") and not line[:mark].strip(" :+-")]
+    return ["\n".join(lines[a:b]) for a, b in zip(cuts, [*cuts[1:], len(lines)], strict=True)]
+
+
+def test_survivors_without_a_hit_are_not_shuffled(spark):
+    clear, hit = branches(catalog.QUERIES["retention_survivors"](spark, FOLDER))[:2]
+    own = clear[: clear.index("BroadcastExchange")]
+    assert "FileScan parquet" in clear and "BroadcastHashJoin" in own and "hashpartitioning" not in own and "SortMergeJoin" not in clear
+    assert "LeftAnti" in hit
+
+
+def test_matches_are_made_once_for_samples_and_files_read_once_for_empty_directories(spark):
+    assert "FileScan" not in plan_of(catalog.QUERIES["rule_samples"](spark, FOLDER))
+    files = spark.read.parquet(f"{FOLDER}/pages.parquet").selectExpr("url AS host", "url AS path")
+    gone = spark.createDataFrame([("h", "/p")], "host string, path string")
+    assert plan_of(rt.directory_counts(files, gone)).count("FileScan") == 1

@@ -275,3 +275,23 @@ def test_ages_by_engine(spark):
         got = rt.rule_errors(rt.normalize_rules(plan(spark, rule("r", ["/opt/lab/a"], ["*"], engine=engine, age=age)))).first()
         errors[engine, age] = len(got["fatal_errors"])
     assert errors == {("modules", "7.5"): 0, ("shell", "7.5"): 1, ("modules", "0.9"): 1, ("modules", "x"): 1}
+
+
+def test_survivors_with_a_filter_of_few_bits(spark):
+    files = spark.range(5000).selectExpr("concat('h', id % 7) AS host", "concat('/d/', id) AS path", "id AS size")
+    files = files.unionByName(spark.createDataFrame([(None, "/d/1", 1), ("h1", None, 2)], "host string, path string, size long"))
+    gone = files.where("size % 3 = 0").select("host", "path")
+    want = sorted((r["host"] or "", r["path"] or "") for r in files.where("size % 3 <> 0 OR host IS NULL").collect())
+    for bits in (1 << 15, 1 << 20):
+        kept = rt.survivors_of(files, gone, bits)
+        assert sorted((r["host"] or "", r["path"] or "") for r in kept.collect()) == want and kept.columns == files.columns
+    assert rt.survivors_of(files, gone.limit(0)).count() == files.count()
+
+
+def test_directories_become_empty_from_the_bottom(spark):
+    paths = ["/a/b/c/1", "/a/b/c/2", "/a/b/d/3", "/a/e/4", "C:\\X\\Y\\5", "C:\\X\\6"]
+    files = spark.createDataFrame([("h", p) for p in paths], "host string, path string")
+    gone = files.where(F.col("path").isin("/a/b/c/1", "/a/b/c/2", "/a/b/d/3", "C:\\X\\Y\\5"))
+    dirs = spark.createDataFrame([("h", "/a/f/g"), ("h", "/a/e")], "host string, path string")
+    left = {r["path"]: r["left"] for r in rt.directory_counts(files, gone, dirs).collect()}
+    assert left == {"/a": 1, "/a/b": 0, "/a/b/c": 0, "/a/b/d": 0, "/a/e": 1, "/a/f": 0, "/a/f/g": 0, "c:": 1, "c:/x": 1, "c:/x/y": 0}

@@ -12,6 +12,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions import globs
 from tidemark.functions import text as tx
 from tidemark.operators.common import first_rows, total
+from tidemark.session import use_checkpoint_dir
 
 EMPTY = "array<string>"
 
@@ -462,7 +463,7 @@ def apply_retention(
 ) -> tuple[DataFrame, DataFrame]:
     """Survivors and ledger of a run. Only ``mode="apply"`` with a confirmation removes anything.
 
-    In check mode the ledger lists a file for every rule that would take it, with ``deleted`` false.
+    The ledger of an apply run is checkpointed. In check mode it lists a file for every rule that would take it, with ``deleted`` false.
     """
     if mode != "apply" or not confirmed:
         return files, matches.withColumn("deleted", F.lit(False))
@@ -473,8 +474,46 @@ def apply_retention(
         failed = failures.select("host", "path", F.lit(True).alias("_failed")).distinct()
         ledger = ledger.join(failed, ["host", "path"], "left").withColumn("deleted", F.col("_failed").isNull())
         ledger = ledger.drop("_failed")
-    gone = ledger.where("deleted").select("host", "path")
-    return files.join(gone, ["host", "path"], "left_anti"), ledger
+    use_checkpoint_dir(files.sparkSession)
+    ledger = ledger.checkpoint()  # read for the survivors twice
+    return survivors_of(files, ledger.where("deleted").select("host", "path")), ledger
+
+
+#: Bits of the filter of deleted files, 16 MB whatever the input. With as many deleted files as a quarter of that, about
+#: one in five files that stay is shuffled in vain; more deleted files make the filter useless, never wrong.
+DELETED_BITS = 1 << 27
+
+
+def deleted_bits(gone: DataFrame, bits: int = DELETED_BITS) -> DataFrame:
+    """A bitmap of the hashed (host, path) of ``gone``: at most ``bits / 32768`` rows of 4 KB."""
+    at = gone.select(_bit_of("host", "path", bits=bits).alias("_at"))
+    return at.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits")
+    )
+
+
+def _bit_of(*keys: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1
+
+
+def _marked(files: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
+    """``files`` with ``_hit``, whether a file's bit is set. The bitmap is of fixed size, so it is broadcast."""
+    at = files.withColumn("_at", _bit_of("host", "path", bits=bits)).withColumn("_bucket", F.bitmap_bucket_number("_at"))
+    place = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return at.join(F.broadcast(marks), "_bucket", "left").withColumn("_hit", hit).drop("_at", "_bucket", "_bits")
+
+
+def survivors_of(files: DataFrame, gone: DataFrame, bits: int = DELETED_BITS) -> DataFrame:
+    """``files`` without those in ``gone`` (host, path).
+
+    A bitmap of the deleted files tells which files may be among them: only these are shuffled for the exact anti join, all
+    others stay where they are read.
+    """
+    marked = _marked(files, deleted_bits(gone, bits), bits)
+    clear = marked.where("not _hit").drop("_hit")
+    return clear.unionByName(marked.where("_hit").drop("_hit").join(gone, ["host", "path"], "left_anti"))
 
 
 def rule_counters(ledger: DataFrame, applied: bool = True) -> DataFrame:
@@ -489,26 +528,46 @@ def rule_counters(ledger: DataFrame, applied: bool = True) -> DataFrame:
     )
 
 
-def rule_samples(matches: DataFrame, n: int = 50) -> DataFrame:
-    """First ``n`` paths per rule and how many more there are."""
-    heads = first_rows(matches.select("host", "rule_id", "path"), ["host", "rule_id"], ["path"], n)
-    counts = matches.groupBy("host", "rule_id").agg(F.count("*").alias("matched_files"))
+def rule_samples(matches: DataFrame, n: int = 50, materialized: bool = False) -> DataFrame:
+    """First ``n`` paths per rule and how many more there are.
+
+    Counts are added up and paths cut to ``n`` before either is shuffled. The two need the matches twice, so these are
+    checkpointed first unless the caller says that they have been.
+    """
+    keys = ["host", "rule_id"]
+    matches = matches.select(*keys, "path")
+    if not materialized:
+        use_checkpoint_dir(matches.sparkSession)
+        matches = matches.checkpoint()
+    heads = first_rows(matches, keys, ["path"], n)
+    counts = matches.groupBy(*keys).agg(F.count("*").alias("matched_files"))
     more = F.greatest(F.col("matched_files") - n, F.lit(0).cast("bigint"))
-    return heads.join(counts, ["host", "rule_id"]).select("host", "rule_id", "path", more.alias("more"))
+    return heads.join(counts, keys).select(*keys, "path", more.alias("more"))
 
 
-def directories_of(files: DataFrame) -> DataFrame:
-    """Every directory above a file. Parents are made distinct before their own ancestors are listed."""
-    parents = files.select("host", tx.dirname(_path_key(F.col("path"))).alias("path")).distinct()
-    steps = F.array_append(_ancestors(F.col("path")), F.col("path"))
-    return parents.select("host", F.explode(steps).alias("path")).where(F.col("path") != "/").distinct()
+def directory_counts(files: DataFrame, gone: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
+    """``host, path, left``: files that stay anywhere below each directory, once ``gone`` (host, path) are deleted.
+
+    Files are read once: they and the deleted ones are counted per parent, the latter against the former, and only distinct
+    parents are rolled up to the directories above them. A path must be listed once per host. ``dirs`` adds directories
+    without files.
+    """
+    one = lambda rows, n: rows.select("host", tx.dirname(_path_key(F.col("path"))).alias("path"), F.lit(n).alias("n"))
+    counted = one(files, 1).unionByName(one(gone, -1))
+    if dirs is not None:
+        counted = counted.unionByName(dirs.select("host", _path_key(F.col("path")).alias("path"), F.lit(0).alias("n")))
+    parents = counted.groupBy("host", "path").agg(F.sum("n").alias("n"))
+    above = parents.select("host", F.explode(F.array_append(_ancestors(F.col("path")), F.col("path"))).alias("path"), "n")
+    return above.where(F.col("path") != "/").groupBy("host", "path").agg(F.sum("n").alias("left"))
 
 
-def empty_dirs(dirs: DataFrame, survivors: DataFrame, rules: DataFrame, as_of: datetime) -> DataFrame:
-    """Directories a run leaves empty, strictly below the roots of recursive rules that remove such directories."""
+def empty_dirs(counts: DataFrame, rules: DataFrame, as_of: datetime) -> DataFrame:
+    """Directories a run leaves empty, strictly below the roots of recursive rules that remove such directories.
+
+    ``counts`` are ``directory_counts``; a directory whose children become empty is empty too.
+    """
     roots = _Roots(rule_roots(rules.where(F.col("recursive") & F.col("delete_empty_dirs")), as_of))
-    keyed = dirs.select("host", _path_key(F.col("path")).alias("path"))
-    empty = keyed.join(directories_of(survivors), ["host", "path"], "left_anti")
+    empty = counts.where(F.col("left") == 0).select("host", "path")
     held = roots.above(empty.withColumn("_key", F.col("path")))
     return first_rows(held, ["host", "path"], ["plan_order", "rule_id"]).select("host", "rule_id", "path")
 

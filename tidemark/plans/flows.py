@@ -83,10 +83,8 @@ def purge_job(
     guarded = rt.guard_paths(rt.rule_errors(rt.normalize_rules(known))).checkpoint()
     found = rt.match_files(files, guarded, as_of).checkpoint()
     survivors, ledger = rt.apply_retention(files, found, failures, mode, confirmed)
-    there = rt.directories_of(files)
-    if dirs is not None:
-        there = there.union(dirs.select("host", "path")).distinct()
-    empty = rt.empty_dirs(there, survivors, guarded, as_of).checkpoint()
+    counts = rt.directory_counts(files, ledger.where("deleted").select("host", "path"), dirs)
+    empty = rt.empty_dirs(counts, guarded, as_of).checkpoint()
 
     keys = ["host", "rule_id"]
     counters = rt.rule_counters(ledger, apply)
@@ -117,7 +115,7 @@ def purge_job(
         "ledger": ledger,
         "rows": rows,
         "unsupported": unknown,
-        "samples": rt.rule_samples(found, samples),
+        "samples": rt.rule_samples(found, samples, materialized=True),
         "totals": runs.run_totals(rows, plan.select("host")),
         "host_savings": runs.host_savings(rows, apply),
         "empty_dirs": empty,

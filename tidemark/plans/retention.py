@@ -246,7 +246,7 @@ AND NOT EXISTS (SELECT 1 FROM survivors s WHERE s.host = d.host AND s.dir = d.di
 )
 def empty_dirs(t: Inputs) -> DataFrame:
     run = Run(t)
-    return rt.empty_dirs(rt.directories_of(run.files), run.survivors, run.plan, AS_OF)
+    return rt.empty_dirs(rt.directory_counts(run.files, run.ledger.where("deleted")), run.plan, AS_OF)
 
 
 _ROW_STATUS = f"""CASE rule_id WHEN 'forbidden' THEN 'blocked' WHEN 'short' THEN 'blocked' WHEN 'outside' THEN 'blocked' WHEN 'no-age' THEN 'blocked'
