@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import refresh as rf
 from tidemark.operators import savings as sv
 from tidemark.plans import flows
+from tidemark import schemas
 from tidemark.sources import landed, sinks
+from tidemark.sources.sinks import write_metric_documents
 
 
 @pytest.fixture()
@@ -219,3 +221,66 @@ def test_overall_status_and_cleanup(spark):
     assert rf.cleanup_gate(frame(ok, ("source", "SUCESSO", "other"))).first()["may_clean"]
     assert not rf.cleanup_gate(frame(ok, ("target", "SUCESSO", "e"))).first()["may_clean"]
     assert not rf.cleanup_gate(frame(ok, warn)).first()["may_clean"]
+
+
+def metric_rows(spark, jobs, deleted=3):
+    rows = [(j, f"h{k}", f"r{k}", deleted, 10 * deleted, deleted, 10 * deleted, 0, "ok", None, "app", "prd", None) for j in jobs for k in range(2)]
+    return spark.createDataFrame(
+        rows, "job_id string, host string, rule string, matched_files long, matched_bytes long, deleted_files long, deleted_bytes long,"
+        "failed_files long, status string, description string, application string, environment string, source string",
+    )
+
+
+def metric_docs(spark, jobs, month, deleted=3, **more):
+    frame = spark.createDataFrame([(j, month) for j in jobs], "job_id string, month string")
+    reports = spark.createDataFrame([(j, "h0", "linux", ["prd"], ["app"]) for j in jobs], "job_id string, host string, os string, envs array<string>, applications array<string>")
+    return sv.metric_documents(frame, reports, metric_rows(spark, jobs, deleted), **more)
+
+
+def test_jobs_with_too_many_members_stay_rows(spark):
+    docs, large = metric_docs(spark, ["a", "b"], "202401", most=4)
+    assert docs.count() == 2 and large.count() == 0 and docs.schema.names == schemas.SAVINGS_METRIC.names
+    one = docs.orderBy("job_id").first()
+    assert (one["total_deleted_files"], len(one["hosts"]), one["hosts"][1]["os"], one["rules"][0]["source"]) == (6, 2, "unknown", "application")
+    docs, large = metric_docs(spark, ["a"], "202401", most=3)
+    assert docs.count() == 0 and large.first()["members"] == 4
+    empty, _ = metric_docs(spark, ["c"], "202401", deleted=0)
+    assert (empty.first()["hosts"], empty.first()["rules"], empty.first()["status"]) == ([], [], "success")
+
+
+def test_a_year_reads_new_and_changed_files_only(spark, tmp_path):
+    raw, store = str(tmp_path / "raw"), str(tmp_path / "store")
+    write_metric_documents(metric_docs(spark, ["a", "b"], "202401")[0], raw)
+    write_metric_documents(metric_docs(spark, ["z"], "202301")[0], raw)
+    head, files = sv.consume_year(spark, raw, store, "2024")
+    assert (head.first()["execution_count"], head.first()["total_deleted_files"], files.count()) == (2, 12, 1)
+    write_metric_documents(metric_docs(spark, ["c"], "202402")[0], raw)
+    head, files = sv.consume_year(spark, raw, store, "2024")
+    assert (head.first()["execution_count"], head.first()["months"], files.count()) == (3, "202401,202402", 1)
+    changed = next((tmp_path / "raw" / "stored_month=202402").glob("part-*"))
+    lines = metric_docs(spark, ["c", "d"], "202402", deleted=5)[0].select(F.to_json(F.struct("*"))).collect()
+    changed.write_text("".join(r[0] + "\n" for r in lines))
+    for side in changed.parent.glob(".*.crc"):
+        side.unlink()
+    head, files = sv.consume_year(spark, raw, store, "2024")
+    assert (head.first()["execution_count"], head.first()["total_deleted_files"], files.count()) == (4, 32, 1)
+    assert sv.consume_year(spark, raw, store, "2024")[1].count() == 0
+    assert sv.consume_year(spark, raw, str(tmp_path / "other"), "2025")[0].first()["execution_count"] == 0
+
+
+def test_executions_of_a_run_that_broke_off_do_not_count(spark, tmp_path):
+    raw, store = str(tmp_path / "raw"), str(tmp_path / "store")
+    write_metric_documents(metric_docs(spark, ["a"], "202401")[0], raw)
+    sv.consume_year(spark, raw, store, "2024")
+    lost = spark.read.parquet(f"{store}/executions").withColumn("path", F.lit("file:/elsewhere"))
+    lost.write.mode("append").partitionBy("year").parquet(f"{store}/executions")
+    assert sv.consume_year(spark, raw, store, "2024")[0].first()["execution_count"] == 1
+
+
+def test_documents_of_another_year_or_broken_ones_fail(spark, tmp_path):
+    raw = tmp_path / "raw"
+    write_metric_documents(metric_docs(spark, ["a"], "202401")[0].withColumn("month", F.lit("202401")), str(raw))
+    (raw / "stored_month=202402").mkdir()
+    (raw / "stored_month=202402" / "part-x.txt").write_text("{no record")
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        sv.consume_year(spark, str(raw), str(tmp_path / "store"), "2024")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import text as tx
 from tidemark.operators.common import keep_or_fail, total
 from tidemark.operators.runs import rule_savings
+from tidemark.session import use_checkpoint_dir
+from tidemark.sources import landed
 
 TOTALS = ["total_deleted_files", "total_deleted_bytes", "total_failed_files"]
 
@@ -40,6 +44,63 @@ def metric_rules(rows: DataFrame) -> DataFrame:
     return rule_savings(rows).select(*keep)
 
 
+#: Hosts and rules that one nested record may hold; a job with more stays rows.
+MOST_MEMBERS = 100_000
+
+
+def metric_documents(
+    jobs: DataFrame, reports: DataFrame, rows: DataFrame, source: str = "retention", most: int = MOST_MEMBERS
+) -> tuple[DataFrame, DataFrame]:
+    """The whole record of each job, its hosts and rules nested, and the jobs that are too large for that.
+
+    ``jobs`` has a row per job (job_id, month, and what the record tells of the job), ``reports`` a row per job and host (os, envs,
+    applications), ``rows`` the rule rows. Hosts are summed from rule rows, totals too; hosts and rules without anything
+    deleted are left out. Members are counted before any is collected: a job with more than ``most`` comes in the second
+    result (job_id, members) and is written from ``metric_hosts`` and ``metric_rules``.
+    """
+    known = reports.select("job_id", "host", "os", "envs", F.col("applications").alias("groups"))
+    counted = ["matched_files", "matched_bytes", "deleted_files", "deleted_bytes", "failed_files"]
+    saved = (F.col("deleted_files") > 0) | (F.col("deleted_bytes") > 0)
+    hosts = rows.groupBy("job_id", "host").agg(*[total(c).alias(c) for c in counted]).where(saved)
+    hosts = hosts.join(known, ["job_id", "host"], "left")
+    text = lambda c, other="": F.coalesce(F.col(c), F.lit(other))
+    none = F.array().cast("array<string>")
+    host = F.struct(
+        text("host").alias("host"), text("os", "unknown").alias("os"), F.coalesce("envs", none).alias("envs"),
+        F.coalesce("groups", none).alias("groups"), *counted,
+    )
+    rules = rule_savings(rows).join(known.select("job_id", "host", "os"), ["job_id", "host"], "left")
+    zero = F.lit(0).cast("bigint")
+    rule = F.struct(
+        text("host").alias("host"), text("os", "unknown").alias("os"), text("rule").alias("rule"),
+        text("description").alias("description"), text("application").alias("group"), text("environment").alias("environment"),
+        text("source", "application").alias("source"),
+        *[F.coalesce(F.col(c).cast("bigint"), zero).alias(c) for c in ("deleted_files", "deleted_bytes", "failed_files")],
+    )
+    hosts, rules = hosts.select("job_id", host.alias("h")), rules.select("job_id", rule.alias("r"))
+    sizes = hosts.select("job_id").unionAll(rules.select("job_id")).groupBy("job_id").agg(F.count("*").alias("members"))
+    large = sizes.where(F.col("members") > most)
+
+    def nested(members: DataFrame, column: str, name: str) -> DataFrame:
+        small = members.join(large, "job_id", "left_anti")
+        return small.groupBy("job_id").agg(F.sort_array(F.collect_list(column)).alias(name))
+
+    sums = savings_metric(rows.select("*", F.lit("").alias("_month")).drop("month").withColumnRenamed("_month", "month"))
+    found = jobs.join(large, "job_id", "left_anti").join(sums.drop("month"), "job_id", "left")
+    found = found.join(nested(hosts, "h", "hosts"), "job_id", "left").join(nested(rules, "r", "rules"), "job_id", "left")
+    totals = ["total_deleted_files", "total_deleted_bytes", "total_failed_files", "total_failed_rules"]
+    told = ["job_template", "workflow_job_id", "generated_at", "month", "timezone", "mode", "reason"]
+    values = {
+        "schema_version": F.lit(1).cast("bigint"), "source": F.lit(source), "job_id": F.col("job_id"),
+        **{c: text(c) if c in jobs.columns else F.lit("") for c in told},
+        "status": text("status", "success"),
+        **{c: F.coalesce(c, none) if c in jobs.columns else none for c in ("envs", "groups")},
+        **{c: F.coalesce(c, zero) for c in totals},
+        **{c: F.coalesce(F.col(c), F.array().cast(schemas.SAVINGS_METRIC[c].dataType)) for c in ("hosts", "rules")},
+    }
+    return found.select(*[values[c].alias(c) for c in schemas.SAVINGS_METRIC.names]), large
+
+
 def publishable(records: DataFrame, applied: bool, enabled: bool = True, only_when_deleted: bool = True) -> DataFrame:
     """Records worth keeping: of an enabled, applied run, with bytes saved unless told otherwise."""
     if not (enabled and applied):
@@ -198,10 +259,63 @@ def store_month(raw: DataFrame, month: str, folder: str) -> bool:
 
 
 def stored_months(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema(like.schema).parquet(folder)
+    return _stored(spark, folder, like.schema)
+
+
+def _stored(spark: SparkSession, folder: str, schema) -> DataFrame | None:
+    """The table at ``folder``; none where nothing has been written yet."""
+    try:
+        spark.read.format("binaryFile").load(folder)  # lists the folder only
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return spark.read.schema(schema).parquet(folder)
+
+
+MANIFEST = "path string, length long, modified timestamp, year string"
+
+
+def consume_year(spark: SparkSession, documents: str, store: str, year: str) -> tuple[DataFrame, DataFrame]:
+    """Head of a year from its stored executions and the files not consumed yet, and the files read by this run.
+
+    ``documents`` holds metric documents by month (``write_metric_documents``). A manifest beside the executions names each
+    file consumed by path, length and time. An anti join with it finds new and changed files, and only these are opened:
+    their executions are appended first, then their manifest rows, so that a run that breaks off leaves executions that
+    nothing refers to. An execution counts if the latest manifest row of its file is its own. A year without new files is
+    answered from the store.
+    """
+    listing = landed.list_metric_documents(spark, documents, year)
+    manifest = _stored(spark, f"{store}/manifest", MANIFEST)
+    identity = ["path", "length", "modified"]
+    fresh = listing if manifest is None else listing.join(manifest.select(*identity), identity, "left_anti")
+    use_checkpoint_dir(spark)
+    fresh = fresh.withColumn("year", F.lit(year)).checkpoint()
+    paths = [r["path"] for r in fresh.select("path").toLocalIterator()]  # a subset of what Spark's own listing holds
+    if paths:
+        records = assert_period(landed.read_metric_files(spark, paths), year)
+        marked = records.join(fresh, "path")
+        marked.write.mode("append").partitionBy("year").parquet(f"{store}/executions")
+        fresh.write.mode("append").partitionBy("year").parquet(f"{store}/manifest")
+    manifest = _stored(spark, f"{store}/manifest", MANIFEST)
+    if manifest is None:
+        return _year_head(spark.createDataFrame([], _EXECUTION), year), fresh
+    latest = manifest.where(F.col("year") == year).groupBy("path").agg(F.max(F.struct("modified", "length")).alias("m"))
+    latest = latest.select("path", "m.modified", "m.length")
+    held = spark.read.parquet(f"{store}/executions").where(F.col("year") == year).join(latest, identity, "left_semi")
+    return _year_head(held, year), fresh
+
+
+_EXECUTION = "month string, " + ", ".join(f"{c} long" for c in TOTALS)
+
+
+def _year_head(executions: DataFrame, year: str) -> DataFrame:
+    months = month_totals(executions)
+    head = months.agg(
+        *[total(c).alias(c) for c in (*TOTALS, "execution_count")],
+        F.array_join(F.sort_array(F.collect_list("month")), ",").alias("months"),  # twelve at most
+    )
+    return head.withColumns({"schema_version": F.lit(1), "period_type": F.lit("year"), "year": F.lit(year)})
 
 
 def _fingerprint(df: DataFrame) -> tuple:

@@ -70,12 +70,14 @@ def purge_job(
     listing: DataFrame | None = None,
     dirs: DataFrame | None = None,
     states: DataFrame | None = None,
+    job: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Run a resolved plan (host, rule_id, ...) over a file inventory.
 
     ``listing`` (host, path, is_dir, message) tells which planned paths exist; ``dirs`` (host, path) holds directories that
     are there besides those above a file, empty ones among them; ``states`` (host, started, completed, failure_recorded)
-    adds a failed row for every host whose run broke off.
+    adds a failed row for every host whose run broke off. ``job`` (job_id, month, and what else a record tells) adds the
+    job's nested ``metric`` records as worth keeping: none, or one.
     """
     use_checkpoint_dir(files.sparkSession)
     apply = mode == "apply" and confirmed
@@ -110,7 +112,17 @@ def purge_job(
     if states is not None:
         lost = runs.complete_reports(states, rows.limit(0))
         rows = rows.unionByName(lost, allowMissingColumns=True)
+    done = {}
+    if job is not None:
+        own = rows.withColumn("job_id", F.lit(job["job_id"]))
+        reports = own.groupBy("job_id", "host").agg(
+            F.min("os").alias("os"), F.sort_array(F.collect_set("environment")).alias("envs"),
+            F.sort_array(F.collect_set("application")).alias("applications"),
+        )
+        records, large = sv.metric_documents(files.sparkSession.createDataFrame([dict(job)]), reports, own)
+        done = {"metric": sv.publishable(records, apply), "metric_too_large": large}
     return {
+        **done,
         "survivors": survivors,
         "ledger": ledger,
         "rows": rows,
@@ -130,6 +142,11 @@ def savings_month_job(spark: SparkSession, raw_folder: str, store: str, month: s
     return sv.consolidate_month(held.where(F.col("month") == month), month)[0], droppable
 
 
+def savings_year_job(spark: SparkSession, documents: str, store: str, year: str) -> DataFrame:
+    """Head of a year from its stored executions, after the files of ``documents`` not consumed yet have been added to them."""
+    return sv.consume_year(spark, documents, store, year)[0]
+
+
 def refresh_job(
     spark: SparkSession,
     source: Mapping[str, DataFrame],

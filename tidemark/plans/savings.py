@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from tidemark import schemas
 from tidemark.functions import text as tx
 from tidemark.operators import savings as sv
 from tidemark.plans.registry import Inputs, plain, query
+from tidemark.session import use_checkpoint_dir
+from tidemark.sources import landed
+from tidemark.sources.sinks import write_metric_documents
 
 YEAR = "1998"
 
@@ -79,6 +84,90 @@ def savings_metric_rules(t: Inputs) -> DataFrame:
     return sv.metric_rules(rows(t))
 
 
+def job_rows(t: Inputs) -> DataFrame:
+    """Rule rows of jobs that run within one month, with what a record tells of a rule."""
+    return rows(t).select(
+        F.concat_ws("-", "job_id", "month").alias("job_id"), "month", "host", "rule", "status",
+        "matched_files", "matched_bytes", "deleted_files", "deleted_bytes", "failed_files",
+        F.concat(F.lit("about "), "rule").alias("description"), F.col("app").alias("application"),
+        F.col("env_name").alias("environment"), F.when(F.col("app") == "", "global").alias("source"),
+    )
+
+
+def documents(t: Inputs, months: str = "%") -> DataFrame:
+    own = job_rows(t).where(F.col("month").like(months))
+    jobs = own.groupBy("job_id").agg(
+        F.min("month").alias("month"), F.sort_array(F.collect_set("environment")).alias("envs"),  # six at most
+        F.sort_array(F.collect_set(F.nullif("application", F.lit("")))).alias("groups"),  # eight at most
+    )
+    told = {"job_template": "Purge", "workflow_job_id": "w1", "generated_at": "01/01/1999 00:00:00", "timezone": "UTC", "mode": "apply", "reason": "space"}
+    reports = own.groupBy("job_id", "host").agg(
+        F.lit("linux").alias("os"), F.sort_array(F.collect_set("environment")).alias("envs"), F.sort_array(F.collect_set("application")).alias("applications")
+    )
+    return sv.metric_documents(jobs.withColumns({c: F.lit(v) for c, v in told.items()}), reports, own)[0]
+
+
+_JOB = f"{YEAR}0%"
+_ROWS_OF_JOBS = f"own AS (SELECT job_id || '-' || month AS job, * FROM rows WHERE month LIKE '{_JOB}')"
+
+
+@query(
+    "savings_metric_record",
+    RECORDS
+    + f""", {_ROWS_OF_JOBS},
+hosts AS (SELECT job, host, any_value(env_name) AS env, any_value(app) AS app, sum(matched_files) AS mf, sum(matched_bytes) AS mb, sum(deleted_files) AS df, sum(deleted_bytes) AS db, sum(failed_files) AS ff
+  FROM own GROUP BY job, host HAVING sum(deleted_files) > 0 OR sum(deleted_bytes) > 0),
+h AS (SELECT job, string_agg(concat_ws('|', host, 'linux', env, app, mf, mb, df, db, ff), ';' ORDER BY host) AS hosts FROM hosts GROUP BY job),
+r AS (SELECT job, string_agg(concat_ws('|', host, 'linux', rule, 'about ' || rule, app, env_name, CASE WHEN app = '' THEN 'global' ELSE 'application' END, deleted_files, deleted_bytes, failed_files), ';'
+  ORDER BY host, rule, app, env_name, deleted_files, deleted_bytes, failed_files) AS rules FROM own WHERE deleted_files > 0 OR deleted_bytes > 0 GROUP BY job),
+t AS (SELECT job, month, CAST(sum(deleted_files) AS BIGINT) AS total_deleted_files, CAST(sum(deleted_bytes) AS BIGINT) AS total_deleted_bytes, CAST(sum(failed_files) AS BIGINT) AS total_failed_files,
+  count(*) FILTER (WHERE status = 'failed') AS total_failed_rules, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS envs,
+  coalesce(string_agg(DISTINCT app, ',' ORDER BY app) FILTER (app <> ''), '') AS groups FROM own GROUP BY job, month)
+SELECT 1::BIGINT AS schema_version, 'retention' AS source, t.job AS job_id, 'Purge' AS job_template, 'w1' AS workflow_job_id, '01/01/1999 00:00:00' AS generated_at, t.month, 'UTC' AS timezone, 'apply' AS mode,
+  CASE WHEN total_failed_files > 0 OR total_failed_rules > 0 THEN 'partial' ELSE 'success' END AS status, 'space' AS reason, envs, groups, total_deleted_files, total_deleted_bytes, total_failed_files, total_failed_rules,
+  coalesce(hosts, '') AS hosts, coalesce(rules, '') AS rules
+FROM t LEFT JOIN h ON h.job = t.job LEFT JOIN r ON r.job = t.job""",
+)
+def savings_metric_record(t: Inputs) -> DataFrame:
+    """Records of nine months, written as nested documents and read back."""
+    folder = f"{use_checkpoint_dir(t.spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    write_metric_documents(documents(t, _JOB), folder)
+    found = landed.read_metric_documents(t.spark, folder, YEAR)
+    flat = lambda name: F.array_join(
+        F.transform(name, lambda m: F.concat_ws("|", *[
+            F.array_join(m[f.name], ",") if f.dataType.typeName() == "array" else m[f.name].cast("string")
+            for f in found.schema[name].dataType.elementType
+        ])), ";",
+    )
+    lists = {"envs": F.array_join("envs", ","), "groups": F.array_join("groups", ",")}
+    return found.withColumns({"hosts": flat("hosts"), "rules": flat("rules"), **lists})
+
+
+@query(
+    "savings_year_store",
+    RECORDS
+    + f""", {_ROWS_OF_JOBS.replace("WHERE", "WHERE month <> '" + YEAR + "05' AND")},
+t AS (SELECT job, month, sum(deleted_files) AS df, sum(deleted_bytes) AS db, sum(failed_files) AS ff FROM own GROUP BY job, month),
+runs AS (SELECT 1 AS run, '{YEAR}04' AS upto, '{YEAR}01,{YEAR}02,{YEAR}03,{YEAR}04' AS months_read UNION ALL
+  SELECT 2, '{YEAR}09', '{YEAR}06,{YEAR}07,{YEAR}08,{YEAR}09' UNION ALL SELECT 3, '{YEAR}09', '')
+SELECT run, months_read, string_agg(DISTINCT month, ',' ORDER BY month) AS months, CAST(sum(df) AS BIGINT) AS total_deleted_files, CAST(sum(db) AS BIGINT) AS total_deleted_bytes,
+  CAST(sum(ff) AS BIGINT) AS total_failed_files, count(*) AS execution_count FROM runs JOIN t ON month <= upto GROUP BY run, months_read""",
+)
+def savings_year_store(t: Inputs) -> DataFrame:
+    """A year consumed in three runs: four months, four more (one month never arrives), and nothing new."""
+    base = f"{use_checkpoint_dir(t.spark).rstrip('/')}/year-{uuid.uuid4().hex}"
+    all, heads = documents(t, _JOB).checkpoint(), None
+    for run, months in enumerate(("0[1-4]", "0[6-9]", None), 1):
+        if months:
+            write_metric_documents(all.where(F.rlike("month", F.lit(f"{YEAR}{months}"))), f"{base}/raw")
+        head, files = sv.consume_year(t.spark, f"{base}/raw", f"{base}/store", YEAR)
+        read = files.select(F.regexp_extract("path", f"{landed.MONTH_FOLDER}=([0-9]+)", 1).alias("m")).distinct()
+        read = read.agg(F.array_join(F.sort_array(F.collect_list("m")), ",")).scalar()  # twelve at most
+        line = head.select(F.lit(run).alias("run"), read.alias("months_read"), "months", *sv.TOTALS, "execution_count").checkpoint()
+        heads = line if heads is None else heads.unionByName(line)
+    return heads
+
+
 @query("publishable", RECORDS + "SELECT job_id, month FROM records WHERE total_deleted_bytes > 0")
 def publishable(t: Inputs) -> DataFrame:
     return sv.publishable(records(t), applied=True).select("job_id", "month")

@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import fixed_values as fv
 from tidemark import schemas
@@ -20,6 +21,7 @@ from tidemark.session import use_checkpoint_dir
 METRIC_PREFIX = "metric_"
 MONTHLY_PREFIX = "monthly_"
 YEARLY_PREFIX = "yearly_"
+MONTH_FOLDER = "stored_month"
 
 
 def scan_inventory(spark: SparkSession, roots: Sequence[str], recursive: bool = False) -> DataFrame:
@@ -113,6 +115,26 @@ def read_metrics(spark: SparkSession, folder: str, month: str | None = None, pre
     return records.where(tx.metric_file_month("source_file", prefix).isNotNull())
 
 
+def list_metric_documents(spark: SparkSession, folder: str, period: str) -> DataFrame:
+    """``path, length, modified`` of the files of metric documents of a month (``YYYYMM``) or a year (``YYYY``), unopened."""
+    files = spark.read.format("binaryFile").load(folder)
+    held = files.where(F.col(MONTH_FOLDER).cast("string").startswith(period))
+    return held.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def read_metric_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The records of files of metric documents, each with the ``path`` of its file. What is no record fails the job."""
+    held = spark.read.schema(schemas.SAVINGS_METRIC).option("mode", "FAILFAST").json(list(paths))
+    return held.withColumn("path", F.col("_metadata.file_path"))
+
+
+def read_metric_documents(spark: SparkSession, folder: str, period: str) -> DataFrame:
+    """The records of a month or a year that ``write_metric_documents`` wrote; other months' files are not opened."""
+    schema = T.StructType([*schemas.SAVINGS_METRIC, T.StructField(MONTH_FOLDER, T.StringType())])
+    held = spark.read.schema(schema).option("mode", "FAILFAST").json(folder)
+    return held.where(F.col(MONTH_FOLDER).startswith(period)).drop(MONTH_FOLDER)
+
+
 def read_consolidated(spark: SparkSession, folder: str, period: str) -> DataFrame:
     """Executions held in the consolidated files of a month (``YYYYMM``) or a year (``YYYY``)."""
     prefix = MONTHLY_PREFIX if len(period) == 6 else YEARLY_PREFIX

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.sources.landed import MONTH_FOLDER
 
 COMPARISON_COLUMNS = [
     "repository", "tag", "status", "severity", "mirror_status", "mirror_enabled", "filter", "source_digest",
@@ -21,6 +22,12 @@ def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
+def write_metric_documents(documents: DataFrame, folder: str, mode: str = "append") -> None:
+    """Nested metric records, a JSON document a line, in a folder per month. Months are dealt so that each makes few files."""
+    lines = documents.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"), F.col("month").alias(MONTH_FOLDER))
+    lines.repartition(MONTH_FOLDER).write.mode(mode).partitionBy(MONTH_FOLDER).text(folder)
+
+
 def write_comparison_csv(rows: DataFrame, path: str, quote_all: bool = True) -> None:
     """Comparison rows as CSV with header; quotes inside a field are doubled."""
     writer = rows.select(*COMPARISON_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"')
