@@ -40,7 +40,9 @@ def brute(rows, targets):
     for _, d, l, s, n in rows:
         supply[d, l, s] += n
     weight = lambda level, name: targets.weights.get(level, {}).get(name, 1)
-    cap = lambda *p: sum(v for k, v in supply.items() if k[: len(p)] == p) * targets.epochs
+    levels = ("domain", "lang", "source")
+    usable = lambda k, p: all(weight(levels[i], k[i]) > 0 for i in range(len(p), 3))
+    cap = lambda *p: sum(v for k, v in supply.items() if k[: len(p)] == p and usable(k, p)) * targets.epochs
     total = sum(supply.values()) * targets.percent // 100
     names = lambda *p: {k[len(p)] for k in supply if k[: len(p)] == p}
     copies = {}
@@ -91,3 +93,12 @@ def test_hard_rows(spark):
     assert once.where("doc_id is null").count() == 1 and out.where("doc_id is null").count() == copies > 0
     assert mx.mix(cases.empty(spark), mx.Targets()).count() == 0
     assert mx.choose(cases.empty(spark), mx.Targets()).count() == 0
+
+
+def test_no_budget_is_lost_under_a_weight_of_zero(spark):
+    rows = [("A", "en", "x", 100), ("A", "en", "y", 10), ("B", "en", "z", 1000)]
+    supply = spark.createDataFrame(rows, "domain string, lang string, source string, supply long")
+    budgets = lambda t: {r["source"]: r["budget"] for r in mx.allocate(supply, t).collect()}
+    found = budgets(mx.Targets(weights={"source": {"x": 0}}, percent=18, epochs=1))
+    assert found == {"x": 0, "y": 10, "z": 189}
+    assert budgets(mx.Targets(weights={"lang": {"en": 0}}, epochs=1)) == {"x": 0, "y": 0, "z": 0}

@@ -1,11 +1,13 @@
 import math
 import re
 from collections import Counter
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tidemark.llm import quality_rules as qr
+from tidemark.llm import queries
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -80,3 +82,62 @@ def test_hard_rows(spark):
     assert {r["n_words"] for r in kept.collect()} <= {"own n_words"}
     assert qr.score_documents(cases.empty(spark), cases.labels(spark)).count() == 0
     assert qr.keep_good(cases.empty(spark), cases.labels(spark)).count() == 0
+
+
+def exact_tail(k, n, p):
+    """P(X <= k) with whole numbers only, ``p`` one per cent."""
+    assert p == 0.01
+    return Fraction(sum(math.comb(n, i) * 99 ** (n - i) for i in range(k + 1)), 100**n)
+
+
+def settings(good, rules):
+    """stratum -> the last safe step of the path, from (stratum, signals) of good documents."""
+    path, tails = rules.path, {}
+    for stratum in {s for s, _ in good}:
+        own = [v for s, v in good if s == stratum]
+        worst, tails[stratum] = 0, []
+        for cuts in path:
+            rejected = sum(any(v[name] > cut for name, cut in cuts.items()) for v in own)
+            worst = max(worst, exact_tail(rejected, len(own), rules.risk) if rejected < len(own) * rules.risk else 1)
+            tails[stratum].append(worst)
+    left, whole = dict(tails), set()
+    for stratum, own in sorted(tails.items(), key=lambda kv: (kv[1][-1], kv[0])):
+        if own[-1] > rules.level / len(left):
+            break
+        whole.add(stratum)
+        del left[stratum]
+    safe = lambda s, own: [k for k, t in enumerate(own) if s in whole or t <= rules.level / len(left)]
+    return {s: max(safe(s, own), default=None) for s, own in tails.items()}
+
+
+def test_verdicts_against_exact_tails(spark):
+    """All verdicts at sf0.1, where the cutoffs reject documents that the base rule keeps."""
+    folder, rules = "/root/testdata/sf0.1", qr.Rules()
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    measured = qr.measure(docs.select("doc_id", "text", qr.stratum_of(rules).alias("s"))).drop("text")
+    rows = measured.select("doc_id", "s", qr.base_failed().alias("failed"), F.struct(*[v.alias(k) for k, v in qr._signals().items()]).alias("v")).collect()
+    found = {}
+    for r in labels.collect():
+        found.setdefault(r["doc_id"], set()).add(r["quality"])
+    good = [(r["s"], r["v"]) for r in rows if found.get(r["doc_id"]) == {1} and not r["failed"]]
+    last = settings(good, rules)
+    want = {}
+    for r in rows:
+        cuts = rules.path[last[r["s"]]] if last.get(r["s"]) is not None else {}
+        want[r["doc_id"]] = not r["failed"] and not any(r["v"][name] > cut for name, cut in cuts.items())
+    judged = queries.QUERIES["op2_quality_rules"](spark, folder).select("doc_id", "kept", "base_failed").collect()
+    assert {r["doc_id"]: r["kept"] for r in judged} == want
+    assert sum(not r["kept"] and not r["base_failed"] for r in judged) > 100
+
+
+def test_a_stratum_that_passes_whole_hands_its_level_on(spark):
+    """320 good documents are too few for half of the level, and enough for the whole of it."""
+    rules = qr.Rules(strata=("a", "b", "c"), level=0.05)
+    for clean, settled in (((2000, 320), {"a": 14, "b": 14}), ((320, 320), {"a": None, "b": None})):
+        frames = [sample(spark, n, 0).where("quality = 1").withColumn("doc_id", F.col("doc_id") + 10_000 * k).withColumn("lang", F.lit(lang))
+                  for k, (lang, n) in enumerate(zip("ab", clean, strict=True))]
+        docs = frames[0].union(frames[1])
+        measured = qr.measure(docs.select("doc_id", "text", qr.stratum_of(rules).alias("_stratum"))).drop("text")
+        rows = qr.calibrate(measured, docs.select("doc_id", "quality"), rules).collect()
+        assert {r["_stratum"]: r["cut_symbols"] for r in rows} == {s: k if k is None else rules.path[k]["symbols"] for s, k in settled.items()}
+        assert {r["good"] for r in rows} == set(clean)

@@ -1,7 +1,8 @@
 """Mixing sources to target weights over a domain, language, source tree. DataFrame functions only.
 
 The token budget goes down the tree. Among siblings it is shared by weight; a child that has too little (its documents times
-``epochs``) gets all it has, and what it leaves goes to its siblings by weight. A parent's supply is that of its leaves, so a
+``epochs``) gets all it has, and what it leaves goes to its siblings by weight. A parent's supply is what its children may
+use (none for a weight of 0), so a
 shortage passes to the parent's siblings only when all siblings below are used up. All shares are whole numbers: floors, and
 one token more for the first children by name until nothing is left.
 
@@ -50,12 +51,19 @@ def measure(docs: DataFrame, domain: Column) -> DataFrame:
     return docs.select("doc_id", F.coalesce(domain, F.lit("")).alias("domain"), *named, words.alias("n_tokens"))
 
 
+def _weight(name: str, targets: Targets) -> Column:
+    """The weight of a node by the column ``name``; 0 for those that may have no budget."""
+    weights = targets.weights.get(name, {})
+    if not weights:
+        return F.lit(1).cast("long")
+    given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(name)]
+    return F.greatest(F.coalesce(given, F.lit(1)), F.lit(0)).cast("long")
+
+
 def _share(nodes: DataFrame, parents: list[str], name: str, targets: Targets) -> DataFrame:
     """``nodes`` (parents, name, ``cap``, ``given``: the parent's budget) with ``budget``, the node's own."""
-    weights = targets.weights.get(name, {})
-    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(name)], F.lit(1)) if weights else F.lit(1)
     big = lambda c: c.cast("decimal(38,0)")
-    nodes = nodes.withColumn("w", F.greatest(weight, F.lit(0)).cast("long"))
+    nodes = nodes.withColumn("w", _weight(name, targets))
     nodes = nodes.withColumn("room", F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0).cast("long")))
     group = Window.partitionBy(*parents)
     poorest = group.orderBy(F.when(F.col("w") > 0, F.col("room") / F.col("w")).otherwise(F.lit(0.0)), name)
@@ -82,12 +90,14 @@ def _share(nodes: DataFrame, parents: list[str], name: str, targets: Targets) ->
 
 def allocate(supply: DataFrame, targets: Targets) -> DataFrame:
     """``domain, lang, source, supply, budget`` for leaves with ``supply`` tokens each."""
-    leaves = supply.withColumn("cap", F.col("supply") * targets.epochs)
-    total = leaves.agg(F.coalesce(F.sum("supply"), F.lit(0).cast("long")).alias("all"))
-    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"))
+    # what a node can use is what its children can, so that no budget goes to a parent of none that may have it
+    usable = lambda name: F.when(_weight(name, targets) > 0, F.col("cap")).otherwise(F.lit(0).cast("long"))
+    leaves = supply.withColumn("cap", F.col("supply") * targets.epochs).withColumn("cap", usable("source"))
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("cap", usable("lang"))
+    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"))
+    total = supply.agg(F.coalesce(F.sum("supply"), F.lit(0).cast("long")).alias("all"))
     domains = domains.withColumn("given", F.floor(total.select("all").scalar() * targets.percent / 100).cast("long"))
     domains = _share(domains.withColumn("root", F.lit(0)), ["root"], "domain", targets)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
     langs = _share(langs.join(domains.select("domain", F.col("budget").alias("given")), "domain"), ["domain"], "lang", targets)
     given = langs.select("domain", "lang", F.col("budget").alias("given"))
     return _share(leaves.join(given, ["domain", "lang"]), ["domain", "lang"], "source", targets).drop("cap")

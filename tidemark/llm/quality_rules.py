@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
-Signals of a text (per mille of its words) are compared with cutoffs. A cutoff is used only if labelled good documents show
-that it rejects few of them: for each stratum and signal the cutoffs of a fixed grid are tested from lenient to strict with
-the exact binomial tail P(X <= rejected | n, risk), and the walk stops at the first that fails (fixed-sequence testing).
-The level is divided by the number of strata and signals (Bonferroni) and the allowed risk by the number of signals, so
-with probability ``1 - level`` no stratum loses more than ``risk`` of its good documents.
+Signals of a text (per mille of its words) are compared with cutoffs. All signals' cutoffs move together along one fixed path
+from lenient to strict settings, and a text is rejected at a setting if any signal exceeds its cutoff there. A setting is used
+only if labelled good documents show that it rejects few of them: for each stratum the settings are tested in order with
+the exact binomial tail P(X <= rejected | n, risk), and the walk stops at the first that fails (fixed-sequence testing). The
+level is shared by the strata that have such documents after Holm: a stratum whose whole path passes hands its share on to the
+others. So with probability ``1 - level`` no stratum loses more than ``risk`` of its good documents beyond the base rule;
+with five strata 459 good ones without a rejection are enough for a setting.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept. Null or unlisted languages share the stratum
 ``other``. A stratum with too few labelled good documents gets no cutoff, so nothing is rejected there beyond the base rule.
@@ -28,7 +30,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. ``grids`` holds each signal's cutoffs per mille, from lenient to strict."""
+    """Parameters. ``grids`` holds each signal's cutoffs per mille, from lenient to strict; ``path`` puts them side by side."""
 
     strata: tuple[str, ...] = ("en", "fr", "de", "es")
     risk: float = 0.01
@@ -43,6 +45,12 @@ class Rules:
     )
 
 
+    @property
+    def path(self) -> list[dict[str, int]]:
+        steps = max(len(grid) for grid in self.grids.values())
+        return [{name: grid[k * len(grid) // steps] for name, grid in self.grids.items()} for k in range(steps)]
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_counts`` of the five counts of every whole text. Nothing is shuffled.
 
@@ -128,45 +136,53 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, rules: Rules = Rules(), key: str = "doc_id") -> DataFrame:
-    """One row per stratum with a column ``cut_<signal>`` each (null: no cutoff could be shown to be safe).
+    """One row per stratum with labelled good documents: how many there are (``good``), how many of them its setting rejects
+    (``rejected``), and a column ``cut_<signal>`` each (null: no setting could be shown to be safe).
 
     ``measured`` has ``key``, ``_stratum`` and ``_counts``; ``labels`` has ``key`` and ``quality`` (1: good). Documents that
     the base rule rejects say nothing about the cutoffs and are left out.
     """
+    path = rules.path
     good = labels.groupBy(key).agg(F.min("quality").alias("_q")).where("_q = 1").select(key)
     kept = measured.where(~base_failed()).select(key, "_stratum", *[v.alias(k) for k, v in _signals().items()])
     held = kept.join(good.where(F.col(key).isNotNull()), key)
-    passed = [
-        F.struct(
-            F.lit(name).alias("signal"),
-            sum((F.when(F.col(name) > cut, 1).otherwise(0) for cut in grid), F.lit(0)).alias("over"),  # cutoffs it breaks
-        )
-        for name, grid in rules.grids.items()
-    ]
-    tally = held.select("_stratum", F.explode(F.array(*passed)).alias("s")).groupBy("_stratum", "s.signal", "s.over").count()
-    grids = F.create_map(
-        *[x for name, grid in rules.grids.items() for x in (F.lit(name), F.array(*[F.lit(c).cast("long") for c in grid]))]
-    )
-    per_signal = (
-        tally.groupBy("_stratum", "signal")
-        .agg(F.sum("count").alias("n"), F.collect_list(F.struct("over", "count")).alias("over"))  # at most len(grid) + 1
-        .select("_stratum", "signal", "n", "over", F.posexplode(grids[F.col("signal")]).alias("step", "cut"))
+    # cutoffs only fall along the path, so a document rejected at m settings is rejected at the last m
+    over = sum((F.when(_exceeds(cuts), 1).otherwise(0) for cuts in path), F.lit(0))
+    tally = held.groupBy("_stratum", over.alias("over")).count()
+    strata = tally.groupBy("_stratum").agg(
+        F.sum("count").alias("n"), F.collect_list(F.struct("over", "count")).alias("over")  # at most len(path) + 1
     )
-    # a document that breaks m cutoffs breaks the m most lenient ones
+    steps = strata.select("_stratum", "n", "over", F.explode(F.sequence(F.lit(0), F.lit(len(path) - 1))).alias("step"))
     rejected = F.aggregate(
-        F.filter("over", lambda x: x["over"] > F.col("step")), F.lit(0).cast("long"), lambda s, x: s + x["count"]
+        F.filter("over", lambda x: x["over"] >= len(path) - F.col("step")), F.lit(0).cast("long"), lambda s, x: s + x["count"]
     )
-    families = (len(rules.strata) + 1) * len(rules.grids)
-    tail = binomial_tail(F.col("rejected"), F.col("n"), rules.risk / len(rules.grids))
-    walk = Window.partitionBy("_stratum", "signal").orderBy("step")
-    safe = (
-        per_signal.withColumn("rejected", rejected)
-        .withColumn("fails", (tail > rules.level / families).cast("int"))
-        .withColumn("failed", F.sum("fails").over(walk))
-        .where("failed = 0")
+    steps = steps.withColumn("rejected", rejected).withColumn("tail", binomial_tail(F.col("rejected"), F.col("n"), rules.risk))
+    walk = Window.partitionBy("_stratum").orderBy("step")
+    steps = steps.withColumn("worst", F.max("tail").over(walk))
+    # Holm over the strata, a handful of rows: those that pass whole, in the order of their worst tails
+    whole = steps.groupBy("_stratum").agg(F.max("tail").alias("worst"))
+    order = Window.orderBy("worst", "_stratum")
+    m = F.count("*").over(Window.partitionBy())
+    passes = whole.select("_stratum", "worst", m.alias("m"), F.row_number().over(order).alias("place"))
+    passes = passes.withColumn("passes", F.when(F.col("worst") <= rules.level / (F.col("m") - F.col("place") + 1), 1).otherwise(0))
+    passes = passes.withColumn("done", F.min("passes").over(order))
+    left = F.col("m") - F.sum("done").over(Window.partitionBy())
+    levels = passes.select("_stratum", "done", (rules.level / F.greatest(left, F.lit(1))).alias("share"))
+    safe = steps.join(levels, "_stratum").withColumn("safe", (F.col("done") == 1) | (F.col("worst") <= F.col("share")))
+    last = safe.groupBy("_stratum").agg(
+        F.max("n").alias("good"), F.max(F.when(F.col("safe"), F.struct("step", "rejected"))).alias("last")
     )
-    cuts = [F.min(F.when(F.col("signal") == name, F.col("cut"))).alias(f"cut_{name}") for name in rules.grids]
-    return safe.groupBy("_stratum").agg(*cuts)
+    cuts = [
+        F.get(F.array(*[F.lit(step[name]).cast("long") for step in path]), F.col("last.step")).alias(f"cut_{name}") for name in rules.grids
+    ]
+    return last.select("_stratum", "good", F.col("last.rejected").alias("rejected"), *cuts)
+
+
+def _exceeds(cuts: dict) -> Column:
+    over = F.lit(False)
+    for name, cut in cuts.items():
+        over = over | F.coalesce(F.col(name) > cut, F.lit(False))
+    return over
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -175,6 +191,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, rules: Rules = Rules()) -> Da
     for name, signal in _signals().items():
         if name in rules.grids:
             over = over | F.coalesce(signal > F.col(f"cut_{name}"), F.lit(False))
+    cutoffs = cutoffs.drop("good", "rejected")
     judged = measured.join(F.broadcast(cutoffs), "_stratum", "left").withColumn("_base_failed", base_failed())
     return judged.withColumn("_kept", ~F.col("_base_failed") & ~over).drop(*[f"cut_{name}" for name in rules.grids])
 
