@@ -1,4 +1,5 @@
 import itertools
+import json
 import random
 import zlib
 
@@ -94,3 +95,37 @@ def test_query_and_hard_rows(spark):
     assert [(e["length"], zlib.crc32(e["ids"])) for e in empty] == [(1, zlib.crc32(b"\1\0\0\0"))]
     assert pk.pack_documents(cases.documents(spark), PATH).select("doc_id").distinct().count() == 9
     assert pk.pack_documents(cases.empty(spark), PATH).count() == 0
+
+
+def test_a_file_with_other_rules_gets_whole_texts(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  words, and. a\nline", "", " It's <|endoftext|> 12é"]
+    plain = Tokenizer.from_file(path)
+    tokens = pk.Tokens(path)
+    assert tokens.whole is not None
+    assert [np.frombuffer(t, "<u4").tolist() for t in tokens([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert pk.Tokens(public_tokenizers.path("word_bpe_49k.json")).whole is None
+
+
+def test_a_small_memory_changes_no_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"word{i % 7} and {i} more, of it. The end" for i in range(50)]
+    one, two = pk.Tokens(path), pk.Tokens(path, most=3)
+    plain = Tokenizer.from_file(path)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert one([t.encode() for t in texts]) == want == two([t.encode() for t in texts])
+    assert len(two.held) <= 3 and len(two.held.before) <= 3
+
+
+def test_letter_merges_are_those_of_the_vocabulary():
+    """Every rule makes a token of its own, later rules later tokens, and words merge as the tokenizer merges them."""
+    model = json.load(open(PATH, encoding="utf-8"))["model"]
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    assert made == list(range(512, 512 + len(made)))
+    held = pk.Tokens(PATH).held
+    assert held.letters is not None
+    rng, letters = random.Random(8), "abcdefghijklmnopqrstuvwxyzßäöüéø"
+    words = ["".join(rng.choice(letters[: rng.choice((5, 26, 32))]) for _ in range(rng.randint(1, 24))) for _ in range(30_000)]
+    words += [t.removesuffix("</w>") for t in model["vocab"] if t.removesuffix("</w>").isascii() and t.removesuffix("</w>").isalpha()]
+    for word in words:
+        assert held.letters(word + "_") == [t.id for t in held.merge(word.encode().decode("latin-1").translate(pk._BYTES))], word

@@ -16,7 +16,9 @@ between pieces of one length keep their order, an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import json
 import os
 import re
 from array import array
@@ -89,35 +91,96 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
+#: The rules of the vocabulary that chunks are cut for: fixed values of its file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}
+]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def _cut_at_blanks(held: dict) -> bool:
+    """Whether a tokenizer file has the rules above, so that chunks between blanks can be tokenized one by one."""
+    marks = all(t["content"].startswith("<|") for t in held["added_tokens"])
+    model = held["model"]
+    plain = not model.get("continuing_subword_prefix") and not model.get("byte_fallback") and not model.get("ignore_merges")
+    return marks and plain and held["normalizer"] == _NORMALIZER and held["pre_tokenizer"] == _PRE_TOKENIZER
+
+
+#: SHA-256 of the one file whose merges of letters are known to be those of ``_letter_merges``; a test holds it to that.
+_KNOWN = "53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a"
+
+
+def _letter_merges(vocabulary: dict[str, int]):
+    """``encode_ordinary`` of a faster merger for words of letters that end in ``_``, for the known file.
+
+    Merging the neighbours that make the earliest token is the same as applying merge rules in order, where every rule makes
+    a token of its own and every token, taken alone, is merged to itself.
+    """
+    import tiktoken
+
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {}
+    for token, rank in vocabulary.items():
+        body = bytes(byte[c] for c in token.removesuffix("</w>"))
+        if rank < 256:  # the single bytes
+            ranks[body] = rank
+        elif not re.search(rb"[^a-z\x80-\xff]", body):
+            ranks[body + (b"_" if token.endswith("</w>") else b"")] = rank
+    return tiktoken.Encoding("letters", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+class _Chunks(dict):
+    """Ids of chunks, made when first asked for. ``most`` are held, and as many of those held before them, so that chunks
+    asked for often stay."""
+
+    def __init__(self, tokenizer, letters, most: int):
+        self.encode, self.merge, self.most, self.before = tokenizer.encode, tokenizer.model.tokenize, most, {}
+        self.letters = letters
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            if not _LETTERS.fullmatch(chunk):
+                ids = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+            elif self.letters:
+                ids = array("I", self.letters(chunk.decode() + "_")).tobytes()
+            else:
+                ids = array("I", [t.id for t in self.merge(chunk.decode("latin-1").translate(_BYTES))]).tobytes()
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class Tokens:
     """Ids of whole texts in UTF-8. Blanks, line ends, and a full stop or comma between a letter and a blank part tokens in this
-    vocabulary's rules, so the chunks between them are tokenized once and remembered; the memory is emptied when it holds
-    ``most`` chunks."""
+    vocabulary's rules, so the chunks between them are tokenized once and remembered. A file with other rules gets its texts
+    whole."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.held = Tokenizer.from_file(path), most, {b"": b""}
+        with open(path, "rb") as file:
+            text = file.read()
+        tokenizer, held = Tokenizer.from_buffer(text), json.loads(text)
+        self.whole = None if _cut_at_blanks(held) else tokenizer
+        known = hashlib.sha256(text).hexdigest() == _KNOWN
+        self.held = _Chunks(tokenizer, _letter_merges(held["model"]["vocab"]) if known else None, most)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        cut = [self._chunks(text) for text in texts]
-        new = set().union(*cut)
-        new.difference_update(self.held)
-        if new and len(self.held) + len(new) > self.most:
-            self.held = {b"": b""}
-            new = set().union(*cut)
-            new.discard(b"")
-        letters, other, merge = [], [], self.encode.model.tokenize
-        for c in new:
-            (letters if _LETTERS.fullmatch(c) else other).append(c)
-        for c in letters:
-            self.held[c] = array("I", [t.id for t in merge(c.decode("latin-1").translate(_BYTES))]).tobytes()
-        for at in range(0, len(other), 10_000):
-            part = other[at : at + 10_000]
-            coded = self.encode.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.held.update(zip(part, [array("I", e.ids).tobytes() for e in coded], strict=True))
-        return [b"".join(map(self.held.__getitem__, chunks)) for chunks in cut]
+        if self.whole:
+            coded = self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [array("I", e.ids).tobytes() for e in coded]
+        ids = self.held.__getitem__
+        return [b"".join(map(ids, self._chunks(text))) for text in texts]
 
     @staticmethod
     def _chunks(text: bytes) -> list[bytes]:
