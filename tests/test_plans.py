@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import common
+from tidemark.operators import reconcile as rc
 from tidemark.operators import retention as rt
 from tidemark.plans import catalog
 from tidemark.plans.registry import Inputs
@@ -97,3 +98,22 @@ def test_matches_are_made_once_for_samples_and_files_read_once_for_empty_directo
     files = spark.read.parquet(f"{FOLDER}/pages.parquet").selectExpr("url AS host", "url AS path")
     gone = spark.createDataFrame([("h", "/p")], "host string, path string")
     assert plan_of(rt.directory_counts(files, gone)).count("FileScan") == 1
+
+
+def test_a_comparison_reads_each_side_once(spark, tmp_path):
+    """Nothing of the sides is left to read after the one pass; that pass itself reads each of them once."""
+    for name in ("reconcile_rows_fnmatch", "reconcile_summary"):
+        plan = plan_of(catalog.QUERIES[name](spark, FOLDER))
+        assert "o_orderkey" not in plan and "l_extendedprice" not in plan
+    tags = "repository string, tag string, digest string"
+    spark.createDataFrame([("r", "t", "d")], tags).write.parquet(str(tmp_path / "tags"))
+    sides = spark.read.parquet(str(tmp_path / "tags"))
+    reads = []
+    frame = type(sides)
+    checkpoint = frame.checkpoint
+    try:
+        frame.checkpoint = lambda self, *a, **k: (reads.append(plan_of(self).count("FileScan")), checkpoint(self, *a, **k))[1]
+        rc._pairs(sides, sides, "role"), rc._pairs(sides, sides, "script")
+    finally:
+        frame.checkpoint = checkpoint
+    assert reads == [2, 2]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import globs
 from tidemark.functions import text as tx
-from tidemark.operators.common import dedup_last, first_rows, preview
+from tidemark.operators.common import first_rows, preview, total
+from tidemark.session import use_checkpoint_dir
 
 ROW_COLUMNS = [
     "repository", "tag", "status", "severity", "mirror_status", "mirror_enabled", "filter", "source_digest",
@@ -57,54 +58,108 @@ def _by_status(status: Column, which: int) -> Column:
     return F.element_at(F.create_map(*pairs), status)
 
 
-def _sides(source: DataFrame, target: DataFrame, dialect: str) -> DataFrame:
-    """Every (repository, tag) with its digests and on which side it was seen."""
+def _pairs(source: DataFrame, target: DataFrame, dialect: str) -> DataFrame:
+    """Every (repository, tag) with its digests and the number of records on either side, checkpointed.
+
+    Both sides are read once, as one table with a side to each row, and added up before they are shuffled. In the script
+    dialect a source record may repeat: its digests stay rows of their own, and ``n_source`` says how often each occurs;
+    of target records the last one counts. Records without repository or tag are counted only.
+    """
     # The tag comes first: sorts then decide most comparisons on their first bytes.
     keys = ["tag", "repository"]
-    source, target = source.dropna(subset=keys), target.dropna(subset=keys)
-    src = source.select(*keys, F.coalesce("digest", F.lit("")).alias("source_digest"), F.lit(True).alias("in_source"))
-    tgt = target.select(*keys, F.coalesce("digest", F.lit("")).alias("target_digest"), F.lit(True).alias("in_target"))
+    arrival = F.col("arrival") if "arrival" in target.columns else F.lit(0)
+    last = F.struct(arrival.alias("arrival"), F.coalesce("digest", F.lit("")).alias("digest"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    src = source.select(*keys, F.coalesce("digest", F.lit("")).alias("own"), one.alias("s"), zero.alias("t"))
+    tgt = target.select(*keys, F.lit(None).cast("string").alias("own"), zero.alias("s"), one.alias("t"), last.alias("last"))
+    both = src.unionByName(tgt, allowMissingColumns=True)
+    sums = [F.sum("s").alias("n_source"), F.sum("t").alias("n_target")]
     if dialect == "role":
-        both = src.join(tgt, keys, "full_outer")
+        pairs = both.groupBy(*keys).agg(F.max("own").alias("source_digest"), F.max("last").alias("last"), *sums)
     else:
-        # Source records may repeat here; a left join lets a repeated key be split, a full one would not.
-        held = src.select("repository").distinct()
-        extras = tgt.join(src.select(*keys).distinct(), keys, "left_anti").join(held, "repository", "left_semi")
-        both = src.join(tgt, keys, "left").unionByName(extras, allowMissingColumns=True)
-    return both.select(
-        *keys,
-        F.coalesce("source_digest", F.lit("")).alias("source_digest"),
-        F.coalesce("target_digest", F.lit("")).alias("target_digest"),
-        F.coalesce("in_source", F.lit(False)).alias("in_source"),
-        F.coalesce("in_target", F.lit(False)).alias("in_target"),
-    )
+        # a key's rows: one per digest of the source, and one of the target, whose record all others get
+        split = both.groupBy(*keys, "own").agg(F.max("last").alias("own_last"), *sums)
+        of_key = Window.partitionBy(*keys)
+        split = split.withColumns({"last": F.max("own_last").over(of_key), "held": F.sum("n_source").over(of_key)})
+        pairs = split.select(
+            *keys, F.col("own").alias("source_digest"), "last", "n_source",
+            F.when(F.col("n_target") > 0, F.col("n_target")).otherwise(zero).alias("n_target"), "held",
+        )
+    pairs = pairs.withColumns(
+        {
+            "target_digest": F.coalesce("last.digest", F.lit("")), "in_target": F.col("last").isNotNull(),
+            "in_source": F.col("n_source") > 0, "source_digest": F.coalesce("source_digest", F.lit("")),
+        }
+    ).drop("last")
+    use_checkpoint_dir(source.sparkSession)
+    return pairs.checkpoint()
+
+
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row ``times`` times, in two steps so that no long list is made."""
+    step = 4096
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / step))))
+    left = F.least(F.lit(step).cast("bigint"), F.col(times) - F.col("_block") * step)
+    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).drop("_block", "_turn")
+
+
+class Comparison:
+    """Two snapshots compared: the ``rows`` of the comparison, and its ``summary``, from one pass over both sides.
+
+    ``source`` and ``target`` hold (repository, tag, digest), one row per tag in the role dialect. The script dialect
+    accepts repeated tags: every source record makes a row, and where ``target`` has an ``arrival`` column its last record
+    wins. ``configs`` has one row per repository. What the sides hold per tag is checkpointed, rows and counts come from there.
+    """
+
+    def __init__(
+        self, source: DataFrame, target: DataFrame, configs: DataFrame, errors: DataFrame | None = None, dialect: str = "role"
+    ):
+        self.configs = configs
+        self.pairs = _pairs(source, target, dialect)
+        self.rows = self._rows(_prepared(configs, dialect), errors, dialect)
+
+    def _rows(self, cfg: DataFrame, errors: DataFrame | None, dialect: str) -> DataFrame:
+        pairs = self.pairs.dropna(subset=["tag", "repository"])
+        held = self.pairs.where("in_source").select("repository").distinct()
+        if dialect == "script":
+            # tags of the target alone show for repositories that the source lists, once each
+            extras = pairs.where("held = 0").join(held, "repository", "left_semi")
+            pairs = _repeated(pairs.where("in_source"), "n_source").unionByName(extras)
+        rows = pairs.join(cfg, "repository")
+        rows = rows.withColumn("in_filter", F.coalesce(F.rlike("tag", F.col("_regex")), F.lit(False)))
+        seen = [F.col(c) for c in ("in_source", "in_target", "in_filter", "source_digest", "target_digest")]
+        rows = rows.withColumn("status", tag_status(*seen))
+        rows = rows.withColumns({"severity": _by_status(F.col("status"), 0), "message": _by_status(F.col("status"), 1)})
+        result = rows.select(*ROW_COLUMNS).unionByName(_config_notes(cfg, held, dialect))
+        return result if errors is None or dialect == "script" else result.unionByName(_error_rows(errors))
+
+    def summary(self, statuses: Sequence[str] = fv.CANDIDATE_STATUSES, rows: DataFrame | None = None) -> DataFrame:
+        """One row of counts; the candidate repositories themselves are ``sync_candidates``. ``rows`` may be a checkpointed
+        copy of the rows."""
+        candidate = F.when(F.col("status").isin(list(statuses)), F.col("repository"))
+        totals = (self.rows if rows is None else rows).agg(
+            F.count("*").alias("total_rows"), F.count_distinct(candidate).alias("candidate_repositories")
+        )
+        return totals.select(
+            self.configs.agg(F.count("*")).scalar().alias("repositories_evaluated"),
+            self.pairs.agg(total("n_source")).scalar().alias("source_tags_evaluated"),
+            self.pairs.agg(total("n_target")).scalar().alias("target_tags_evaluated"),
+            "total_rows",
+            "candidate_repositories",
+            (F.col("candidate_repositories") > 0).alias("has_divergence"),
+        )
 
 
 def reconcile(
     source: DataFrame, target: DataFrame, configs: DataFrame, errors: DataFrame | None = None, dialect: str = "role"
 ) -> DataFrame:
-    """Classify every tag of the configured repositories.
+    """Classify every tag of the configured repositories: the rows of a ``Comparison``."""
+    return Comparison(source, target, configs, errors, dialect).rows
 
-    ``source`` and ``target`` hold (repository, tag, digest), one row per tag in the role dialect. The script dialect
-    accepts repeated tags when ``target`` also has an ``arrival`` column: its last record wins, and every source record
-    makes a row. ``configs`` has one row per repository.
-    """
-    cfg = _prepared(configs, dialect)
-    if dialect == "script" and "arrival" in target.columns:
-        target = dedup_last(target.dropna(subset=["tag", "repository"]), ["tag", "repository"], ["arrival", "digest"])
-    pairs = _sides(source, target, dialect)
-    rows = pairs.join(cfg, "repository")
-    rows = rows.withColumn("in_filter", F.coalesce(F.rlike("tag", F.col("_regex")), F.lit(False)))
-    seen = [F.col(c) for c in ("in_source", "in_target", "in_filter", "source_digest", "target_digest")]
-    rows = rows.withColumn("status", tag_status(*seen))
-    rows = rows.withColumns({"severity": _by_status(F.col("status"), 0), "message": _by_status(F.col("status"), 1)})
-    result = rows.select(*ROW_COLUMNS).unionByName(_config_notes(cfg, source, dialect))
-    return result if errors is None or dialect == "script" else result.unionByName(_error_rows(errors))
-
-
-def _config_notes(cfg: DataFrame, source: DataFrame, dialect: str) -> DataFrame:
+
+def _config_notes(cfg: DataFrame, listed: DataFrame, dialect: str) -> DataFrame:
     """Rows about repositories as a whole: no source tags, no configuration, or a mirror switched off."""
-    listed = source.select("repository").distinct().withColumn("_listed", F.lit(True))
+    listed = listed.withColumn("_listed", F.lit(True))
 
     def note(condition: Column, status: str, severity: str, message: Column) -> Column:
         parts = F.struct(F.lit(status).alias("status"), F.lit(severity).alias("severity"), message.alias("message"))
@@ -145,22 +200,6 @@ def sync_candidates(rows: DataFrame, statuses: Sequence[str] = fv.CANDIDATE_STAT
     return rows.where(F.col("status").isin(list(statuses))).select("repository").distinct()
 
 
-def comparison_summary(
-    rows: DataFrame, source: DataFrame, target: DataFrame, configs: DataFrame, statuses: Sequence[str] = fv.CANDIDATE_STATUSES
-) -> DataFrame:
-    """One row of counts; the candidate repositories themselves are ``sync_candidates``."""
-    candidate = F.when(F.col("status").isin(list(statuses)), F.col("repository"))
-    totals = rows.agg(F.count("*").alias("total_rows"), F.count_distinct(candidate).alias("candidate_repositories"))
-    return totals.select(
-        configs.agg(F.count("*")).scalar().alias("repositories_evaluated"),
-        source.agg(F.count("*")).scalar().alias("source_tags_evaluated"),
-        target.agg(F.count("*")).scalar().alias("target_tags_evaluated"),
-        "total_rows",
-        "candidate_repositories",
-        (F.col("candidate_repositories") > 0).alias("has_divergence"),
-    )
-
-
 def visible_rows(rows: DataFrame, hidden: Sequence[str] = fv.NOISE_STATUSES, on: bool = True) -> DataFrame:
     return rows.where(~F.coalesce("status", F.lit("")).isin(list(hidden))) if on else rows
 
@@ -362,6 +401,43 @@ def sync_progress(
     return rows.withColumn("outcome", outcome).drop("wait_http_error", "wait_failed", "wait_timeout")
 
 
+def _worst(rows: DataFrame, side: str) -> DataFrame:
+    """``rows`` with a key per tag, or per note of a repository, and the status with its rank on one ``side``."""
+    rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "warning", 2).when(F.col("severity") == "ok", 0).otherwise(1)
+    about = F.when(F.col("tag") == "", F.col("status")).otherwise("")
+    return rows.select("repository", "tag", about.alias("about"), F.struct(rank.alias("rank"), "status").alias(side))
+
+
+def sync_transitions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many tags went from which status to which: ``status_before, status_after, n``, absent ones as ABSENT.
+
+    Both results are added up per (repository, tag) in one pass; of a tag's repeated rows the worst counts. Notes about a
+    repository are matched by their status.
+    """
+    both = _worst(before, "b").unionByName(_worst(after, "a"), allowMissingColumns=True)
+    keyed = both.groupBy("repository", "tag", "about").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    names = [F.coalesce(f"{side}.status", F.lit("ABSENT")).alias(name) for side, name in (("b", "status_before"), ("a", "status_after"))]
+    return keyed.groupBy(*names).agg(F.count("*").alias("n"))
+
+
+def sync_result(mode: str, before: DataFrame, after: DataFrame, actions: DataFrame, waits: DataFrame, progress: DataFrame) -> DataFrame:
+    """One row on a whole run: candidates, calls, waits, and what the comparison showed before and after.
+
+    ``before`` and ``after`` are comparison summaries, ``progress`` is ``sync_progress``.
+    """
+    one = lambda frame, prefix: frame.select(*[F.col(c).alias(f"{prefix}_{c}") for c in (
+        "total_rows", "candidate_repositories", "has_divergence")])
+    outcomes = progress.agg(
+        F.count("*").alias("candidates"),
+        *[F.count_if(F.col("outcome") == name).alias(f"{name}_repositories") for name in ("resolved", "pending")],
+    )
+    parts = [outcomes, actions.agg(F.count("*").alias("actions")), failed_actions(actions), wait_summary(waits), one(before, "initial"), one(after, "final")]
+    row = before.sparkSession.range(1).select(F.lit(mode).alias("mode"))
+    for part in parts:  # aggregates of one row each
+        row = row.withColumns({c: part.select(c).scalar() for c in part.columns})
+    return row.withColumn("performed", F.col("actions") > 0)
+
+
 def call_badge(status: Column | str, ok: Column | str) -> Column:
     """How a cancel or start call is shown."""
     code = tx.col(status)

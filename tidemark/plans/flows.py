@@ -39,14 +39,15 @@ def reconcile_job(
         rc.mirrors_only(target).select("repository"), "repository", "left_semi"
     )
     tags = {
-        side: landed.tags_from_pages(pages, side).withColumnRenamed("manifest_digest", "digest").checkpoint()
+        side: landed.tags_from_pages(pages, side).withColumnRenamed("manifest_digest", "digest")
         for side, pages in (("source", source_pages), ("target", target_pages))
     }
     errors = landed.tag_errors_from_pages(source_pages, "source").unionByName(
         landed.tag_errors_from_pages(target_pages, "target")
     )
-    rows = rc.reconcile(tags["source"], tags["target"], configs, errors).checkpoint()
-    summary = rc.comparison_summary(rows, tags["source"], tags["target"], configs)
+    compared = rc.Comparison(tags["source"], tags["target"], configs, errors)
+    rows = compared.rows.checkpoint()
+    summary = compared.summary(rows=rows)
     return {
         "rows": rows,
         "summary": rc.enforce_policy(summary, fail_on_divergence),
@@ -59,6 +60,24 @@ def reconcile_job(
     }
 
 
+def sync_job(
+    before: Mapping[str, DataFrame], after: Mapping[str, DataFrame], responses: DataFrame, waits: DataFrame, mode: str = "sync"
+) -> dict[str, DataFrame]:
+    """What a sync run did, from the comparison before it, the answers of its calls and waits, and the comparison after it.
+
+    ``before`` and ``after`` are results of ``reconcile_job``; ``responses`` and ``waits`` have an ``arrival`` column.
+    """
+    use_checkpoint_dir(responses.sparkSession)
+    actions = rc.sync_actions(responses).checkpoint()
+    progress = rc.sync_progress(before["candidates"], actions, waits, before["rows"], after["rows"]).checkpoint()
+    return {
+        "actions": actions,
+        "progress": progress,
+        "transitions": rc.sync_transitions(before["rows"], after["rows"]),
+        "result": rc.sync_result(mode, before["summary"], after["summary"], actions, waits, progress),
+    }
+
+
 def purge_job(
     files: DataFrame,
     plan: DataFrame,

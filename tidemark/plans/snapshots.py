@@ -68,8 +68,12 @@ def configs(t: Inputs) -> DataFrame:
     return t.sql(CONFIGS).withColumn("rule_value", F.split("filter_text", ","))
 
 
+def compared(t: Inputs, target: str = TARGET_TAGS) -> rc.Comparison:
+    return rc.Comparison(source_tags(t), t.sql(target), configs(t), t.sql(TAG_ERRORS))
+
+
 def role_rows(t: Inputs) -> DataFrame:
-    return rc.reconcile(source_tags(t), target_tags(t), configs(t), t.sql(TAG_ERRORS))
+    return compared(t).rows
 
 
 # ---- oracle of the comparison ------------------------------------------------------------------------------------
@@ -164,8 +168,7 @@ def reconcile_severity_counts(t: Inputs) -> DataFrame:
        count(*) FILTER (WHERE status IN {_CANDIDATES}) > 0 AS has_divergence FROM rows""",
 )
 def reconcile_summary(t: Inputs) -> DataFrame:
-    summary = rc.comparison_summary(role_rows(t), source_tags(t), target_tags(t), configs(t))
-    return rc.enforce_policy(summary, fail_on_divergence=False)
+    return rc.enforce_policy(compared(t).summary(), fail_on_divergence=False)
 
 
 @query("sync_candidates", ROLE_ROWS + f"SELECT DISTINCT repository FROM rows WHERE status IN {_CANDIDATES}")
@@ -539,6 +542,53 @@ def sync_progress(t: Inputs) -> DataFrame:
     return rc.sync_progress(t.sql(CANDIDATES), calls(t), t.sql(WAITS), t.sql(ROWS_BEFORE), t.sql(ROWS_AFTER))
 
 
+# After a sync half of the drifted digests are those of the source, and some missing tags have arrived.
+SYNCED_TAGS = TARGET_TAGS.replace("o_orderkey % 7 = 0", "o_orderkey % 14 = 0").replace("o_orderkey % 11 <> 0", "o_orderkey % 33 <> 0")
+
+
+def _both_rows(tail: str) -> str:
+    """SQL over the rows before (``rows``) and after a sync (``synced``)."""
+    after = ROLE_ROWS.replace(plain(TARGET_TAGS), plain(SYNCED_TAGS))
+    return f"SELECT * FROM (WITH before AS ({ROLE_ROWS} SELECT * FROM rows), after AS ({after} SELECT * FROM rows) {tail})"
+
+
+@query(
+    "sync_transitions",
+    _both_rows(
+        """, b AS (SELECT repository, tag, CASE WHEN tag = '' THEN status ELSE '' END AS about, any_value(status) AS status FROM before GROUP BY ALL),
+a AS (SELECT repository, tag, CASE WHEN tag = '' THEN status ELSE '' END AS about, any_value(status) AS status FROM after GROUP BY ALL)
+SELECT coalesce(b.status, 'ABSENT') AS status_before, coalesce(a.status, 'ABSENT') AS status_after, count(*) AS n
+FROM b FULL JOIN a ON a.repository = b.repository AND a.tag = b.tag AND a.about = b.about GROUP BY ALL"""
+    ),
+)
+def sync_transitions(t: Inputs) -> DataFrame:
+    return rc.sync_transitions(role_rows(t), compared(t, SYNCED_TAGS).rows)
+
+
+@query(
+    "sync_result",
+    _both_rows(
+        f""", c AS (SELECT DISTINCT repository FROM before WHERE status IN {_CANDIDATES}),
+w AS (SELECT repository, {_WAIT} AS outcome FROM ({plain(WAITS)})), calls AS ({plain(CALLS)}),
+left_over AS (SELECT repository, count(*) AS n FROM after WHERE status IN {_CANDIDATES} GROUP BY ALL),
+p AS (SELECT c.repository, CASE WHEN bool_or(w.outcome <> 'done') THEN 'waiting' WHEN coalesce(any_value(l.n), 0) = 0 THEN 'resolved' ELSE 'pending' END AS outcome
+  FROM c LEFT JOIN w ON w.repository = c.repository LEFT JOIN left_over l ON l.repository = c.repository GROUP BY c.repository)
+SELECT 'sync' AS mode, (SELECT count(*) FROM p) AS candidates, (SELECT count(*) FROM p WHERE outcome = 'resolved') AS resolved_repositories,
+  (SELECT count(*) FROM p WHERE outcome = 'pending') AS pending_repositories, (SELECT count(*) FROM calls) AS actions, (SELECT count(*) FROM calls WHERE NOT {_OK_CODE}) AS failed_actions,
+  (SELECT count(*) FROM w WHERE outcome = 'timeout') AS total_timeout, (SELECT count(*) FROM w WHERE outcome = 'failed') AS total_terminal_failed,
+  (SELECT count(*) FROM w WHERE outcome = 'http_error') AS total_http_errors, (SELECT count(*) FROM w WHERE outcome <> 'done') > 0 AS has_partial_failure,
+  (SELECT count(*) FROM before) AS initial_total_rows, (SELECT count(*) FROM c) AS initial_candidate_repositories, (SELECT count(*) FROM c) > 0 AS initial_has_divergence,
+  (SELECT count(*) FROM after) AS final_total_rows, (SELECT count(*) FROM left_over) AS final_candidate_repositories, (SELECT count(*) FROM left_over) > 0 AS final_has_divergence,
+  (SELECT count(*) FROM calls) > 0 AS performed"""
+    ),
+)
+def sync_result(t: Inputs) -> DataFrame:
+    """A sync over the comparison's own candidates, from its calls and waits to the one row of its result."""
+    before, after = compared(t), compared(t, SYNCED_TAGS)
+    progress = rc.sync_progress(rc.sync_candidates(before.rows), calls(t), t.sql(WAITS), before.rows, after.rows)
+    return rc.sync_result("sync", before.summary(), after.summary(), calls(t), t.sql(WAITS), progress)
+
+
 # ---- de-duplication and listing ----------------------------------------------------------------------------------
 
 _LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
