@@ -284,3 +284,73 @@ def test_documents_of_another_year_or_broken_ones_fail(spark, tmp_path):
     (raw / "stored_month=202402" / "part-x.txt").write_text("{no record")
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
         sv.consume_year(spark, str(raw), str(tmp_path / "store"), "2024")
+
+
+@pytest.fixture()
+def live(spark):
+    """Two live tables, a staged form of both, and a third staged table of a new name."""
+    names = ["pub_one", "pub_two", "pub_three"]
+    for k, name in enumerate(names[:2]):
+        spark.range(k + 1).write.mode("overwrite").saveAsTable(name)
+    for name in names:
+        spark.range(10).write.mode("overwrite").saveAsTable(name + "_restoring")
+    yield names
+    for name in names:
+        for table in (name, name + "_restoring", name + "_old"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql("DROP TABLE IF EXISTS pub_journal")
+
+
+def rows_of(spark, names):
+    return {n: spark.table(n).count() if spark.catalog.tableExists(n) else None for n in names}
+
+
+def failing_at(spark, monkeypatch, k):
+    """Renames fail from the ``k``-th on, until ``monkeypatch`` is undone."""
+    real, seen = type(spark).sql, []
+
+    def sql(self, text, *args, **kwargs):
+        if "RENAME" in text:
+            seen.append(text)
+            if len(seen) == k:
+                raise RuntimeError("lost")
+        return real(self, text, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "sql", sql)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5])
+def test_a_failed_rename_leaves_every_live_name_as_it_was(spark, live, monkeypatch, k):
+    failing_at(spark, monkeypatch, k)
+    with pytest.raises(RuntimeError, match="lost"):
+        rf.publish(spark, live, journal="pub_journal")
+    monkeypatch.undo()
+    assert rows_of(spark, live) == {"pub_one": 1, "pub_two": 2, "pub_three": None}
+    assert rows_of(spark, [n + "_restoring" for n in live]) == {n + "_restoring": 10 for n in live}
+    assert rf.take_back(spark, "pub_journal") == []
+    rf.publish(spark, live, journal="pub_journal")
+    assert rows_of(spark, live) == dict.fromkeys(live, 10) and rows_of(spark, ["pub_two_old"]) == {"pub_two_old": 2}
+
+
+def test_a_run_that_lost_its_driver_is_taken_back(spark, live, monkeypatch):
+    failing_at(spark, monkeypatch, 4)
+    monkeypatch.setattr(rf, "_undo", lambda *args: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        rf.publish(spark, live, journal="pub_journal")
+    monkeypatch.undo()
+    assert rows_of(spark, live)["pub_one"] == 10
+    assert len(rf.take_back(spark, "pub_journal")) == 1
+    assert rows_of(spark, live) == {"pub_one": 1, "pub_two": 2, "pub_three": None}
+
+
+def test_nothing_is_renamed_where_a_staged_table_is_missing(spark, live):
+    spark.sql("DROP TABLE pub_three_restoring")
+    with pytest.raises(ValueError, match="nothing is staged"):
+        rf.publish(spark, live)
+    assert rows_of(spark, live) == {"pub_one": 1, "pub_two": 2, "pub_three": None}
+
+
+def test_age_of_statistics(spark, live):
+    rf.analyze(spark, ["pub_one"])
+    rows = {r["table_name"]: r["age_seconds"] for r in rf.statistics_age(spark, ["pub_one", "pub_two"]).collect()}
+    assert list(rows) == ["pub_two", "pub_one"] and rows["pub_two"] is None and 0 <= rows["pub_one"] < 600

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
-from tidemark.operators.common import unique_or_fail
+from tidemark.operators.common import preview, unique_or_fail
 
 
 # ---- plan --------------------------------------------------------------------------------------------------------
@@ -162,13 +165,69 @@ def stage(frames: Mapping[str, DataFrame], suffix: str = "_restoring") -> list[s
     return [name + suffix for name in frames]
 
 
-def publish(spark: SparkSession, names: Sequence[str], suffix: str = "_restoring", old: str = "_old") -> None:
-    """Put staged tables in place of the live ones and keep those under another name."""
-    for name in names:
-        if spark.catalog.tableExists(name):
-            spark.sql(f"DROP TABLE IF EXISTS {name}{old}")
-            spark.sql(f"ALTER TABLE {name} RENAME TO {name}{old}")
-        spark.sql(f"ALTER TABLE {name}{suffix} RENAME TO {name}")
+JOURNAL = "run string, step int, name string, action string"
+
+
+def publish(spark: SparkSession, names: Sequence[str], suffix: str = "_restoring", old: str = "_old", journal: str | None = None) -> str:
+    """Put staged tables in place of the live ones and keep those under another name; all of them, or none.
+
+    Where a step fails, the steps before it are taken back in reverse order and the failure is raised again. With a
+    ``journal`` table every step is written down before it is made, so that ``take_back`` can undo a run whose driver was
+    lost. Returns the run's name in the journal.
+    """
+    run, steps = uuid.uuid4().hex, []
+
+    def step(name: str, action: str) -> None:
+        if journal is not None:
+            line = spark.createDataFrame([(run, len(steps), name, action)], JOURNAL)
+            line.write.mode("append").saveAsTable(journal)
+        steps.append((name, action))
+        if action != "finished":
+            first, second = _renamed(name, action, suffix, old)
+            spark.sql(f"ALTER TABLE {first} RENAME TO {second}")
+
+    try:
+        for name in names:
+            if not spark.catalog.tableExists(name + suffix):
+                raise ValueError(f"nothing is staged for {name}")
+        for name in names:
+            if spark.catalog.tableExists(name):
+                spark.sql(f"DROP TABLE IF EXISTS {name}{old}")
+                step(name, "keep")
+            step(name, "publish")
+    except Exception:
+        _undo(spark, steps, suffix, old)
+        if journal is not None:
+            step("", "finished")
+        raise
+    step("", "finished")
+    return run
+
+
+def _renamed(name: str, action: str, suffix: str, old: str) -> tuple[str, str]:
+    return (name, name + old) if action == "keep" else (name + suffix, name)
+
+
+def _undo(spark: SparkSession, steps: Sequence[tuple[str, str]], suffix: str, old: str) -> None:
+    """Take renames back, the last first. A step that was never made is told by its names and left out."""
+    for name, action in reversed(steps):
+        if action != "finished":
+            first, second = _renamed(name, action, suffix, old)
+            if spark.catalog.tableExists(second) and not spark.catalog.tableExists(first):
+                spark.sql(f"ALTER TABLE {second} RENAME TO {first}")
+
+
+def take_back(spark: SparkSession, journal: str, suffix: str = "_restoring", old: str = "_old") -> list[str]:
+    """Undo the runs of a journal that never finished; the names of these runs."""
+    steps = spark.table(journal)
+    open_runs = steps.groupBy("run").agg(F.bool_or(F.col("action") == "finished").alias("done")).where("not done")
+    taken = []
+    for row in open_runs.select("run").collect():  # a run that lost its driver; few at any time
+        held = steps.where(F.col("run") == row["run"]).orderBy("step").collect()  # two steps a table
+        _undo(spark, [(r["name"], r["action"]) for r in held], suffix, old)
+        spark.createDataFrame([(row["run"], len(held), "", "finished")], JOURNAL).write.mode("append").saveAsTable(journal)
+        taken.append(row["run"])
+    return taken
 
 
 def refresh_views(spark: SparkSession, views: Mapping[str, str], only: Sequence[str] | None = None) -> list[str]:
@@ -199,6 +258,24 @@ def stage_views(spark: SparkSession, views: Mapping[str, str], tables: Sequence[
 def analyze(spark: SparkSession, tables: Sequence[str], columns: bool = True) -> None:
     for name in tables:
         spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS" + (" FOR ALL COLUMNS" if columns else ""))
+        now = spark.sql("SELECT CAST(unix_seconds(current_timestamp()) AS STRING)").first()[0]
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{ANALYZED}' = '{now}')")
+
+
+#: Table property that holds when statistics were collected last, in seconds since 1970.
+ANALYZED = "statistics.collected"
+
+
+def statistics_age(spark: SparkSession, tables: Sequence[str], as_of: datetime | None = None) -> DataFrame:
+    """``table_name, collected, age_seconds`` of each table, oldest first; null where statistics were never collected."""
+    parts = []
+    for name in tables:
+        held = spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key") == ANALYZED)
+        parts.append(held.agg(F.lit(name).alias("table_name"), F.max("value").cast("bigint").alias("_at")))
+    now = F.unix_seconds(F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp"))
+    rows = reduce(DataFrame.unionByName, parts)
+    aged = rows.select("table_name", F.timestamp_seconds("_at").alias("collected"), (now - F.col("_at")).alias("age_seconds"))
+    return aged.orderBy(F.col("age_seconds").desc_nulls_first(), "table_name")
 
 
 @dataclass(frozen=True)
@@ -228,6 +305,27 @@ def run_checks(checks: Sequence[Check]) -> DataFrame:
     return result
 
 
+@dataclass(frozen=True)
+class Listing:
+    """Rows to look at: the first ``limit`` of ``frame`` in ``order``, which must decide every tie."""
+
+    name: str
+    frame: DataFrame
+    order: Sequence[Column | str]
+    limit: int = 20
+
+
+def run_listings(listings: Sequence[Listing]) -> DataFrame:
+    """``check, rank, detail``: the rows of every listing in order, each as JSON, and how many more there are (``more``)."""
+    parts = []
+    for listing in listings:
+        rows = preview(listing.frame, listing.order, listing.limit)
+        detail = F.to_json(F.struct(*listing.frame.columns), {"ignoreNullFields": "false"}).alias("detail")
+        rank = F.row_number().over(Window.orderBy(*listing.order))  # of ``limit`` rows
+        parts.append(rows.select(F.lit(listing.name).alias("check"), rank.cast("bigint").alias("rank"), detail, F.col("remaining").alias("more")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def with_run_status(outcome: DataFrame) -> DataFrame:
     """Check rows with ``run_status``: failed where any check is."""
     broken = outcome.agg(F.coalesce(F.bool_or(~F.col("passed")), F.lit(False))).scalar()
@@ -281,19 +379,22 @@ def with_default_acl(objects: DataFrame) -> DataFrame:
     return objects.withColumn("acl", chain)
 
 
-def grant_statements(objects: DataFrame, database: str = "database") -> DataFrame:
-    """Grant statements of objects: kind, schema, name, arguments, object_type, acl (grantee, privilege, grantable).
+GRANTED = ["kind", "schema", "name", "arguments", "object_type"]
 
-    Kinds: database, schema, table, sequence, function, default. An empty grantee means PUBLIC.
-    """
-    visible = ~F.coalesce("schema", F.lit("")).isin(fv.SYSTEM_SCHEMAS) & ~F.coalesce("schema", F.lit("")).startswith(
-        "pg_toast"
-    )
-    acl = objects.where(visible | (F.col("kind") == "default")).select(
-        "kind", "schema", "name", "arguments", "object_type", F.inline("acl")
-    )
+
+def _granted(objects: DataFrame) -> DataFrame:
+    """One row per privilege of the objects that may be granted on; an empty grantee means PUBLIC."""
+    schema = F.coalesce("schema", F.lit(""))
+    visible = ~schema.isin(fv.SYSTEM_SCHEMAS) & ~schema.startswith("pg_toast")
+    return objects.where(visible | (F.col("kind") == "default")).select(*GRANTED, F.inline("acl"))
+
+
+def _statement(database: str, revoke: Column | bool = False, option: Column | None = None) -> Column:
+    """The statement of a row of ``_granted``; ``option`` tells whether it is about the grant option."""
+    revoke = F.lit(revoke) if isinstance(revoke, bool) else revoke
     who = F.when(F.coalesce("grantee", F.lit("")).isin("", "PUBLIC"), "PUBLIC").otherwise(quote_name("grantee"))
-    option = F.when(F.coalesce("grantable", F.lit(False)) & (F.col("kind") != "database"), " WITH GRANT OPTION").otherwise("")
+    option = F.coalesce("grantable", F.lit(False)) if option is None else option
+    with_option = F.when(option & ~revoke & (F.col("kind") != "database"), " WITH GRANT OPTION").otherwise("")
     qualified = F.concat(quote_name("schema"), F.lit("."), quote_name("name"))
     words = F.create_map(*[F.lit(x) for pair in fv.DEFAULT_ACL_WORDS.items() for x in pair])
     what = (
@@ -314,8 +415,45 @@ def grant_statements(objects: DataFrame, database: str = "database") -> DataFram
         F.lit(" "),
     )
     head = F.when(F.col("kind") == "default", default_head).otherwise("")
-    statement = F.concat(head, F.lit("GRANT "), F.col("privilege"), F.lit(" ON "), what, F.lit(" TO "), who, option, F.lit(";"))
-    return acl.select("kind", "schema", "name", "privilege", statement.alias("statement"))
+    verb = F.when(~revoke, "GRANT ").when(option, "REVOKE GRANT OPTION FOR ").otherwise("REVOKE ")
+    to = F.when(revoke, " FROM ").otherwise(" TO ")
+    return F.concat(head, verb, F.col("privilege"), F.lit(" ON "), what, to, who, with_option, F.lit(";"))
+
+
+def grant_statements(objects: DataFrame, database: str = "database") -> DataFrame:
+    """Grant statements of objects: kind, schema, name, arguments, object_type, acl (grantee, privilege, grantable).
+
+    Kinds: database, schema, table, sequence, function, default. An empty grantee means PUBLIC.
+    """
+    return _granted(objects).select("kind", "schema", "name", "privilege", _statement(database).alias("statement"))
+
+
+def grant_difference(captured: DataFrame, present: DataFrame, database: str = "database") -> DataFrame:
+    """The least statements that turn the privileges of ``present`` into the captured ones (objects as in ``grant_statements``).
+
+    Both sides are added up per object, grantee and privilege in one pass: what only one side holds is granted or revoked, and
+    where the grant option differs it alone is. ``action`` is grant, revoke or revoke_option; revokes come first in ``step``.
+    A database's privileges have no option.
+    """
+    who = F.when(F.coalesce("grantee", F.lit("")) == "PUBLIC", "").otherwise(F.coalesce("grantee", F.lit("")))
+    option = F.coalesce("grantable", F.lit(False)) & (F.col("kind") != "database")
+
+    def side(objects: DataFrame, name: str) -> DataFrame:
+        return _granted(objects).select(*GRANTED, who.alias("grantee"), "privilege", option.alias(name))
+
+    both = side(captured, "_wanted").unionByName(side(present, "_held"), allowMissingColumns=True)
+    keyed = both.groupBy(*GRANTED, "grantee", "privilege").agg(F.max("_wanted").alias("_wanted"), F.max("_held").alias("_held"))
+    action = (
+        F.when(F.col("_wanted").isNull(), "revoke")
+        .when(F.col("_held").isNull() | (F.col("_wanted") & ~F.col("_held")), "grant")
+        .when(~F.col("_wanted") & F.col("_held"), "revoke_option")
+    )
+    changed = keyed.withColumn("action", action).where("action is not null").withColumn("grantable", F.coalesce("_wanted", F.lit(False)))
+    revoke = F.col("action") != "grant"
+    about_option = F.when(revoke, F.col("action") == "revoke_option").otherwise(F.col("grantable"))
+    statement = _statement(database, revoke, about_option).alias("statement")
+    step = F.when(revoke, 1).otherwise(2).alias("step")
+    return changed.select("kind", "schema", "name", "grantee", "privilege", "action", step, statement)
 
 
 def database_privileges(roles: DataFrame, held: str = "privileges") -> DataFrame:

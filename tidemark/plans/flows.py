@@ -180,12 +180,17 @@ def refresh_job(
     checks: Sequence[rf.Check] = (),
     seed: str | None = None,
     planned: DataFrame | None = None,
+    journal: str | None = None,
+    captured: DataFrame | None = None,
+    present: DataFrame | None = None,
 ) -> DataFrame | None:
     """Load, keep, empty, mask, derive views and collect statistics beside the live tables, publish, then check.
 
     ``masks`` holds, per table, its key columns and the rows of its masking spec; masking needs a ``seed``, or its order
     could be told from the keys alone. Nothing starts unless every source finished: those in ``planned`` (host), each with a
-    row in ``results``. Returns the checks' outcome, each row with the run's ``run_status``.
+    row in ``results``. Tables are published all or none, with their steps in the ``journal`` table if one is named. Returns the
+    checks' outcome, each row with the run's ``run_status``; with the privileges ``captured`` before and those ``present`` now
+    also the statements that bring the former back.
     """
     if rf.refresh_ready(results, spark.range(1), planned).isEmpty():
         raise RuntimeError("the sources did not all finish")
@@ -197,5 +202,8 @@ def refresh_job(
     staged = rf.stage(fresh)
     staged += rf.stage_views(spark, views or {}, list(fresh))
     rf.analyze(spark, staged)
-    rf.publish(spark, [*fresh, *(views or {})])
-    return rf.with_run_status(rf.run_checks(checks)) if checks else None
+    rf.publish(spark, [*fresh, *(views or {})], journal=journal)
+    outcome = rf.with_run_status(rf.run_checks(checks)) if checks else None
+    if captured is None or present is None:
+        return outcome
+    return outcome, rf.grant_difference(captured, present)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from tidemark.operators import common, failures, runs
 from tidemark.operators import refresh as rf
 from tidemark.operators import retention as rt
 from tidemark.plans.registry import Inputs, plain, query
+from tidemark.session import use_checkpoint_dir
 from tidemark.sources import landed, sinks
 
 # ---- tables ------------------------------------------------------------------------------------------------------
@@ -27,12 +31,22 @@ def _refreshed(t: Inputs) -> dict[str, DataFrame]:
 
 @query(
     "refresh_tables",
-    plain(f"SELECT 'settings' AS table_name, * FROM ({TARGET}) UNION ALL SELECT 'customer', * FROM ({SOURCE})"),
+    plain(
+        f"""SELECT 'settings' AS table_name, * FROM ({TARGET}) UNION ALL SELECT 'customer', * FROM ({SOURCE})
+UNION ALL SELECT 'supplier', s_suppkey, s_name, s_nationkey, NULL FROM supplier"""
+    ),
 )
 def refresh_tables(t: Inputs) -> DataFrame:
-    fresh = _refreshed(t)
-    parts = [fresh[n].select(F.lit(n).alias("table_name"), "*") for n in ("settings", "customer")]
-    return parts[0].unionByName(parts[1])
+    """The rows of all four tables under the first one's column names; the emptied one has none."""
+    fresh, names = _refreshed(t), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+    text = F.lit(None).cast("string")
+    rows = {
+        "settings": fresh["settings"], "customer": fresh["customer"],
+        "supplier": fresh["supplier"].select("s_suppkey", "s_name", "s_nationkey", text).toDF(*names),
+        "sessions": fresh["sessions"].select("event_id", "event_type", F.col("user_id").cast("int"), text).toDF(*names),
+    }
+    parts = [frame.select(F.lit(name).alias("table_name"), *names) for name, frame in rows.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -50,7 +64,8 @@ def truncate_tables(t: Inputs) -> DataFrame:
     "run_checks",
     """SELECT 'sessions' AS "check", CAST(0 AS BIGINT) AS observed, CAST(0 AS BIGINT) AS expected, TRUE AS passed
 UNION ALL SELECT 'own names kept', count(*), CAST(0 AS BIGINT), count(*) = 0 FROM customer WHERE c_custkey % 10 = 0
-UNION ALL SELECT 'customers', count(*), NULL, TRUE FROM customer""",
+UNION ALL SELECT 'customers', count(*), NULL, TRUE FROM customer
+UNION ALL SELECT 'suppliers without a nation', count(*), CAST(0 AS BIGINT), count(*) = 0 FROM supplier WHERE s_nationkey IS NULL""",
 )
 def run_checks(t: Inputs) -> DataFrame:
     fresh = _refreshed(t)
@@ -59,10 +74,58 @@ def run_checks(t: Inputs) -> DataFrame:
             rf.Check("sessions", fresh["sessions"]),
             rf.Check("own names kept", fresh["settings"], F.col("c_name").startswith("own ")),
             rf.Check("customers", fresh["customer"], expected=None),
+            rf.Check("suppliers without a nation", fresh["supplier"], F.col("s_nationkey").isNull()),
+        ]
+    )
+
+
+@query(
+    "run_listings",
+    plain(
+        f"""WITH own AS (SELECT c_custkey, c_name FROM ({TARGET}) WHERE c_name LIKE 'own %'), n AS (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY ALL)
+SELECT 'own names' AS "check", row_number() OVER (ORDER BY c_custkey) AS rank, '{{{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}}}}' AS detail,
+  greatest((SELECT count(*) FROM own) - 7, 0) AS more FROM (SELECT * FROM own ORDER BY c_custkey LIMIT 7)
+UNION ALL SELECT 'suppliers by nation', row_number() OVER (ORDER BY suppliers DESC, s_nationkey), '{{{{"s_nationkey":' || s_nationkey || ',"suppliers":' || suppliers || '}}}}',
+  greatest((SELECT count(*) FROM n) - 5, 0) FROM (SELECT * FROM n ORDER BY suppliers DESC, s_nationkey LIMIT 5)
+UNION ALL SELECT 'newest customers', row_number() OVER (ORDER BY c_custkey DESC), '{{{{"c_custkey":' || c_custkey || '}}}}', greatest((SELECT count(*) FROM customer) - 3, 0)
+  FROM (SELECT * FROM customer ORDER BY c_custkey DESC LIMIT 3)""".replace("{{", "{").replace("}}", "}")
+    ),
+)
+def run_listings(t: Inputs) -> DataFrame:
+    fresh = _refreshed(t)
+    own = fresh["settings"].where(F.col("c_name").startswith("own ")).select("c_custkey", "c_name")
+    nations = fresh["supplier"].groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
+    return rf.run_listings(
+        [
+            rf.Listing("own names", own, ["c_custkey"], 7),
+            rf.Listing("suppliers by nation", nations, [F.desc("suppliers"), "s_nationkey"], 5),
+            rf.Listing("newest customers", fresh["customer"].select("c_custkey"), [F.desc("c_custkey")], 3),
+            rf.Listing("sessions", fresh["sessions"].select("event_id"), ["event_id"], 3),
         ]
     )
 
 
+@query(
+    "publish_journal",
+    """SELECT * FROM (VALUES (0, 'a', 'publish'), (1, 'b', 'publish'), (2, '', 'finished')) v(step, name, action), (SELECT count(*) AS customers FROM customer) c,
+(SELECT count(*) AS suppliers FROM supplier) s""",
+)
+def publish_journal(t: Inputs) -> DataFrame:
+    """Two tables staged and published, with the journal of the run and the rows found under the live names."""
+    mark, spark = uuid.uuid4().hex[:8], t.spark
+    names = {f"refresh_{mark}_a": t.table("customer"), f"refresh_{mark}_b": t.table("supplier")}
+    rf.stage(names)
+    run = rf.publish(spark, list(names), journal=f"refresh_{mark}_journal")
+    counts = [spark.table(name).agg(F.count("*")).scalar() for name in names]
+    use_checkpoint_dir(spark)
+    steps = spark.table(f"refresh_{mark}_journal").where(F.col("run") == run)
+    short = F.regexp_extract("name", "_([ab])$", 1).alias("name")
+    found = steps.select("step", short, "action", counts[0].alias("customers"), counts[1].alias("suppliers")).checkpoint()
+    for name in [*names, f"refresh_{mark}_journal"]:
+        spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 @query("last_audit_rows", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 5")
 def last_audit_rows(t: Inputs) -> DataFrame:
     return common.last_n(t.table("events").where("event_type = 'error'").select("event_id", "user_id", "event_type"), "event_id")
@@ -134,6 +197,38 @@ def grant_statements(t: Inputs) -> DataFrame:
     return rf.grant_statements(objects(t), database="lab")
 
 
+# Privileges as captured, and as found: of each role's some are lacking, some new, and some changed their option.
+_HELD = """SELECT CASE p_partkey % 4 WHEN 0 THEN 'schema' WHEN 1 THEN 'table' WHEN 2 THEN 'sequence' ELSE 'database' END AS kind, p_brand AS schema, 'obj_' || CAST(p_partkey AS VARCHAR(20)) AS name,
+       CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS grantee, 'SELECT' AS privilege, {option} AS grantable FROM {part} WHERE {kept}"""
+WANTED_GRANTS = _HELD.replace("{option}", "p_partkey % 2 = 0").replace("{kept}", "p_partkey % 5 <> 0")
+PRESENT_GRANTS = _HELD.replace("{option}", "p_partkey % 6 < 2").replace("{kept}", "p_partkey % 7 <> 0")
+
+
+def held_objects(t: Inputs, text: str) -> DataFrame:
+    acl = F.array(F.struct("grantee", "privilege", "grantable"))
+    none = F.lit(None).cast("string")
+    return t.sql(text).select("kind", "schema", "name", none.alias("arguments"), none.alias("object_type"), acl.alias("acl"))
+
+
+@query(
+    "grant_difference",
+    plain(
+        f"""WITH w AS ({WANTED_GRANTS}), h AS ({PRESENT_GRANTS}),
+d AS (SELECT coalesce(w.kind, h.kind) AS kind, coalesce(w.schema, h.schema) AS schema, coalesce(w.name, h.name) AS name, coalesce(w.grantee, h.grantee) AS grantee, 'SELECT' AS privilege,
+  w.grantable AND w.kind <> 'database' AS wo, h.grantable AND h.kind <> 'database' AS ho FROM w FULL JOIN h ON w.name = h.name),
+a AS (SELECT *, CASE WHEN wo IS NULL THEN 'revoke' WHEN ho IS NULL OR (wo AND NOT ho) THEN 'grant' WHEN ho AND NOT wo THEN 'revoke_option' END AS action,
+  CASE kind WHEN 'database' THEN 'DATABASE "lab"' WHEN 'schema' THEN 'SCHEMA "' || schema || '"' ELSE upper(kind) || ' "' || schema || '".' || name END AS what,
+  CASE WHEN grantee = '' THEN 'PUBLIC' ELSE '"' || grantee || '"' END AS who FROM d)
+SELECT kind, schema, name, grantee, privilege, action, CASE action WHEN 'grant' THEN 2 ELSE 1 END::INTEGER AS step,
+  CASE action WHEN 'grant' THEN 'GRANT SELECT ON ' || what || ' TO ' || who || CASE WHEN wo THEN ' WITH GRANT OPTION' ELSE '' END
+    WHEN 'revoke' THEN 'REVOKE SELECT ON ' || what || ' FROM ' || who ELSE 'REVOKE GRANT OPTION FOR SELECT ON ' || what || ' FROM ' || who END || ';' AS statement
+FROM a WHERE action IS NOT NULL"""
+    ),
+)
+def grant_difference(t: Inputs) -> DataFrame:
+    return rf.grant_difference(held_objects(t, WANTED_GRANTS), held_objects(t, PRESENT_GRANTS), database="lab")
+
+
 NAMED = """SELECT CASE WHEN p_size % 12 = 0 THEN NULL WHEN p_size % 12 = 1 THEN 99 ELSE p_size % 25 END AS schema_id, CASE p_partkey % 5 WHEN 0 THEN 'schema' WHEN 1 THEN 'table' WHEN 2 THEN 'sequence' WHEN 3 THEN 'function' ELSE 'default' END AS kind,
        'obj_' || CAST(p_partkey AS VARCHAR(20)) AS name, lower(p_type) AS owner, p_partkey % 2 = 0 AS listed FROM {part}"""
 _OWNED = " UNION ALL ".join(
