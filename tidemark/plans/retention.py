@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from tidemark.operators import common, runs
 from tidemark.operators import retention as rt
 from tidemark.plans import flows
 from tidemark.plans.registry import Inputs, plain, query
-from tidemark.sources import landed
+from tidemark.session import use_checkpoint_dir
+from tidemark.sources import landed, sinks
 
 AS_OF = datetime(2024, 1, 31)
 _AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -798,6 +800,20 @@ def audit_parse(t: Inputs) -> DataFrame:
     return landed.parse_audit(lines)
 
 
+@query(
+    "audit_written",
+    plain(f"SELECT '31/01/2024 00:00:00 UTC' AS ts, host, 'linux' AS os, 'expired' AS rule, size AS bytes, path FROM ({FILES}) WHERE mtime <= {_AS_OF} - INTERVAL 15 DAY"),
+)
+def audit_written(t: Inputs) -> DataFrame:
+    """Expired files written as audit lines and read back from them."""
+    gone = files(t).where(rt.expired("mtime", F.lit(15), AS_OF)).select(
+        F.lit("31/01/2024 00:00:00 UTC").alias("ts"), "host", F.lit("linux").alias("os"), F.lit("expired").alias("rule"), "size", "path"
+    )
+    folder = f"{use_checkpoint_dir(t.spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    sinks.write_audit(gone, folder)
+    return landed.parse_audit(t.spark.read.text(folder))
+
+
 @query(
     "disk_rows_windows",
     """SELECT s_suppkey, CAST(round(abs(s_acctbal)*100) AS BIGINT) * 3 + 7 AS size, CAST(round(abs(s_acctbal)*100) AS BIGINT) AS free, CAST(round(abs(s_acctbal)*100) AS BIGINT) * 2 + 7 AS used_bytes,

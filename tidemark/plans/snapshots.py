@@ -171,6 +171,19 @@ def reconcile_summary(t: Inputs) -> DataFrame:
     return rc.enforce_policy(compared(t).summary(), fail_on_divergence=False)
 
 
+@query(
+    "enforced_policy",
+    plain(
+        f"""WITH src AS ({SOURCE_TAGS}) SELECT (SELECT count(DISTINCT repository) FROM src) AS repositories_evaluated, (SELECT count(*) FROM src WHERE digest <> '') AS source_tags_evaluated,
+  (SELECT count(*) FROM src WHERE digest <> '') AS target_tags_evaluated, (SELECT count(*) FROM src WHERE digest <> '') AS total_rows, CAST(0 AS BIGINT) AS candidate_repositories, FALSE AS has_divergence"""
+    ),
+)
+def enforced_policy(t: Inputs) -> DataFrame:
+    """The summary of two equal sides with the policy on; a divergence would fail the job (a test shows it)."""
+    same, every = equal_sides(t)
+    return rc.enforce_policy(rc.Comparison(same, same, every).summary(), fail_on_divergence=True)
+
+
 @query("sync_candidates", ROLE_ROWS + f"SELECT DISTINCT repository FROM rows WHERE status IN {_CANDIDATES}")
 def sync_candidates(t: Inputs) -> DataFrame:
     return rc.sync_candidates(role_rows(t))
@@ -202,12 +215,18 @@ def display_rows(t: Inputs) -> DataFrame:
 )
 def display_rows_all_ok(t: Inputs) -> DataFrame:
     """Both sides equal, so nothing but OK rows is left and all of them show."""
+    same, every = equal_sides(t)
+    return rc.display_rows(rc.reconcile(same, same, every)).select("repository", "tag", "status")
+
+
+def equal_sides(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Source tags with a digest, and configurations of their repositories that take every tag."""
     same = source_tags(t).where("digest <> ''")
     every = same.select("repository").distinct().selectExpr(
         "repository", "200 AS http_status", "true AS mirror_found", "true AS is_enabled", "'SUCCESS' AS sync_status",
         "'' AS api_error", "CAST(NULL AS ARRAY<STRING>) AS rule_value",
     )
-    return rc.display_rows(rc.reconcile(same, same, every)).select("repository", "tag", "status")
+    return same, every
 
 
 _LABELS = "CASE status" + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in fv.STATUS_LABELS.items()) + " ELSE status END"
