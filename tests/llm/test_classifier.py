@@ -69,3 +69,22 @@ def test_hard_rows(spark):
     assert kept.schema == docs.schema and kept.count() == len(cases.ROWS)
     assert qc.keep_good(cases.empty(spark), none).count() == 0
     assert qc.with_scores(cases.empty(spark), qc.fit(cases.empty(spark), cases.labels(spark), SMALL)).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(
+        spark.createDataFrame([(10**6, "word " * 150_000 + "y" * 700_000, "en", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    )
+    model = qc.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), SMALL)
+    one = sorted(map(tuple, qc.with_scores(docs.coalesce(1), model).collect()))
+    assert one == sorted(map(tuple, qc.with_scores(docs.repartition(13, "text"), model).collect()))
+
+
+def test_runs_and_words_across_cuts_count_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = qc.Model(rng.standard_normal(1 << 18).astype(np.float32), 0.1)
+    texts = ["some words " * 30, "x" * 300 + " tail of it", "a" * 5 + " " + "b" * 260 + " c", "ü😀 " * 40]
+    whole = model.scores(texts).tolist()
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(qc, "BLOCK", block)
+        assert model.scores(texts).tolist() == whole
