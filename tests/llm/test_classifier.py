@@ -88,3 +88,18 @@ def test_runs_and_words_across_cuts_count_once(monkeypatch):
     for block in (1, 2, 7, 64):
         monkeypatch.setattr(qc, "BLOCK", block)
         assert model.scores(texts).tolist() == whole
+
+
+def test_training_is_stable_on_uneven_samples():
+    """Long and short texts, few of one class: steps stay bounded, so held-out texts are told apart at any rate up to one."""
+    rng = np.random.default_rng(3)
+    good, poor = [f"w{i}" for i in range(300)], [f"#{i}$" for i in range(40)]
+    texts, labels = [], []
+    for k in range(900):
+        label = int(k % 7 > 0)
+        texts.append(" ".join(rng.choice(good if label else good[:150] + poor, rng.choice((5, 60, 2000), p=(0.4, 0.5, 0.1)))))
+        labels.append(label)
+    for rate in (0.3, 1.0):
+        model = qc.train(texts[:600], labels[:600], 6.0, qc.Training(rate=rate))
+        right = (model.scores(texts[600:]) >= 0.5) == (np.array(labels[600:]) == 1)
+        assert right.mean() >= 0.97 and np.isfinite(model.weights).all() and np.abs(model.weights).max() < 100

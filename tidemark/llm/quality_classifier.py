@@ -20,7 +20,8 @@ Only ``doc_id`` and ``text`` are read, so extra columns can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -133,37 +134,44 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(factors, dtype=np.uint64)
 
 
-def train(texts: list[str], labels: list[int], odds: float, training: Training = Training()) -> Model:
+def train(texts: Iterable[str], labels: list[int], odds: float, training: Training = Training()) -> Model:
     """A model from a bounded sample; ``odds`` is the share of label 1 divided by that of label 0 among all labels."""
     rng = np.random.default_rng(training.seed)
     vectors = rng.uniform(-1 / training.dim, 1 / training.dim, (training.buckets, training.dim)).astype(np.float32)
     output = rng.uniform(-1, 1, (training.dim, 2)).astype(np.float32)
     offset = np.zeros(2, np.float32)
-    rows = []
+    held, times, ends = array("i"), array("I"), [0]  # side by side, so that the driver gets the memory back
     for text in texts:
         found = [
             buckets[np.searchsorted(places, start) : np.searchsorted(places, end)]
-            for _, starts, ends, data in blocks([text])
-            for start, end in zip(starts, ends, strict=True)
+            for _, starts, stops, data in blocks([text])
+            for start, end in zip(starts, stops, strict=True)
             for places, buckets in features(data, training.buckets)
         ]
-        seen, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-        rows.append((seen.astype(np.int32), (times / max(1, times.sum())).astype(np.float32)))
+        seen, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        held.frombytes(seen.astype(np.int32).tobytes())
+        times.frombytes(counts.astype(np.uint32).tobytes())
+        ends.append(len(held))
+    all_seen, all_times = np.frombuffer(held, np.int32), np.frombuffer(times, np.uint32)
+    rows = list(zip(ends, ends[1:], strict=False))
     steps, done = training.epochs * len(rows), 0
     for _ in range(training.epochs):
         for i in rng.permutation(len(rows)):
             rate = training.rate * (1 - done / steps)
             done += 1
-            seen, share = rows[i]
+            seen = all_seen[slice(*rows[i])]
+            share = (all_times[slice(*rows[i])] / max(1, all_times[slice(*rows[i])].sum())).astype(np.float32)
             hidden = share @ vectors[seen]
             logits = hidden @ output + offset
             wrong = np.exp(logits - logits.max())
             wrong /= wrong.sum()
             wrong[labels[i]] -= 1
             back = output @ wrong
-            output -= rate * np.outer(hidden, wrong)
-            offset -= rate * wrong
-            vectors[seen] -= rate / (share @ share) * np.outer(share, back)  # the mean moves by the rate, however long
+            # a step moves the logits by less than the rate, however long the text and large the weights
+            step = rate / (1 + hidden @ hidden + np.square(output).sum())
+            output -= step * np.outer(hidden, wrong)
+            offset -= step * wrong
+            vectors[seen] -= step / (share @ share) * np.outer(share, back)
     positive = sum(labels)
     prior = np.log(odds) - np.log(positive / (len(labels) - positive))
     return Model((vectors @ (output[:, 1] - output[:, 0])).astype(np.float32), float(offset[1] - offset[0] + prior))
@@ -189,9 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
     first = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(training.per_class) for q in (0, 1)]
     chosen = F.broadcast(first[0].union(first[1]))  # at most 2 * per_class ids
     sample = short.join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
-    sample.sort(key=lambda r: r["doc_id"])
-    found = [r["quality"] for r in sample]
-    return train([r["text"] for r in sample], found, one / zero, training) if len(set(found)) == 2 else flat
+    sample.sort(key=lambda r: r["doc_id"], reverse=True)
+    found = [r["quality"] for r in reversed(sample)]
+    if len(set(found)) < 2:
+        return flat
+    return train((sample.pop()["text"] for _ in range(len(sample))), found, one / zero, training)  # a text goes when read
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
