@@ -354,3 +354,12 @@ def test_age_of_statistics(spark, live):
     rf.analyze(spark, ["pub_one"])
     rows = {r["table_name"]: r["age_seconds"] for r in rf.statistics_age(spark, ["pub_one", "pub_two"]).collect()}
     assert list(rows) == ["pub_two", "pub_one"] and rows["pub_two"] is None and 0 <= rows["pub_one"] < 600
+
+
+def test_views_of_the_caller_survive_staging(spark, live):
+    spark.range(3).createOrReplaceTempView("pub_one")
+    try:
+        assert rf.stage_views(spark, {"pub_two": "SELECT id + 1 AS id FROM pub_one"}, ["pub_one"]) == ["pub_two_restoring"]
+        assert spark.table("pub_one").count() == 3 and spark.table("pub_two_restoring").count() == 10
+    finally:
+        spark.catalog.dropTempView("pub_one")

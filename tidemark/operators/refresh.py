@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import text as tx
 from tidemark.operators.common import preview, unique_or_fail
+from tidemark.session import prepare
 
 
 # ---- plan --------------------------------------------------------------------------------------------------------
@@ -242,16 +243,17 @@ def refresh_views(spark: SparkSession, views: Mapping[str, str], only: Sequence[
 
 
 def stage_views(spark: SparkSession, views: Mapping[str, str], tables: Sequence[str], suffix: str = "_restoring") -> list[str]:
-    """Derived tables from their queries, beside the live ones; the queries see the staged form of ``tables``."""
-    try:
-        for name in tables:
-            spark.table(name + suffix).createOrReplaceTempView(name)
-        for name, query in views.items():
-            spark.sql(query).write.mode("overwrite").saveAsTable(name + suffix)
-            spark.table(name + suffix).createOrReplaceTempView(name)  # later views may build on it
-    finally:
-        for name in [*tables, *views]:
-            spark.catalog.dropTempView(name)
+    """Derived tables from their queries, beside the live ones; the queries see the staged form of ``tables``.
+
+    They run in a session of their own, so temporary views of the caller's session stay as they are (and are not seen).
+    """
+    own = prepare(spark.newSession())
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    for name in tables:
+        own.table(name + suffix).createOrReplaceTempView(name)
+    for name, query in views.items():
+        own.sql(query).write.mode("overwrite").saveAsTable(name + suffix)
+        own.table(name + suffix).createOrReplaceTempView(name)  # later views may build on it
     return [name + suffix for name in views]
 
 
