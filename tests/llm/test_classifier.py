@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -90,6 +91,17 @@ def test_runs_and_words_across_cuts_count_once(monkeypatch):
         assert model.scores(texts).tolist() == whole
 
 
+def test_features_of_a_long_text_take_little_memory():
+    model, text = qc.Model(np.ones(1 << 18, np.float32), 0.0), "word " * 400_000
+    model.scores(["one"])
+    tracemalloc.start()
+    try:
+        model.scores([text])
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_training_is_stable_on_uneven_samples():
     """Long and short texts, few of one class: steps stay bounded, so held-out texts are told apart at any rate up to one."""
     rng = np.random.default_rng(3)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -118,6 +119,41 @@ def test_a_small_memory_changes_no_ids():
     assert len(two.held) <= 3 and len(two.held.before) <= 3
 
 
+def test_chunks_held_stay_few():
+    """Both generations together, whatever the number of different chunks."""
+    tokens = pk.Tokens(PATH)
+    tokens([" ".join(f"w{k}" for k in range(at, at + 13_000)).encode() for at in range(0, 260_000, 13_000)])
+    assert len(tokens.held) + len(tokens.held.before) <= 200_000
+
+
+def test_chunks_go_when_a_task_ends(spark, monkeypatch):
+    """Read to its end or stopped early, a task leaves no chunks in a worker that serves other stages next."""
+    tasks = []
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):
+            tasks.append(task)
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pk, "TaskContext", Context)
+    pk.pack_documents(Docs(), PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words of it " * 600, "others"])], ["doc_id", "text"])
+    held = pk._tokens(PATH).held
+    assert sum(sum(b.column("length").to_pylist()) for b in tasks[0](iter([batch]))) > 2400
+    assert not held and not held.before
+    rows = tasks[0](iter([batch, batch]))
+    next(rows)
+    assert held
+    rows.close()
+    assert not held and not held.before
+
+
 def test_letter_merges_are_those_of_the_vocabulary():
     """Every rule makes a token of its own, later rules later tokens, and words merge as the tokenizer merges them."""
     model = json.load(open(PATH, encoding="utf-8"))["model"]

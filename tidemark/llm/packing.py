@@ -164,7 +164,7 @@ class Tokens:
     vocabulary's rules, so the chunks between them are tokenized once and remembered. A file with other rules gets its texts
     whole."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
 
@@ -182,6 +182,11 @@ class Tokens:
         ids = self.held.__getitem__
         return [b"".join(map(ids, self._chunks(text))) for text in texts]
 
+    def forget(self) -> None:
+        """Drop the chunks held; only the tokenizer stays."""
+        self.held.clear()
+        self.held.before = {}
+
     @staticmethod
     def _chunks(text: bytes) -> list[bytes]:
         if b"<|" in text:  # may name a special token, whose case counts
@@ -191,7 +196,7 @@ class Tokens:
 
 @cache
 def _tokens(path: str) -> Tokens:
-    """One memory of chunks for all tasks of a worker; what it holds doesn't change the ids."""
+    """One tokenizer for all tasks of a worker. Its chunks go when a task ends, as the worker next serves other stages too."""
     return Tokens(path)
 
 
@@ -224,30 +229,33 @@ def pack_documents(
                 next_id += 1
             return rows
 
-        for batch in slices(batches):
-            ready, held = [], 0
-            for doc_id, ids in zip(batch[0].to_pylist(), tokens(batch[1].cast(pa.binary()).to_pylist()), strict=True):
-                ids += end_id
-                n = len(ids) // 4
-                whole = n - n % capacity
-                for start in range(0, whole, capacity):
-                    ready.append((doc_id, start, capacity, ids[4 * start : 4 * (start + capacity)], n, next_id, 0))
-                    next_id += 1
-                for start in range(whole, n, piece):
-                    stop = min(n, start + piece)
-                    rests.append((doc_id, start, stop - start, ids[4 * start : 4 * stop], n))
-                rest_ids += n - whole
-                held += whole
-                if rest_ids >= capacity * windows_at_once:
-                    ready += windows(rests)
-                    held, rests, rest_ids = held + rest_ids, [], 0
-                if held >= 1 << 20:
+        try:
+            for batch in slices(batches):
+                ready, held = [], 0
+                for doc_id, ids in zip(batch[0].to_pylist(), tokens(batch[1].cast(pa.binary()).to_pylist()), strict=True):
+                    ids += end_id
+                    n = len(ids) // 4
+                    whole = n - n % capacity
+                    for start in range(0, whole, capacity):
+                        ready.append((doc_id, start, capacity, ids[4 * start : 4 * (start + capacity)], n, next_id, 0))
+                        next_id += 1
+                    for start in range(whole, n, piece):
+                        stop = min(n, start + piece)
+                        rests.append((doc_id, start, stop - start, ids[4 * start : 4 * stop], n))
+                    rest_ids += n - whole
+                    held += whole
+                    if rest_ids >= capacity * windows_at_once:
+                        ready += windows(rests)
+                        held, rests, rest_ids = held + rest_ids, [], 0
+                    if held >= 1 << 20:
+                        yield batch_of(ready)
+                        ready, held = [], 0
+                if ready:
                     yield batch_of(ready)
-                    ready, held = [], 0
-            if ready:
-                yield batch_of(ready)
-        if rests:
-            yield batch_of(windows(rests))
+            if rests:
+                yield batch_of(windows(rests))
+        finally:
+            tokens.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     return rows.mapInArrow(task, SCHEMA)

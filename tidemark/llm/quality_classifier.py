@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import slices, text_of
 
-BLOCK = 1 << 19
+BLOCK = 1 << 17  # bytes whose features are made at a time: a dozen arrays of eight times as many
 LONGEST_WORD = 256
 UNIT = 2.0**-24
 PAD = b"\n\n\n\n"
