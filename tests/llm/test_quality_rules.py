@@ -5,6 +5,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import cases
 from tidemark.llm import quality_rules as qr
 from tidemark.llm import queries
@@ -141,3 +142,26 @@ def test_a_stratum_that_passes_whole_hands_its_level_on(spark):
         rows = qr.calibrate(measured, docs.select("doc_id", "quality"), rules).collect()
         assert {r["_stratum"]: r["cut_symbols"] for r in rows} == {s: k if k is None else rules.path[k]["symbols"] for s, k in settled.items()}
         assert {r["good"] for r in rows} == set(clean)
+
+
+def test_no_good_documents_go_for_nothing(spark, tmp_path):
+    """Ten good documents of 90 symbols per mille are few enough to be rejected; the bad ones have 250."""
+    docs = sample(spark, 4000, 0).where("doc_id >= 10")
+    words = " ".join(f"word{i}" for i in range(60))
+    few = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("# " * 6 + words).alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("quality"))
+    docs = docs.union(few)
+    docs.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    assert qr.keep_good(docs, labels).where("doc_id >= 10").count() == qr.keep_good(docs, labels).count() == 3990
+    kept = corpus_pipeline.quality_rule_stage(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(4000))
+    none = labels.where("quality = 1")  # nothing bad is known: the strictest cutoffs without a loss
+    assert sorted(r["doc_id"] for r in qr.keep_good(docs, none, qr.Rules(spare=True)).collect()) == list(range(4000))
+
+
+def test_strata_with_bad_documents_only_have_no_cutoffs(spark):
+    docs = sample(spark, 1000, 0).withColumn("lang", F.when(F.col("quality") == 1, "en").otherwise("fr"))
+    measured = qr.measure(docs.select("doc_id", "text", qr.stratum_of(qr.Rules()).alias("_stratum"))).drop("text")
+    for spare in (False, True):
+        rows = qr.calibrate(measured, docs.select("doc_id", "quality"), qr.Rules(spare=spare)).collect()
+        assert [(r["_stratum"], r["good"], r["rejected"]) for r in rows] == [("en", 1000, 0)]

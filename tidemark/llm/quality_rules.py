@@ -6,7 +6,8 @@ only if labelled good documents show that it rejects few of them: for each strat
 the exact binomial tail P(X <= rejected | n, risk), and the walk stops at the first that fails (fixed-sequence testing). The
 level is shared by the strata that have such documents after Holm: a stratum whose whole path passes hands its share on to the
 others. So with probability ``1 - level`` no stratum loses more than ``risk`` of its good documents beyond the base rule;
-with five strata 459 good ones without a rejection are enough for a setting.
+with five strata 459 good ones without a rejection are enough for a setting. That holds for every safe setting at once, so any
+of them may be used: the strictest or, with ``spare``, one that rejects as many labelled bad documents and fewer good ones.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept. Null or unlisted languages share the stratum
 ``other``. A stratum with too few labelled good documents gets no cutoff, so nothing is rejected there beyond the base rule.
@@ -30,7 +31,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. ``grids`` holds each signal's cutoffs per mille, from lenient to strict; ``path`` puts them side by side."""
+    """Parameters. ``grids`` holds each signal's cutoffs per mille, from lenient to strict; ``path`` puts them side by side.
+
+    Of the safe settings the strictest is taken; with ``spare`` the strictest of those that reject the fewest labelled good
+    documents among those that reject the most bad ones.
+    """
 
     strata: tuple[str, ...] = ("en", "fr", "de", "es")
     risk: float = 0.01
@@ -43,6 +48,7 @@ class Rules:
             "long_words": (40000, 20000, 15000, 12000, 10000, 9000, 8000, 7500, 7000),
         }
     )
+    spare: bool = False
 
 
     @property
@@ -139,24 +145,28 @@ def calibrate(measured: DataFrame, labels: DataFrame, rules: Rules = Rules(), ke
     """One row per stratum with labelled good documents: how many there are (``good``), how many of them its setting rejects
     (``rejected``), and a column ``cut_<signal>`` each (null: no setting could be shown to be safe).
 
-    ``measured`` has ``key``, ``_stratum`` and ``_counts``; ``labels`` has ``key`` and ``quality`` (1: good). Documents that
+    ``measured`` has ``key``, ``_stratum`` and ``_counts``; ``labels`` has ``key`` and ``quality`` (1: good, 0: bad). Documents that
     the base rule rejects say nothing about the cutoffs and are left out.
     """
     path = rules.path
-    good = labels.groupBy(key).agg(F.min("quality").alias("_q")).where("_q = 1").select(key)
+    marked = labels.groupBy(key).agg(F.min("quality").alias("_least"), F.max("quality").alias("_most"))
+    marked = marked.where("_least = 1 or _least = 0 and _most = 0").select(key, (F.col("_least") == 1).alias("_good"))
     kept = measured.where(~base_failed()).select(key, "_stratum", *[v.alias(k) for k, v in _signals().items()])
-    held = kept.join(good.where(F.col(key).isNotNull()), key)
+    held = kept.join(marked.where(F.col(key).isNotNull()), key)
     # cutoffs only fall along the path, so a document rejected at m settings is rejected at the last m
     over = sum((F.when(_exceeds(cuts), 1).otherwise(0) for cuts in path), F.lit(0))
-    tally = held.groupBy("_stratum", over.alias("over")).count()
+    tally = held.groupBy("_stratum", "_good", over.alias("over")).count()
+    own = lambda good: F.collect_list(F.when(F.col("_good") == good, F.struct("over", "count")))  # noqa: E731 - at most len(path) + 1
     strata = tally.groupBy("_stratum").agg(
-        F.sum("count").alias("n"), F.collect_list(F.struct("over", "count")).alias("over")  # at most len(path) + 1
+        F.sum(F.when(F.col("_good"), F.col("count"))).alias("n"), own(True).alias("over"), own(False).alias("bad")
     )
-    steps = strata.select("_stratum", "n", "over", F.explode(F.sequence(F.lit(0), F.lit(len(path) - 1))).alias("step"))
-    rejected = F.aggregate(
-        F.filter("over", lambda x: x["over"] >= len(path) - F.col("step")), F.lit(0).cast("long"), lambda s, x: s + x["count"]
+    strata = strata.where("n is not null")  # without good documents nothing can be shown
+    steps = strata.select("_stratum", "n", "over", "bad", F.explode(F.sequence(F.lit(0), F.lit(len(path) - 1))).alias("step"))
+    rejected = lambda rows: F.aggregate(
+        F.filter(rows, lambda x: x["over"] >= len(path) - F.col("step")), F.lit(0).cast("long"), lambda s, x: s + x["count"]
     )
-    steps = steps.withColumn("rejected", rejected).withColumn("tail", binomial_tail(F.col("rejected"), F.col("n"), rules.risk))
+    steps = steps.withColumns({"rejected": rejected("over"), "caught": rejected("bad")})
+    steps = steps.withColumn("tail", binomial_tail(F.col("rejected"), F.col("n"), rules.risk))
     walk = Window.partitionBy("_stratum").orderBy("step")
     steps = steps.withColumn("worst", F.max("tail").over(walk))
     # Holm over the strata, a handful of rows: those that pass whole, in the order of their worst tails
@@ -169,9 +179,9 @@ def calibrate(measured: DataFrame, labels: DataFrame, rules: Rules = Rules(), ke
     left = F.col("m") - F.sum("done").over(Window.partitionBy())
     levels = passes.select("_stratum", "done", (rules.level / F.greatest(left, F.lit(1))).alias("share"))
     safe = steps.join(levels, "_stratum").withColumn("safe", (F.col("done") == 1) | (F.col("worst") <= F.col("share")))
-    last = safe.groupBy("_stratum").agg(
-        F.max("n").alias("good"), F.max(F.when(F.col("safe"), F.struct("step", "rejected"))).alias("last")
-    )
+    lost = (-F.col("rejected")).alias("lost")
+    place = F.struct("caught", lost, "step", "rejected") if rules.spare else F.struct("step", "rejected")
+    last = safe.groupBy("_stratum").agg(F.max("n").alias("good"), F.max(F.when(F.col("safe"), place)).alias("last"))
     cuts = [
         F.get(F.array(*[F.lit(step[name]).cast("long") for step in path]), F.col("last.step")).alias(f"cut_{name}") for name in rules.grids
     ]
