@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, ngram_join, packing, quality_classifier, quality_rules
-from tidemark.llm.shared import shared_folder
+from tidemark.llm.shared import in_small_batches, shared_folder
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048, a row per piece."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(in_small_batches(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

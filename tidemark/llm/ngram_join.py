@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import LOWER, UPPER, components, slices, staged
+from tidemark.llm.shared import LOWER, UPPER, components, in_small_batches, slices, staged
 
 LOWERING = bytes.maketrans(UPPER.encode(), LOWER.encode())
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -234,7 +234,7 @@ def linked_components(
     docs: DataFrame, width: int = 4, percent: int = 85, sketch: int = 1 << 21
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs (doc_id, text)``; no id, no component."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     scanned = staged(scan(docs, width, sketch), "scanned")
     ranks = order_of(scanned, sketch)
     rows = scanned.where("block is null").select("doc_id", "n", "print")
@@ -297,6 +297,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     never shuffled.
     """
     found = staged(linked_components(docs.select("doc_id", "text"), width, percent), "found")
+    docs = in_small_batches(docs)
     gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).count().where("count > 1").select("_gone")
     sent = docs.sparkSession.sparkContext.broadcast(bits_of(gone.union(again), "_gone"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import slices, text_of
+from tidemark.llm.shared import in_small_batches, slices, text_of
 
 BLOCK = 1 << 17  # bytes whose features are made at a time: a dozen arrays of eight times as many
 LONGEST_WORD = 256
@@ -216,7 +216,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
             predicted = pa.array((scores >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(scores), predicted], names)
 
-    return rows.mapInArrow(task, SCORES)
+    return in_small_batches(rows).mapInArrow(task, SCORES)
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -229,4 +229,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             scores = sent.value.scores([t or "" for t in batch[at].to_pylist()])
             yield batch.filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(task, docs.schema)
+    return in_small_batches(docs).mapInArrow(task, docs.schema)
